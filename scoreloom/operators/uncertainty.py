@@ -221,7 +221,7 @@ def ood_category(spread: Column, soft: Column, hard: Column) -> Column:
 
 # ---- weights ------------------------------------------------------------------------
 
-def absolute_weight(sigma_sq: Column, entropy: Column, sigma_range=(0.0, 1.0), entropy_range=(0.0, 0.693), floor=0.3) -> Column:
+def absolute_weight(sigma_sq: Column, entropy: Column, sigma_range=(0.002, 0.019), entropy_range=(0.0, 0.693), floor=0.3) -> Column:
     unit = lambda v, lo, hi: clip((v - lo) / dbl(hi - lo), 0, 1) if hi > lo else dbl(0)
     return dbl(1) - dbl(1 - floor) * ((unit(sigma_sq, *sigma_range) + unit(entropy, *entropy_range)) / 2)
 

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("q_levels", "q_uncertainty")
+MODULES = ("q_levels", "q_uncertainty", "q_ensemble")
 
 for _name in MODULES:
     importlib.import_module(f"{__package__}.{_name}")

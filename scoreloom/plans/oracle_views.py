@@ -97,6 +97,16 @@ def spearman_ctes(name: str, source: str, x: str, y: str, by: str = "") -> dict[
     }
 
 
+def metrics_sql(source: str, pred: str, gt: str, by: str) -> str:
+    """n, srcc, plcc, mae, rmse, bias per group, unrounded."""
+    return f"""select {by}, count(*) as n, {corr_sql('rx', 'ry')} as srcc, {corr_sql('px', 'py')} as plcc,
+        avg(abs(px - py)) as mae, sqrt(avg((px - py) * (px - py))) as rmse, avg(px - py) as bias from (
+        select *, {pred} as px, {gt} as py, {avg_rank(pred, by)} as rx, {avg_rank(gt, by)} as ry from {source}) group by {by}"""
+
+
+WEIGHT = "(case dimension when 'overall' then 0.5e0 else 0.25e0 end)"
+
+
 LEVELS_UP = [5.5, 4.5, 3.5, 2.5, 1.5]
 LEVELS_DOWN = [4.5, 3.5, 2.5, 1.5, 0.5]
 

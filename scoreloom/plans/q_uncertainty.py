@@ -187,10 +187,10 @@ def u7(t):
     return Parts(t).decided.select(*KEYS, "reason")
 
 
-@query("u8_absolute_weight", "signals", f"""select image_id, dimension, {r('''1e0 - (1e0 - 0.3e0) * ((greatest(0e0, least(1e0, sigma_sq))
+@query("u8_absolute_weight", "signals", f"""select image_id, dimension, {r('''1e0 - (1e0 - 0.3e0) * ((greatest(0e0, least(1e0, (sigma_sq - 0.002e0) / (0.37e0 - 0.002e0)))
         + greatest(0e0, least(1e0, entropy / 0.693e0))) / 2)''', 8)} as weight from signals""")
 def u8(t):
-    return Parts(t).signals.select(*KEYS, r6(un.absolute_weight(F.col("sigma_sq"), F.col("entropy")), 8).alias("weight"))
+    return Parts(t).signals.select(*KEYS, r6(un.absolute_weight(F.col("sigma_sq"), F.col("entropy"), (0.002, 0.37)), 8).alias("weight"))
 
 
 UNIT = lambda c, by="dimension": f"(({avg_rank(c, by)} - 1) / (count(*) over (partition by {by}) - 1))"
