@@ -85,23 +85,22 @@ def flexible_scores(record: Column, names=("overall", "sharpness", "color_fideli
 
 
 def unfenced(text: Column) -> Column:
-    """Response text without code fences and doubled braces."""
-    bare = F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*", "")
-    bare = F.trim(F.regexp_replace(bare, r"\s*```$", ""))
-    return F.when(bare.startswith("{{"), F.replace(F.replace(bare, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))).otherwise(bare)
+    """Response text without code-fence lines and with doubled braces undone."""
+    bare = F.trim(text)
+    lines = F.filter(F.split(bare, "\n"), lambda l: ~F.ltrim(l).startswith("```"))
+    bare = F.when(bare.startswith("```"), F.array_join(lines, "\n")).otherwise(bare)
+    return F.replace(F.replace(bare, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))
 
 
 def parse_rating(df: DataFrame, text: str, keys=("overall", "sharpness", "color_fidelity"),
                  low: float = 1.0, high: float = 5.0) -> DataFrame:
-    """Scores of a rating response plus an ``error`` text, empty when all keys are good."""
-    schema = "map<string,string>"
-    parsed = df.withColumn("_m", F.from_json(unfenced(F.col(text)), schema))
+    """Scores of a rating response plus an ``error`` text, empty when every key is good."""
+    parsed = df.withColumn("_m", F.from_json(unfenced(F.col(text)), "map<string,string>"))
     value = {k: F.try_element_at("_m", F.lit(k)).try_cast("double") for k in keys}
-    error = F.when(F.col("_m").isNull(), "invalid JSON")
+    error = F.when(F.col("_m").isNull(), "no JSON object in response")
     for k in keys:
-        error = error.when(~F.map_contains_key("_m", k), f"missing {k}")
-    for k in keys:
-        error = error.when(value[k].isNull(), f"not a number: {k}").when((value[k] < low) | (value[k] > high), f"out of range: {k}")
+        error = (error.when(~F.map_contains_key("_m", k), f"missing key {k}").when(value[k].isNull(), f"{k} is not a number")
+                 .when((value[k] < low) | (value[k] > high), F.concat(F.lit(f"{k} score "), value[k].cast("string"), F.lit(f" outside [{low}, {high}]"))))
     parsed = parsed.withColumn("error", F.coalesce(error, F.lit("")))
     return parsed.select(*df.columns, *[F.when(F.col("error") == "", v).alias(k) for k, v in value.items()], "error")
 
