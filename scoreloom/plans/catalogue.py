@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("q_levels", "q_uncertainty", "q_ensemble", "q_stats", "q_sources")
+MODULES = ("q_levels", "q_uncertainty", "q_ensemble", "q_stats", "q_sources", "q_assembly", "q_vectors", "q_text")
 
 for _name in MODULES:
     importlib.import_module(f"{__package__}.{_name}")
