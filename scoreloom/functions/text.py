@@ -5,17 +5,17 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from .numerics import dbl
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
 
-@F.pandas_udf("struct<a: string, b: string>")
+@F.pandas_udf(T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())]))
 def _word_codes(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Each distinct word of a pair as one character, so that the built-in edit distance counts words."""
 

@@ -120,9 +120,9 @@ VIEWS["anchor_ends"] = ("anchor_pool", "select *, max(spread) over (partition by
 VIEWS["anchors"] = ("anchor_ends", "select target, image_id, mos, spread from (select *, row_number() over (partition by target order by round(spread / ms * 0.5e0 + d / md * 0.5e0, 9), image_id) as rk from anchor_ends) where rk = 1")
 
 
-@query("x10_anchors", "anchors", f"select target, image_id, {r('mos')} as mos, {r('spread')} as spread from anchors")
+@query("x10_anchors", "anchors", f"select target, image_id, {r('mos')} as mos, {r('spread', 9)} as spread from anchors")
 def x10(t):
-    return asm.pick_anchors(annotated(t), "mos", "spread", "image_id").select("target", "image_id", r6("mos").alias("mos"), r6("spread").alias("spread"))
+    return asm.pick_anchors(annotated(t), "mos", "spread", "image_id").select("target", "image_id", r6("mos").alias("mos"), r6("spread", 9).alias("spread"))
 
 
 VIEWS["picks"] = ("annotated", """select image_id, spread, category, ood from (select *, row_number() over (partition by ood order by category, pos) as o, case ood when 0 then 5 else 10 end as want from (
@@ -131,9 +131,9 @@ VIEWS["picks"] = ("annotated", """select image_id, spread, category, ood from (s
         where len(list_filter(range(0, least(k0, c)), lambda i: floor(case when least(k0, c) > 1 then i * (c - 1) / (least(k0, c) - 1) else 0 end) = pos - 1)) > 0) where o <= want""")
 
 
-@query("x11_stratified_pick", "picks", f"select image_id, {r('spread')} as spread, category, ood from picks")
+@query("x11_stratified_pick", "picks", f"select image_id, {r('spread', 9)} as spread, category, ood from picks")
 def x11(t):
-    return asm.stratified_pick(annotated(t), "spread", "ood", "category", "image_id").select("image_id", r6("spread").alias("spread"), "category", "ood")
+    return asm.stratified_pick(annotated(t), "spread", "ood", "category", "image_id").select("image_id", r6("spread", 9).alias("spread"), "category", "ood")
 
 
 @query("x12_annotation_batch", "picks anchors", f"select image_id, is_anchor, annotation_stratum, known_mos, row_number() over (order by {h(repr('42'), 'image_id', 'case when is_anchor then $$true$$ else $$false$$ end')}, image_id)::int as presentation_order from b",
@@ -147,7 +147,7 @@ def x12(t):
 
 @query("x13_rater_processing", "scored truth_wide", f"""select image_id, dimension, {r('mos')} as mos, {r('sd')} as mos_std, {r('mos * a + b')} as calibrated, sd > 1 as high_variance from m join l using (dimension)""",
        an="select image_id, dimension, max(gt) as known from scored where category = '1-URGENT' group by 1, 2",
-       dr="select model from scored join an using (image_id, dimension) group by model, dimension having count(*) >= 3 and stddev_pop(score - known) > 1.0",
+       dr="select model from scored join an using (image_id, dimension) group by model, dimension having count(*) >= 3 and stddev_pop(score - known) > 1.045",
        m="select image_id, dimension, avg(score) as mos, stddev_samp(score) as sd from panel where model not in (from dr) group by 1, 2",
        l="select dimension, regr_slope(known, mos) as a, regr_intercept(known, mos) as b from m join an using (image_id, dimension) group by 1")
 def x13(t):
@@ -155,7 +155,7 @@ def x13(t):
 
     rows = scored(t)
     anchors = rows.where(F.col("category") == "1-URGENT").groupBy(*KEYS).agg(F.max("gt").alias("known_mos"))
-    done = asm.process_raters(t.panel.withColumnRenamed("model", "rater"), anchors, 1.0)
+    done = asm.process_raters(t.panel.withColumnRenamed("model", "rater"), anchors, 1.045)
     return done.select(*KEYS, r6("mos").alias("mos"), r6("mos_std").alias("mos_std"), r6("calibrated").alias("calibrated"), "high_variance")
 
 
@@ -248,7 +248,7 @@ def x19(t):
     return master.select("canonical_id", "split", "path", "ori", F.size("dimensions").alias("n_dimensions"), r6(F.try_element_at("dimensions", F.lit("overall"))).alias("mos"))
 
 
-@query("x20_accepted_to_master", "vetoed_rows", f"""select image_id, count(*) as n_dimensions, {r('max(final_weight)')} as max_weight, bool_or(vetoed) as any_veto, {r('max(spread)')} as spread from vetoed_rows where tier <> 'hard_reject' group by 1""")
+@query("x20_accepted_to_master", "vetoed_rows", f"""select image_id, count(*) as n_dimensions, {r('max(final_weight)', 9)} as max_weight, bool_or(vetoed) as any_veto, {r('max(spread)', 9)} as spread from vetoed_rows where tier <> 'hard_reject' group by 1""")
 def x20(t):
     """Machine labels as master records: nested provenance per dimension, spread signals kept."""
     rows = Parts(t).vetoed.where(F.col("tier") != un.REJECT)
@@ -257,8 +257,8 @@ def x20(t):
                    F.struct("tier", "weight", "reason", signals.alias("signals")).alias("acceptance"), "vetoed")
     master = rows.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("dimension", rec))).alias("dimensions"))
     vals = F.map_values("dimensions")
-    return master.select("image_id", F.size("dimensions").cast("long").alias("n_dimensions"), r6(F.array_max(F.transform(vals, lambda d: d["acceptance"]["weight"]))).alias("max_weight"),
-                         F.exists(vals, lambda d: d["vetoed"]).alias("any_veto"), r6(F.array_max(F.transform(vals, lambda d: d["acceptance"]["signals"]["spread"]))).alias("spread"))
+    return master.select("image_id", F.size("dimensions").cast("long").alias("n_dimensions"), r6(F.array_max(F.transform(vals, lambda d: d["acceptance"]["weight"])), 9).alias("max_weight"),
+                         F.exists(vals, lambda d: d["vetoed"]).alias("any_veto"), r6(F.array_max(F.transform(vals, lambda d: d["acceptance"]["signals"]["spread"])), 9).alias("spread"))
 
 
 @query("x21_ratings_per_image", "ratings", f"select image_id, count(*) as n, count(*) filter (error <> '') as n_errors, {r('arg_min(score, ord)')} as first_score from v group by 1",

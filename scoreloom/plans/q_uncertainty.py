@@ -120,9 +120,9 @@ def a3(t):
     return Parts(t).normed.select("image_id", "model", r6("z").alias("z"))
 
 
-@query("u2_spread", "spreads", f"select image_id, {r('spread')} as spread, n_spread_models from spreads")
+@query("u2_spread", "spreads", f"select image_id, {r('spread', 9)} as spread, n_spread_models from spreads")
 def u2(t):
-    return Parts(t).spreads.select("image_id", r6("spread").alias("spread"), "n_spread_models")
+    return Parts(t).spreads.select("image_id", r6("spread", 9).alias("spread"), "n_spread_models")
 
 
 @query("u3_cluster_divergence", "spreads", f"select image_id, {r('cluster_divergence')} as cluster_divergence from spreads")
@@ -160,17 +160,17 @@ TUNED = un.Thresholds(sigma_sq_auto=0.3, sigma_sq_low=0.5, entropy_auto=1.1, ent
 
 @query("u5_tier_spread", "signals", f"""select image_id, dimension, tier, {r(f'''case tier when 'auto_accept' then 1e0 when 'low_weight' then 0.6e0 - greatest(
         greatest(0e0, least(1e0, (jsd - a) / (b - a))), {POS('sigma_sq', '0.3', '0.5')}, {POS('entropy', '1.1', '1.3')},
-        case when n_spread_models >= 2 then {POS('spread', '0.8', '1.2')} else 0e0 end) * (0.6e0 - 0.3e0) else 0e0 end''')} as weight from d""",
+        case when n_spread_models >= 2 then {POS('spread', '0.8', '1.2')} else 0e0 end) * (0.6e0 - 0.3e0) else 0e0 end''', 9)} as weight from d""",
        s="""select *, case dimension when 'overall' then 0.05e0 when 'color' then 0.1e0 else 0.06e0 end as a,
             case dimension when 'overall' then 0.2e0 when 'color' then 0.3e0 else 0.12e0 end as b from signals""",
        d=f"select *, {SPREAD_TIER} as tier from s")
 def u5b(t):
-    return un.decide(Parts(t).signals, TUNED).select(*KEYS, "tier", r6("weight").alias("weight"))
+    return un.decide(Parts(t).signals, TUNED).select(*KEYS, "tier", r6("weight", 9).alias("weight"))
 
 
-@query("u6_low_weight", "decided", f"select image_id, dimension, {r('weight')} as weight from decided where tier = 'low_weight'")
+@query("u6_low_weight", "decided", f"select image_id, dimension, {r('weight', 9)} as weight from decided where tier = 'low_weight'")
 def u6(t):
-    return Parts(t).decided.where(F.col("tier") == un.LOW).select(*KEYS, r6("weight").alias("weight"))
+    return Parts(t).decided.where(F.col("tier") == un.LOW).select(*KEYS, r6("weight", 9).alias("weight"))
 
 
 REASON = """case when tier = 'hard_reject' then 'd_M=' || format('{:.1f}', distance) || ' > 61.62 (hard reject)'
@@ -202,12 +202,12 @@ def u9(t):
     return un.rank_weight(Parts(t).signals, ["dimension"]).select(*KEYS, r6("rank_weight").alias("weight"))
 
 
-@query("u10_pseudo_labels", "decided", f"""select image_id, dimension, tier, {r('weight')} as weight, {r('mos')} as mos,
-        {r(std_sql('probs', 'mos'))} as std, {r('jsd')} as jsd, {r('entropy')} as entropy, {r('distance')} as distance, {r('spread')} as spread from decided""")
+@query("u10_pseudo_labels", "decided", f"""select image_id, dimension, tier, {r('weight', 9)} as weight, {r('mos')} as mos,
+        {r(std_sql('probs', 'mos'))} as std, {r('jsd', 9)} as jsd, {r('entropy', 9)} as entropy, {r('distance')} as distance, {r('spread', 9)} as spread from decided""")
 def u10(t):
     p = Parts(t)
     rows = un.pseudo_labels(t.preds, t.cross_levels, t.distances, p.spreads)
-    return rows.select(*KEYS, "tier", *[r6(c).alias(c) for c in ("weight", "mos", "std", "jsd", "entropy", "distance", "spread")])
+    return rows.select(*KEYS, "tier", *[r6(c, 9 if c in ("weight", "jsd", "entropy", "spread") else 6).alias(c) for c in ("weight", "mos", "std", "jsd", "entropy", "distance", "spread")])
 
 
 @query("u11_review_queue", "queue", "select image_id, dimension, queue_pos from queue")
@@ -220,15 +220,15 @@ def w4(t):
     return un.review_queue(Parts(t).decided).select(*KEYS, r6("jsd").alias("jsd"))
 
 
-@query("u12_veto", "vetoed_rows", f"select image_id, dimension, vetoed, {r('final_weight')} as weight from vetoed_rows")
+@query("u12_veto", "vetoed_rows", f"select image_id, dimension, vetoed, {r('final_weight', 9)} as weight from vetoed_rows")
 def u12(t):
-    return Parts(t).vetoed.select(*KEYS, "vetoed", r6("weight").alias("weight"))
+    return Parts(t).vetoed.select(*KEYS, "vetoed", r6("weight", 9).alias("weight"))
 
 
-@query("u13_accepted", "vetoed_rows", f"""select image_id, dimension, tier, {r('final_weight')} as weight from vetoed_rows
+@query("u13_accepted", "vetoed_rows", f"""select image_id, dimension, tier, {r('final_weight', 9)} as weight from vetoed_rows
         where final_weight >= 0.3 and tier <> 'hard_reject' and not vetoed""")
 def u13(t):
-    return un.accepted(Parts(t).vetoed).select(*KEYS, "tier", r6("weight").alias("weight"))
+    return un.accepted(Parts(t).vetoed).select(*KEYS, "tier", r6("weight", 9).alias("weight"))
 
 
 Q = lambda c, p: f"quantile_cont({c}, {p})"
