@@ -243,7 +243,7 @@ def process_raters(ratings: DataFrame, anchors: DataFrame, outlier_std: float =
         F.count(F.lit(1)).alias("_n"), F.regr_slope("known_mos", "mos").alias("_a"), F.regr_intercept("known_mos", "mos").alias("_b"))
     joined = attach(mos, line, ["dimension"], "left")
     calibrated = F.when(F.col("_n") >= 2, F.col("mos") * F.col("_a") + F.col("_b"))
-    return joined.select(*keys, "mos", "mos_std", calibrated.alias("calibrated"), (F.col("mos_std") > high_std).alias("high_variance"))
+    return joined.select(*keys, "mos", "mos_std", calibrated.alias("calibrated"), F.coalesce(F.col("mos_std") > high_std, F.lit(False)).alias("high_variance"))
 
 
 # ---- plans and labels -------------------------------------------------------------------

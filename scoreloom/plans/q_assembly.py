@@ -145,7 +145,7 @@ def x12(t):
     return batch.select("image_id", "is_anchor", "annotation_stratum", r6("known_mos").alias("known_mos"), "presentation_order")
 
 
-@query("x13_rater_processing", "scored truth_wide", f"""select image_id, dimension, {r('mos')} as mos, {r('sd')} as mos_std, {r('mos * a + b')} as calibrated, sd > 1 as high_variance from m join l using (dimension)""",
+@query("x13_rater_processing", "scored truth_wide", f"""select image_id, dimension, {r('mos')} as mos, {r('sd')} as mos_std, {r('mos * a + b')} as calibrated, coalesce(sd > 1, false) as high_variance from m join l using (dimension)""",
        an="select image_id, dimension, max(gt) as known from scored where category = '1-URGENT' group by 1, 2",
        dr="select model from scored join an using (image_id, dimension) group by model, dimension having count(*) >= 3 and stddev_pop(score - known) > 1.045",
        m="select image_id, dimension, avg(score) as mos, stddev_samp(score) as sd from panel where model not in (from dr) group by 1, 2",

@@ -160,12 +160,12 @@ TUNED = un.Thresholds(sigma_sq_auto=0.3, sigma_sq_low=0.5, entropy_auto=1.1, ent
 
 @query("u5_tier_spread", "signals", f"""select image_id, dimension, tier, {r(f'''case tier when 'auto_accept' then 1e0 when 'low_weight' then 0.6e0 - greatest(
         greatest(0e0, least(1e0, (jsd - a) / (b - a))), {POS('sigma_sq', '0.3', '0.5')}, {POS('entropy', '1.1', '1.3')},
-        case when n_spread_models >= 2 then {POS('spread', '0.8', '1.2')} else 0e0 end) * (0.6e0 - 0.3e0) else 0e0 end''', 9)} as weight from d""",
+        case when n_spread_models >= 2 then {POS('spread', '0.8', '1.2')} else 0e0 end) * (0.6e0 - 0.3e0) else 0e0 end''', 11)} as weight from d""",
        s="""select *, case dimension when 'overall' then 0.05e0 when 'color' then 0.1e0 else 0.06e0 end as a,
             case dimension when 'overall' then 0.2e0 when 'color' then 0.3e0 else 0.12e0 end as b from signals""",
        d=f"select *, {SPREAD_TIER} as tier from s")
 def u5b(t):
-    return un.decide(Parts(t).signals, TUNED).select(*KEYS, "tier", r6("weight", 9).alias("weight"))
+    return un.decide(Parts(t).signals, TUNED).select(*KEYS, "tier", r6("weight", 11).alias("weight"))
 
 
 @query("u6_low_weight", "decided", f"select image_id, dimension, {r('weight', 9)} as weight from decided where tier = 'low_weight'")
