@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import pieces
+from . import pieces, quality
 from .stages import documents_of
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -25,3 +26,20 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts."""
     return pieces.digests(documents_of(spark, sf_dir), PIECE_MODEL)
+
+
+def remainder(id_col: str):
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
+
+
+def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality.Model:
+    """Fitted on the labels outside the held-out third."""
+    return quality.fit(docs.where(remainder("doc_id") != 1), documents_of(spark, sf_dir, "labels").where(remainder("doc_id") != 1))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; held_out marks the third whose labels weren't used."""
+    docs = documents_of(spark, sf_dir)
+    scored = quality.score(docs.select("doc_id", "text"), quality_model(spark, sf_dir, docs))
+    return scored.select("doc_id", (remainder("doc_id") == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
