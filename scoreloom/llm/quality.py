@@ -1,6 +1,7 @@
-"""Quality classifier: naive Bayes support vectors over byte n-grams.
+"""Quality classifier: naive Bayes support vectors over n-grams.
 
-An n-gram counts once per text. Class counts over *all* labelled training texts give
+N-grams are those of bytes and those of *echoes*: a word counts as 1 if it equals the
+word before, 2 if the one before that, else 0. An n-gram counts once per text. Class counts over *all* labelled training texts give
 log-count ratios; indicators scaled by them, at unit length, feed a linear hinge-loss
 model fitted by dual coordinate descent on a sample of at most ``sample_rows`` texts.
 N-grams are hashed to 2^BITS buckets, which bounds counts, weights and broadcast.
@@ -17,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textblocks import Bytes, byte_values, chunks
+from .textblocks import SPACE_WORDS, Words, byte_values, chunks
 
 BITS = 17
 ORDERS = (2, 3)
+ECHO_ORDER = 4
 _U = np.uint64
 
 
@@ -41,15 +43,24 @@ class Indicators:
         self.stamp = np.zeros(1 << BITS, np.int32)
 
     def of(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        block = Bytes(texts)
+        words = Words(texts, SPACE_WORDS)
+        block = words.bytes
         data = block.data.astype(np.uint64) + _U(1)
         grams, value = {}, data
         for k in range(2, max(ORDERS) + 1):
             value = value[:-1] * _U(257) + data[k - 1:]
             if k in ORDERS:
                 grams[k] = (((value + _U(k << 40)) * _U(0x9E3779B97F4A7C15)) >> _U(64 - BITS)).astype(np.int32)
-        for a, b in zip(block.begin.tolist(), block.end.tolist(), strict=True):
-            keys = np.concatenate([grams[k][a:max(a, b - k + 1)] for k in ORDERS])
+        h, doc = words.hash, words.doc
+        echo = np.zeros(len(h) + ECHO_ORDER, np.uint64)
+        echo[2:len(h)][(h[2:] == h[:-2]) & (doc[2:] == doc[:-2])] = 2
+        echo[1:len(h)][(h[1:] == h[:-1]) & (doc[1:] == doc[:-1])] = 1
+        value = echo[:len(h)]
+        for k in range(1, ECHO_ORDER):
+            value = value * _U(3) + echo[k:len(h) + k]
+        echoes = (((value + _U(1 << 60)) * _U(0x9E3779B97F4A7C15)) >> _U(64 - BITS)).astype(np.int32)
+        for a, b, c, d in zip(block.begin.tolist(), block.end.tolist(), words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+            keys = np.concatenate([*(grams[k][a:max(a, b - k + 1)] for k in ORDERS), echoes[c:max(c, d - ECHO_ORDER + 1)]])
             at = np.arange(len(keys), dtype=np.int32)
             self.stamp[keys] = at
             yield keys[self.stamp[keys] == at]
