@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, quality
+from . import decontaminate, pieces, quality
 from .stages import documents_of
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -43,3 +43,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents_of(spark, sf_dir)
     scored = quality.score(docs.select("doc_id", "text"), quality_model(spark, sf_dir, docs))
     return scored.select("doc_id", (remainder("doc_id") == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that lie in a ten-word window of a benchmark item."""
+    return decontaminate.digests(decontaminate.spans(documents_of(spark, sf_dir), documents_of(spark, sf_dir, "benchmark")))
