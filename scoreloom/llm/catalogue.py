@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, pieces, quality
+from . import decontaminate, factors, minhash, pieces, quality
 from .stages import documents_of
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -56,3 +56,9 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: three-word shingles, similarity of 0.85 or more."""
     found = minhash.groups(documents_of(spark, sf_dir), size=3, percent=85)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+@query
+def op5_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents in 50-word windows that also start in a smaller document."""
+    return factors.digests(factors.duplicate_spans(documents_of(spark, sf_dir)))

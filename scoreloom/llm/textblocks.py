@@ -63,6 +63,11 @@ class Prefix:
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.down[start]
 
+    def every(self, k: int) -> np.ndarray:
+        """Hashes of all stretches of k units."""
+        n = max(0, len(self.sums) - k)
+        return mix((self.sums[k:] - self.sums[:n]) * self.down[:n])
+
 
 def byte_values(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """Texts as UTF-8; null as empty."""
@@ -111,9 +116,8 @@ class Words:
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all stretches of k words, and whether a stretch stays in its text."""
-        n = max(0, len(self.hash) - k + 1)
-        at = np.arange(n)
-        return mix(Prefix(self.hash, WORD_BASE).span(at, at + k)), self.doc[:n] == self.doc[k - 1:] if n else np.zeros(0, bool)
+        hashes = Prefix(self.hash, WORD_BASE).every(k)
+        return hashes, self.doc[:len(hashes)] == self.doc[k - 1:] if len(hashes) else np.zeros(0, bool)
 
 
 def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
