@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, factors, minhash, pieces, quality
-from .stages import documents_of
+from . import decontaminate, factors, minhash, pieces, quality, suffixes
+from .stages import documents_of, small_batches
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -18,7 +18,11 @@ ORACLES: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[fn.__name__] = fn
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
     return fn
 
 
@@ -62,3 +66,9 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents in 50-word windows that also start in a smaller document."""
     return factors.digests(factors.duplicate_spans(documents_of(spark, sf_dir)))
+
+
+@query
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents in 100-byte strings that also start earlier."""
+    return suffixes.digests(suffixes.duplicate_spans(documents_of(spark, sf_dir))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

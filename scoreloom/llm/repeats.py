@@ -69,7 +69,8 @@ class Units:
     def runs(self, gram: int) -> tuple[np.ndarray, ...]:
         """text, start (in all units), windows, key and content of every run."""
         w = self.kind.window
-        keys = window_minimum(self.prefix.every(gram), w - gram + 1)
+        grams = self.prefix.every(gram)
+        keys = window_minimum(grams, w - gram + 1)
         limit = np.maximum(self.begin, self.end - w + 1)  # the first start that leaves the text
         cuts = np.concatenate((np.flatnonzero(keys[1:] != keys[:-1]) + 1 if len(keys) else np.zeros(0, int), self.begin, limit))
         cuts = np.append(np.unique(cuts[cuts < len(keys)]), len(keys))
@@ -83,6 +84,19 @@ class Units:
         start, size = start + nth * RUN, np.minimum(size - nth * RUN, RUN)
         return text, start, size, keys[start], mix(self.prefix.span(start, start + size + w - 1))
 
+    def doubled(self, gram: int, start: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Runs in which the key's gram stands more than once, so that windows of one run can be equal."""
+        reach = self.kind.window - gram
+        grams = self.prefix.every(gram)
+        edge = np.zeros(reach, np.uint64)
+        keys = window_minimum(grams, reach + 1)
+        most = ~window_minimum(~np.concatenate((edge, keys, edge)), reach + 1) if len(keys) else keys
+        place = np.flatnonzero(grams[:len(most)] == most)  # grams that are the key of some window
+        values, rank = np.unique(grams[place], return_inverse=True)
+        sorted_places = np.sort((rank << 32) + place)
+        mine = np.searchsorted(values, key) << 32
+        return np.searchsorted(sorted_places, mine + start + size + reach) - np.searchsorted(sorted_places, mine + start) > 1
+
     def piece(self, start: int, n_units: int) -> bytes:
         if not self.kind.words:
             return self.data[start:start + n_units].tobytes()
@@ -99,13 +113,16 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def key_counts(docs: DataFrame, kind: Kind) -> DataFrame:
-    """Keys with more than one run."""
+    """Keys with more than one run, or one that may repeat itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = byte_values(batch.column(0))
-            for lo, hi in chunks(texts, 4 << 20):
-                keys, counts = np.unique(kind.units(texts[lo:hi]).runs(kind.grams[0])[3], return_counts=True)
+            for lo, hi in chunks(texts):
+                units = kind.units(texts[lo:hi])
+                _, start, size, key, _ = units.runs(kind.grams[0])
+                twice = units.doubled(kind.grams[0], start, size, key) if kind.within else np.zeros(len(key), bool)
+                keys, counts = np.unique(np.concatenate((key, key[twice])), return_counts=True)
                 yield _arrow(["key", "runs"], _signed(keys), counts)
 
     found = docs.select("text").mapInArrow(run, "key long, runs long")

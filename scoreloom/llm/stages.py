@@ -43,3 +43,8 @@ def spare(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB for this session, so that long texts don't fill the workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
