@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, factors, minhash, pieces, quality, suffixes
+from . import decontaminate, factors, minhash, pieces, quality, suffixes, topk
 from .stages import documents_of, small_batches
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -72,3 +72,18 @@ def op5_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents in 100-byte strings that also start earlier."""
     return suffixes.digests(suffixes.duplicate_spans(documents_of(spark, sf_dir))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every fiftieth vector."""
+    table = topk.whole_numbers(documents_of(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return topk.search(table.where("vec_id % 50 = 0"), table, 5)
+
+
+ORACLES["op9_topk"] = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) e from embeddings
+           where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id query_id, v.vec_id, list_dot_product(q.e, v.e)::bigint score from v q join v on q.vec_id % 50 = 0 and q.vec_id <> v.vec_id)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int rank, vec_id, score from s
+qualify rank <= 5"""
