@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, factors, minhash, pieces, quality, suffixes, topk
+from . import decontaminate, factors, minhash, personal, pieces, quality, suffixes, topk
 from .stages import documents_of, small_batches
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -74,6 +74,13 @@ def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(suffixes.duplicate_spans(documents_of(spark, sf_dir))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@query
+def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: base spans of the patterns, and those the random field adds."""
+    docs = documents_of(spark, sf_dir)
+    return personal.digests(personal.find(docs, personal.fit(docs)))
+
+
 @query
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best other vectors of every fiftieth vector."""
