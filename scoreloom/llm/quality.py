@@ -23,6 +23,7 @@ from .textblocks import SPACE_WORDS, Words, byte_values, chunks
 BITS = 17
 ORDERS = (2, 3)
 ECHO_ORDER = 4
+SEND_MOST = 1_000_000  # labels that may be broadcast; beyond, a shuffled join
 _U = np.uint64
 
 
@@ -118,7 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).distinct()
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    counts = class_counts(texts.join(marked, "_id"), "_text", "_label").collect()  # 2^BITS rows at most
+    few = marked.count() <= SEND_MOST  # then texts needn't be shuffled
+    counts = class_counts(texts.join(F.broadcast(marked) if few else marked, "_id"), "_text", "_label").collect()  # 2^BITS rows at most
     good, bad = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for r in counts:
         good[r.bucket], bad[r.bucket] = r.good, r.bad
