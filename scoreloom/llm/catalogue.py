@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, factors, minhash, personal, pieces, quality, suffixes, topk
+from . import decontaminate, factors, licenses, minhash, personal, pieces, quality, suffixes, topk
 from .stages import documents_of, small_batches
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -32,6 +32,16 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(documents_of(spark, sf_dir), PIECE_MODEL)
 
 
+@query
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that all documents are or hold as a paragraph or a line."""
+    docs = documents_of(spark, sf_dir)
+    return licenses.per_document(docs, licenses.scan(docs, licenses.known_digests(spark)))
+
+
+ORACLES["op2_licenses"] = licenses.sql()
+
+
 def remainder(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
 
