@@ -241,7 +241,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
         yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f8").tobytes()], pa.binary()) for x in (field.token, field.near, field.skip)], names=["token", "near", "skip"])
 
     kind = T.StructType([T.StructField("id", rows.schema["id"].dataType), *T._parse_datatype_string("f binary, l binary, n binary, s binary").fields])
-    got = rows.mapInArrow(look, kind).coalesce(1).mapInArrow(solve, "token binary, near binary, skip binary").first()
+    got = rows.mapInArrow(look, kind).repartition(1).mapInArrow(solve, "token binary, near binary, skip binary").first()
     return Field(np.frombuffer(got.token, "<f8").reshape(-1, LABELS), np.frombuffer(got.near, "<f8").reshape(LABELS, LABELS), np.frombuffer(got.skip, "<f8").reshape(2, LABELS, LABELS))
 
 
