@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, factors, licenses, minhash, personal, pieces, quality, suffixes, topk
+from . import decontaminate, factors, licenses, lines, minhash, personal, pieces, quality, suffixes, topk
 from .stages import documents_of, small_batches
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -32,6 +32,14 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(documents_of(spark, sf_dir), PIECE_MODEL)
 
 
+@query
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents that go, and the digest of what stays."""
+    docs = documents_of(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    kept = lines.without(docs, lines.repeated_lines(docs)).withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
+    return kept.select("doc_id", "n_removed", (F.col("n_lines") * (F.length("text") > 0).cast("long")).alias("n_kept"), F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
+
+
 @query
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences that all documents are or hold as a paragraph or a line."""
