@@ -100,12 +100,12 @@ class Automaton:
 
     def hits(self, words: Words) -> Iterator[tuple[int, int, int]]:
         """First word, end and item of every window that occurs in the texts."""
-        if not self.sizes:
+        if not self.sizes or not len(words.hash):
             return
         at = np.searchsorted(self.vocabulary, words.hash)
         at[at == len(self.vocabulary)] = 0
         known = self.vocabulary[at] == words.hash
-        edge = np.flatnonzero(np.append(True, (known[1:] != known[:-1]) | (words.doc[1:] != words.doc[:-1]))) if len(known) else np.zeros(0, int)
+        edge = np.flatnonzero(np.append(True, (known[1:] != known[:-1]) | (words.doc[1:] != words.doc[:-1])))
         ends = np.append(edge[1:], len(known))
         for a, b in zip(edge.tolist(), ends.tolist(), strict=True):
             if not known[a] or b - a < self.sizes[0]:
