@@ -190,9 +190,14 @@ def named_levels(probs: Column) -> Column:
 
 
 def linear_fix(p: Column, score: Column) -> Column:
-    """struct(alpha, beta) such that alpha*p + beta has mass 1 and mean ``score``."""
-    alpha = (score - 3) / (mos(p) - dbl(3) * total(p) + 1e-9)
-    return let(alpha, lambda a: F.struct(a.alias("alpha"), ((dbl(1) - a * total(p)) / 5).alias("beta")))
+    """struct(alpha, beta) such that alpha*p + beta has mass 1 and mean ``score``.
+
+    A mean of 3 leaves alpha to the small term below the line; mass and mean are rounded
+    to 12 digits so that it doesn't hang on the last bit of a sum.
+    """
+    mass, excess = F.round(total(p), 12), F.round(mos(p) - dbl(3) * total(p), 12)
+    alpha = (score - 3) / (excess + 1e-9)
+    return let(alpha, lambda a: F.struct(a.alias("alpha"), ((dbl(1) - a * mass) / 5).alias("beta")))
 
 
 def bins_to_levels(bins: Column) -> Column:

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.exact import exact_mann_whitney, exact_signed_rank
 from ..functions.numerics import dbl, safe_ratio
 from .ranking import attach, cumulative, position, quantiles, rank_table
 
@@ -171,27 +172,37 @@ def fpr_at_tpr(df: DataFrame, score: str, label: str, target: float = 0.95, by:
 # ---- rank tests ----------------------------------------------------------------
 
 def wilcoxon_greater(df: DataFrame, difference: str, by: Sequence[str], min_rows: int = 5) -> DataFrame:
-    """Signed-rank statistic (sum of positive ranks), normal one-sided p, mean difference."""
+    """Signed-rank statistic (sum of positive ranks), one-sided p, mean difference.
+
+    p is exact for at most 50 differences without ties or zeros, else normal. Groups
+    below ``min_rows`` keep their row; statistic, p and mean are NULL there.
+    """
     by = list(by)
-    means = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(difference).alias("mean_difference"))
+    means = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(difference).alias("_mean"))
     nonzero = df.where(F.col(difference) != 0).withColumn("_a", F.abs(difference))
     cells = nonzero.groupBy(*by, "_a").agg(F.count(F.lit(1)).alias("_w"),
                                            F.count(F.when(F.col(difference) > 0, 1)).alias("_up"))
     ranks = rank_table(cells, "_a", by, "_r", "_w").drop("_r_of")
     w = F.col("_w").cast("double")
     sums = cells.join(ranks, [*by, "_a"]).groupBy(*by).agg(
-        F.sum("_w").alias("n_nonzero"), F.sum(F.col("_r") * F.col("_up")).alias("statistic"),
+        F.sum("_w").alias("n_nonzero"), F.sum(F.col("_r") * F.col("_up")).alias("_statistic"),
         F.sum(w * w * w - w).alias("_ties"))
     m = F.col("n_nonzero").cast("double")
     spread = F.sqrt((m * (m + 1) * (2 * m + 1) - F.col("_ties") / 2) / 24)
-    z = safe_ratio(F.col("statistic") - m * (m + 1) / 4, spread, 0)
-    return (means.join(sums, by, "left").where(F.col("n") >= min_rows)
-            .select(*by, "n", F.coalesce("n_nonzero", F.lit(0)).alias("n_nonzero"), "statistic",
-                    normal_upper_tail(z).alias("p_value"), "mean_difference"))
+    normal = normal_upper_tail(safe_ratio(F.col("_statistic") - m * (m + 1) / 4, spread, 0))
+    rows = means.join(sums, by, "left").withColumn("_exact", exact_signed_rank(F.coalesce("n_nonzero", F.lit(0)), F.coalesce("_statistic", F.lit(0.0))))
+    untied = (F.col("_ties") == 0) & (F.col("n_nonzero") == F.col("n"))
+    enough = F.col("n") >= min_rows
+    return rows.select(*by, "n", F.coalesce("n_nonzero", F.lit(0)).alias("n_nonzero"), F.when(enough, F.coalesce("_statistic", dbl(0))).alias("statistic"),
+                       F.when(enough, F.coalesce(F.when(untied, F.col("_exact")), normal, dbl(1))).alias("p_value"), F.when(enough, F.col("_mean")).alias("mean_difference"))
 
 
 def mann_whitney(df: DataFrame, value: str, group: Column, by: Sequence[str] = ()) -> DataFrame:
-    """U of the rows where ``group`` is true against the others, with a tie-corrected two-sided normal p."""
+    """U of the rows where ``group`` is true, and the p of their values being smaller than the others'.
+
+    p is exact where one side has at most 8 rows and no values tie, else normal with a
+    continuity term of one half and corrected for ties.
+    """
     by = list(by)
     cells = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_w"), F.count(F.when(group, 1)).alias("_in"))
     ranks = rank_table(cells, value, by, "_r", "_w").drop("_r_of")
@@ -202,8 +213,9 @@ def mann_whitney(df: DataFrame, value: str, group: Column, by: Sequence[str] = (
     n, a = F.col("n").cast("double"), F.col("n_in").cast("double")
     b, u = n - a, F.col("_rs") - a * (a + 1) / 2
     spread = F.sqrt(a * b / 12 * (n + 1 - safe_ratio(F.col("_ties"), n * (n - 1), 0)))
-    z = F.abs(safe_ratio(u - a * b / 2, spread, 0))
-    return sums.select(*by, "n", "n_in", u.alias("u"), F.least(dbl(1), 2 * normal_upper_tail(z)).alias("p_value"))
+    normal = normal_upper_tail(-safe_ratio(u - a * b / 2 + dbl(0.5), spread, 0))
+    rows = sums.withColumn("_exact", exact_mann_whitney(F.col("n_in"), F.col("n") - F.col("n_in"), u))
+    return rows.select(*by, "n", "n_in", u.alias("u"), F.coalesce(F.when(F.col("_ties") == 0, F.col("_exact")), normal).alias("p_value"))
 
 
 # ---- agreement between level assignments ----------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def with_matching_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -45,7 +45,6 @@ def wide_outer(long: DataFrame, value: str, order: str, dimensions) -> DataFrame
 # ---- merging of nested records -----------------------------------------------------------
 
 OPTIONAL = ("split", "image_path_ori", "image_detection_id", "document", "ood", "spread", "pipeline_run_id")
-DIMENSION_FIELDS = ("label_source", "level_probs", "mos", "std", "human", "primary", "cross_validation", "acceptance", "veto", "active_learning")
 
 
 def _merged_map(old: Column, new: Column) -> Column:
@@ -62,12 +61,17 @@ def _merged_dimensions(old: Column, new: Column, fields) -> Column:
 
 def _merged_evals(old: Column, new: Column) -> Column:
     """Judge entries by model id; the update replaces an entry and appends new ones."""
-    as_map = lambda c: F.map_from_entries(F.transform(c, lambda e: F.struct(e["model_id"].alias("key"), e.alias("value"))))
-    return F.map_values(_merged_map(as_map(old), as_map(new)))
+    return F.map_values(_merged_map(_by_model(old), _by_model(new)))
 
 
-def merge_records(existing: DataFrame, update: DataFrame) -> DataFrame:
-    """Upsert of partial image records by ``canonical_id``.
+def _by_model(entries: Column) -> Column:
+    """Entries by model id; of several for one model the last stands."""
+    names = F.array_distinct(F.transform(entries, lambda e: e["model_id"]))
+    return F.map_from_arrays(names, F.transform(names, lambda m: F.element_at(F.filter(entries, lambda e: e["model_id"] == m), -1)))
+
+
+def merge_records(existing: DataFrame, update: DataFrame, on=("canonical_id",)) -> DataFrame:
+    """Upsert of partial image records, one row per key on either side (see ``fold_records``).
 
     Seven optional fields, dimension fields and judge entries of the update win
     where they are set, tags of the update win, flags are or-ed. One full outer
@@ -75,7 +79,7 @@ def merge_records(existing: DataFrame, update: DataFrame) -> DataFrame:
     """
     fields = [f.name for f in existing.schema["dimensions"].dataType.valueType.fields]
     o, u = existing.alias("o"), update.alias("u")
-    joined = o.join(u, F.col("o.canonical_id") == F.col("u.canonical_id"), "full_outer")
+    joined = o.join(u, [F.col(f"o.{k}") == F.col(f"u.{k}") for k in on], "full_outer")
     cols = []
     for name in existing.columns:
         old, new = F.col(f"o.{name}"), F.col(f"u.{name}")
@@ -95,8 +99,18 @@ def merge_records(existing: DataFrame, update: DataFrame) -> DataFrame:
     return joined.select(*cols)
 
 
-def fold_updates(updates: DataFrame, key: str, order: str) -> DataFrame:
-    """Many ordered partial flat records per key: the last value that is set wins, column by column."""
-    names = [c for c in updates.columns if c not in (key, order)]
-    return updates.groupBy(key).agg(*[
-        F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in names])
+def fold_records(updates: DataFrame, order: str) -> DataFrame:
+    """Several partial records per id as one, as if merged one after the other by ``order``.
+
+    Merging is associative, so neighbours are merged in pairs: the number of joins grows
+    with the logarithm of the most updates of one id.
+    """
+    w = Window.partitionBy("canonical_id").orderBy(order)
+    rows = updates.withColumn("_slot", (F.row_number().over(w) - 1).cast("long")).drop(order)
+    names = [c for c in rows.columns if c != "_slot"]
+    last = rows.agg(F.max("_slot")).first()[0] or 0
+    while last:
+        even, odd = (rows.where(F.col("_slot") % 2 == k).select(*names, F.shiftright("_slot", 1).alias("_slot")) for k in (0, 1))
+        rows = merge_records(even, odd, ("canonical_id", "_slot"))
+        last //= 2
+    return rows.drop("_slot")

@@ -296,9 +296,9 @@ REPORT = ("raw_l1", "raw_l2", "l1", "l2", "alpha_mean", "alpha_std", "beta_mean"
 
 
 @query("a32_soft_label_report", "soft", f"""select count(*) as n, {r('avg(raw_gap)')} as raw_l1, {r('sqrt(avg(raw_gap * raw_gap))')} as raw_l2, {r('avg(gap)')} as l1, {r('sqrt(avg(gap * gap))')} as l2, {r('avg(alpha)')} as alpha_mean,
-        {r('stddev_pop(alpha)')} as alpha_std, {r('avg(beta)')} as beta_mean, {r('stddev_pop(beta)')} as beta_std, {r('avg(two::int)')} as two_level_share from soft""")
+        {r('stddev_pop(alpha)')} as alpha_std, {r('avg(beta)')} as beta_mean, {r('stddev_pop(beta)')} as beta_std, {r('avg(two::int)')} as two_level_share from soft where split in ('train', 'test')""")
 def a32(t):
-    return asm.soft_label_report(soft(t)).select("n", *[r6(c).alias(c) for c in REPORT])
+    return asm.soft_label_report(soft(t).where(F.col("split").isin("train", "test"))).select("n", *[r6(c).alias(c) for c in REPORT])
 
 
 @query("x23_two_level_labels", "truth", f"select image_id, dimension, level, {level_columns('p', digits=8)} from (select *, {TWO.replace('mn', 'gt')} as p from v)",

@@ -127,24 +127,24 @@ def r25(t):
 
 
 A27 = """select image_id, split, avg(z) filter (model in ('rater_af', 'rater_ao')) as v, avg(z) filter (model in ('rater_rf', 'rater_ro')) as l,
-    stddev_pop(z) filter (model in ('rater_af', 'rater_ao')) as sv, stddev_pop(z) filter (model in ('rater_rf', 'rater_ro')) as sl
+    stddev_samp(z) filter (model in ('rater_af', 'rater_ao')) as sv, stddev_samp(z) filter (model in ('rater_rf', 'rater_ro')) as sl
     from normed join truth_wide using (image_id) group by 1, 2 having v is not null and l is not null"""
 
 
-@query("a27_cluster_divergence", "normed truth_wide", f"""select split, count(*) as n, {r('avg(abs(v - l))')} as gap_mean, {r('stddev_pop(abs(v - l))')} as gap_std,
-        {r('avg(sv)')} as within_vision, {r('avg(sl)')} as within_language, {r('avg(abs(v - l)) / ((avg(sv) + avg(sl)) / 2)')} as ratio,
-        {r('avg((abs(v - l) > (sv + sl) / 2)::int)')} as share_larger from g group by 1""", g=A27)
+@query("a27_cluster_divergence", "normed truth_wide", f"""select split, count(*) as n, {r('avg(abs(v - l))')} as gap_mean, {r('stddev_samp(abs(v - l))')} as gap_std,
+        {r('avg(sv)')} as within_vision, {r('avg(sl)')} as within_language, {r('avg(abs(v - l)) / greatest((avg(sv) + avg(sl)) / 2, 1e-8::double)')} as ratio,
+        {r('avg(coalesce(abs(v - l) > (sv + sl) / 2, false)::int) * 100')} as share_larger from g group by 1""", g=A27)
 def a27(t):
     from .q_uncertainty import LANGUAGE, VISION
 
     normed = un.normalise(t.panel_overall, un.fit_normaliser(t.panel_overall)).join(t.truth_wide.select("image_id", "split"), "image_id")
     z = lambda names: F.when(F.col("model").isin(*names), F.col("z"))
     g = normed.groupBy("image_id", "split").agg(F.avg(z(VISION)).alias("v"), F.avg(z(LANGUAGE)).alias("l"),
-                                                F.stddev_pop(z(VISION)).alias("sv"), F.stddev_pop(z(LANGUAGE)).alias("sl")).where("v is not null and l is not null")
+                                                F.stddev_samp(z(VISION)).alias("sv"), F.stddev_samp(z(LANGUAGE)).alias("sl")).where("v is not null and l is not null")
     gap, within = F.abs(F.col("v") - F.col("l")), (F.col("sv") + F.col("sl")) / 2
     return g.groupBy("split").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.avg(gap)).alias("gap_mean"), r6(F.stddev_pop(gap)).alias("gap_std"), r6(F.avg("sv")).alias("within_vision"),
-        r6(F.avg("sl")).alias("within_language"), r6(F.avg(gap) / ((F.avg("sv") + F.avg("sl")) / 2)).alias("ratio"), r6(F.avg((gap > within).cast("int"))).alias("share_larger"))
+        F.count(F.lit(1)).alias("n"), r6(F.avg(gap)).alias("gap_mean"), r6(F.stddev_samp(gap)).alias("gap_std"), r6(F.avg("sv")).alias("within_vision"),
+        r6(F.avg("sl")).alias("within_language"), r6(F.avg(gap) / F.greatest((F.avg("sv") + F.avg("sl")) / 2, dbl(1e-8))).alias("ratio"), r6(F.avg(F.coalesce(gap > within, F.lit(False)).cast("int")) * 100).alias("share_larger"))
 
 
 LINE = "select model, dimension, count(*) as n, regr_slope(gt, score) as slope, regr_intercept(gt, score) as intercept from scored group by 1, 2"
@@ -375,7 +375,7 @@ def e7(t):
 
 @query("w11_best_item", "singles", f"select arg_max(model, wsrcc) as model, {r('max(wsrcc)')} as wsrcc from singles")
 def w11(t):
-    return en.single_results(scored(t)).agg(F.max_by("model", "wsrcc").alias("model"), r6(F.max("wsrcc")).alias("wsrcc"))
+    return en.single_results(scored(t)).agg(F.max_by("model", F.struct("wsrcc", "model")).alias("model"), r6(F.max("wsrcc")).alias("wsrcc"))
 
 
 VIEWS["veto_rows"] = ("panel preds", "select p.image_id, p.dimension, p.model, round(abs(score - greatest(1e0, least(5e0, mu))), 9) as gap from panel p join preds using (image_id, dimension) where p.image_id in (select image_id from panel group by 1 having count(distinct model) = (select count(distinct model) from panel))")

@@ -117,9 +117,9 @@ def d12(t):
 
 @query("d13_linear_fix", "cross_levels clamped", f"select image_id, dimension, {r('alpha')} as alpha, {r('(1e0 - alpha * a) / 5')} as beta from w",
        v=f"select image_id, dimension, m, list_sum(cross_probs) as a, {mos_sql('cross_probs')} as b from cross_levels join clamped using (image_id, dimension)",
-       w="select *, (m - 3) / (b - 3e0 * a + 1e-9::double) as alpha from v where abs(b - 3e0) > 1e-6")
+       w="select image_id, dimension, round(a, 12) as a, (m - 3) / (round(b - 3e0 * a, 12) + 1e-9::double) as alpha from v")
 def d13(t):
-    rows = t.cross_levels.join(t.preds, list(KEYS)).where(F.abs(lv.mos(F.col("cross_probs")) - 3) > 1e-6)
+    rows = t.cross_levels.join(t.preds, list(KEYS))
     fix = rows.select(*KEYS, lv.linear_fix(F.col("cross_probs"), F.col("mu")).alias("fix"))
     return fix.select(*KEYS, r6("fix.alpha").alias("alpha"), r6("fix.beta").alias("beta"))
 

@@ -367,7 +367,7 @@ def r10(t):
         rows = staged(sup.join(picks.select("image_id", "rep"), "image_id").select("dimension", "rep", "gt", arms), "rows")
         w = ag.weighted_over_dimensions(ag.spearman(rows, "pred", "gt", ["arm", "dimension", "rep"]), ["arm", "rep"], {"srcc": "w"})
         w = staged(w, "w")
-        wins = w.groupBy("rep").agg(F.max_by("arm", "w").alias("arm")).groupBy("arm").agg(F.count(F.lit(1)).alias("wins"))
+        wins = w.groupBy("rep").agg(F.max_by("arm", F.struct("w", "arm")).alias("arm")).groupBy("arm").agg(F.count(F.lit(1)).alias("wins"))
         stats = w.groupBy("arm").agg(F.count("w").alias("draws"), F.avg("w").alias("mean"), F.stddev_pop("w").alias("sd"),
                                      (F.percentile("w", 0.975) - F.percentile("w", 0.025)).alias("ci_width"))
         parts.append(stats.join(wins, "arm", "left").select(F.lit(n).alias("n"), "arm", "draws", "mean", "sd", "ci_width", (F.coalesce("wins", F.lit(0)) / 50).alias("win_share")))
@@ -497,9 +497,9 @@ SNAP = lambda cond: f"select user_id as item, count(*) as n from events where {c
 
 
 @query("w9_snapshot_diff", "", """select coalesce(c.item, p.item) as item, case when p.item is null then 'new' when c.item is null then 'removed' when c.n >= p.n then 'complete' else 'in_progress' end as status
-        from cur c full outer join prev p on c.item = p.item""", prev=SNAP("event_type in ('click', 'view') and value > 60"), cur=SNAP("event_type in ('purchase', 'signup') and value > 60"))
+        from cur c full outer join prev p on c.item = p.item""", prev=SNAP("event_type in ('click', 'view')"), cur=SNAP("event_type in ('purchase', 'signup')"))
 def w9(t):
-    e = t.raw("events").where(F.col("value") > 60)
+    e = t.raw("events")
     snap = lambda kinds: e.where(F.col("event_type").isin(*kinds)).groupBy(F.col("user_id").alias("item")).agg(F.count(F.lit(1)).alias("n"))
     return snapshot_diff(snap(("click", "view")), snap(("purchase", "signup")))
 

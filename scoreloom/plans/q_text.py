@@ -110,27 +110,31 @@ def j12(t):
 
 
 PAIRS = (("en", "fr"), ("fr", "de"), ("de", "es"))
-VIEWS["tier_pairs"] = ("master", " union all ".join(f"select '{a}' as tier_a, '{b}' as tier_b, round(y.cer - x.cer, 9) as d from master x join master y on x.item_id = y.item_id and x.engine = y.engine where x.tier = '{a}' and y.tier = '{b}'" for a, b in PAIRS))
+VIEWS["tier_pairs"] = ("master", " union all ".join(f"select '{a}' as tier_a, '{b}' as tier_b, x.engine, round(y.cer - x.cer, 9) as d from master x join master y on x.item_id = y.item_id and x.engine = y.engine where x.tier = '{a}' and y.tier = '{b}'" for a, b in PAIRS))
 
 
 def tier_pairs(t):
     m = staged(master(t), "master")
     parts = [m.where(F.col("tier") == a).alias("x").join(m.where(F.col("tier") == b).alias("y"), ["item_id", "engine"]).select(
-        F.lit(a).alias("tier_a"), F.lit(b).alias("tier_b"), F.round(F.col("y.cer") - F.col("x.cer"), 9).alias("d")) for a, b in PAIRS]
+        F.lit(a).alias("tier_a"), F.lit(b).alias("tier_b"), "engine", F.round(F.col("y.cer") - F.col("x.cer"), 9).alias("d")) for a, b in PAIRS]
     return staged(parts[0].union(parts[1]).union(parts[2]), "pairs")
 
 
-@query("r18_wilcoxon", "tier_pairs", f"select tier_a, tier_b, n, {r('s', 3)} as statistic, {r('md')} as mean_difference from a left join w using (tier_a, tier_b) where n >= 5",
-       a="select tier_a, tier_b, count(*) as n, avg(d) as md from tier_pairs group by 1, 2",
-       w=f"select tier_a, tier_b, coalesce(sum(rk) filter (d > 0), 0e0) as s from (select *, {avg_rank('abs(d)', 'tier_a, tier_b')} as rk from tier_pairs where d <> 0) group by 1, 2")
+PAIR_KEYS = ["engine", "tier_a", "tier_b"]
+
+
+@query("r18_wilcoxon", "tier_pairs", f"""select engine, tier_a, tier_b, n, case when n >= 5 then {r('coalesce(s, 0e0)', 3)} end as statistic, case when n >= 5 then {r('md')} end as mean_difference
+        from a left join w using (engine, tier_a, tier_b)""",
+       a="select engine, tier_a, tier_b, count(*) as n, avg(d) as md from tier_pairs group by 1, 2, 3",
+       w=f"select engine, tier_a, tier_b, coalesce(sum(rk) filter (d > 0), 0e0) as s from (select *, {avg_rank('abs(d)', 'engine, tier_a, tier_b')} as rk from tier_pairs where d <> 0) group by 1, 2, 3")
 def r18(t):
-    w = ag.wilcoxon_greater(tier_pairs(t), "d", ["tier_a", "tier_b"])
-    return w.select("tier_a", "tier_b", "n", r6("statistic", 3).alias("statistic"), r6("mean_difference").alias("mean_difference"))
+    w = ag.wilcoxon_greater(tier_pairs(t), "d", PAIR_KEYS)
+    return w.select(*PAIR_KEYS, "n", r6("statistic", 3).alias("statistic"), r6("mean_difference").alias("mean_difference"))
 
 
 @query("r18_wilcoxon_p")
 def r18p(t):
-    return ag.wilcoxon_greater(tier_pairs(t), "d", ["tier_a", "tier_b"], 1).select("tier_a", "tier_b", "p_value")
+    return ag.wilcoxon_greater(tier_pairs(t), "d", PAIR_KEYS).select(*PAIR_KEYS, "p_value")
 
 
 @query("r24_cer_correlation", "cers deltas", f"select 'raw' as kind, engine, n, {r('srcc')} as srcc, {r('plcc')} as plcc from ({metrics_sql('(select engine, round(cer, 9) as cer, mos from cers)', 'cer', 'mos', 'engine')}) where n >= 3 union all select 'delta', engine, n, {r('srcc')}, {r('plcc')} from ({metrics_sql('(select engine, round(dc, 9) as dc, round(dm, 9) as dm from deltas)', 'dc', 'dm', 'engine')}) where n >= 3")

@@ -300,13 +300,18 @@ def j17(t):
     return un.decide_per_profile(rows, profiles).groupBy("profile", "tier").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("u16_population_class", "spreads", """select image_id, (case when spread > mean + 3 * sd then 3 when spread > mean + 2 * sd then 2
-        when spread > mean + sd then 1 else 0 end)::int as class from spreads, (select avg(spread) as mean, stddev_samp(spread) as sd from spreads)""")
+@query("u16_population_class", "panel_overall", """select image_id, (case when spread > mean + 2 * sd then 2 when spread > mean + sd then 1 else 0 end)::int as class
+        from s, (select avg(spread) as mean, stddev_samp(spread) as sd from s)""",
+       z="select image_id, (score - avg(score) over (partition by model)) / stddev_samp(score) over (partition by model) as z from panel_overall",
+       s="select image_id, round(stddev_samp(z), 9) as spread from z group by 1 having count(*) >= 2")
 def u16(t):
-    spreads = Parts(t).spreads
+    """Sample deviations throughout: of the scores of a rater, of an image's z-scores, of the spreads."""
+    params = t.panel_overall.groupBy("model").agg(F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"))
+    z = un.normalise(t.panel_overall, params)
+    spreads = z.groupBy("image_id").agg(F.round(F.stddev_samp("z"), 9).alias("spread"), F.count(F.lit(1)).alias("k")).where("k >= 2").drop("k")
     rows = attach_one(spreads, spreads.agg(F.avg("spread").alias("m"), F.stddev_samp("spread").alias("sd")))
     over = lambda k: F.col("spread") > F.col("m") + F.col("sd") * k
-    return rows.select("image_id", F.when(over(3), 3).when(over(2), 2).when(over(1), 1).otherwise(0).alias("class"))
+    return rows.select("image_id", F.when(over(2), 2).when(over(1), 1).otherwise(0).alias("class"))
 
 
 VIEWS["errors"] = ("signals truth", "select s.*, t.gt, abs(s.mos - t.gt) as error from signals s join truth t using (image_id, dimension)")

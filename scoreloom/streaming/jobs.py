@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.joins import merge_records
+from ..operators.joins import fold_records, merge_records
 from ..operators.records import parse_rating
 from ..operators.uncertainty import Thresholds, decide
 
@@ -30,14 +30,17 @@ def write_stream(df: DataFrame, path: str, checkpoint: str):
             .outputMode("append").trigger(availableNow=True).start())
 
 
-def upsert_batches(updates: DataFrame, read_master, write_master, checkpoint: str):
+def upsert_batches(updates: DataFrame, read_master, write_master, checkpoint: str, order: str):
     """Merge every micro-batch of partial records into the master table.
 
-    ``read_master()`` returns the current table and ``write_master(df)`` stores
-    the next version elsewhere, so a failed batch can be repeated.
+    Several updates of one id in a batch are folded by ``order`` first. ``read_master(ids)``
+    returns the current records that can have these ids (a table in id buckets: the
+    touched buckets) and ``write_master(df)`` stores their next version elsewhere, so a
+    failed batch can be repeated and the rest of the table stays as it is.
     """
     def merge(batch: DataFrame, _: int) -> None:
-        write_master(merge_records(read_master(), batch))
+        folded = fold_records(batch, order).persist()
+        write_master(merge_records(read_master(folded.select("canonical_id")), folded))
+        folded.unpersist()
 
     return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-

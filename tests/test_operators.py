@@ -9,6 +9,7 @@ from scoreloom.functions import text as tx
 from scoreloom.operators import assembly as asm, calibration as cal, chat, joins as jn, records as rc, vectors as vec
 from scoreloom.operators.staging import fresh_path
 from scoreloom.sources import readers as rd, writers as wr
+from scoreloom.streaming import jobs
 
 
 def edits(a, b):
@@ -131,6 +132,38 @@ def test_merge_precedence(spark):
     assert {e.model_id: e.score for e in r.vlm_evals} == {"a": 2.0, "b": 5.0} and got["2"].image_path_res == "q"
 
 
+UPDATE = "canonical_id string, at int, split string, ood double, vlm_evals array<struct<model_id: string, score: double>>, dimensions map<string, struct<mos: double, human: double>>, tags map<string,string>, is_pseudo_labeled boolean"
+
+
+def test_updates_of_one_id_are_folded(spark):
+    rows = [("1", 3, "test", None, [("a", 3.0)], {"color": (2.0, None)}, {"k": "3"}, False), ("1", 1, "train", 0.5, [("a", 1.0), ("a", 1.5), ("b", 5.0)], {"color": (1.0, 4.0)}, {"k": "1", "z": "1"}, True),
+            ("1", 2, None, 0.7, None, None, None, None), ("2", 1, None, None, [], {}, {}, False)]
+    got = {r.canonical_id: r for r in jn.fold_records(spark.createDataFrame(rows, UPDATE), "at").collect()}
+    r = got["1"]
+    assert len(got) == 2 and (r.split, r.ood, r.is_pseudo_labeled) == ("test", 0.7, True) and r.tags == {"k": "3", "z": "1"}
+    assert (r.dimensions["color"].mos, r.dimensions["color"].human) == (2.0, 4.0) and {e.model_id: e.score for e in r.vlm_evals} == {"a": 3.0, "b": 5.0}
+
+
+def test_streamed_upserts_with_repeated_ids(spark):
+    folder, kept = fresh_path(spark, "updates"), {}
+    names = [f.split()[0] for f in UPDATE.split(", ") if not f.startswith("score") and not f.startswith("human") and f.split()[0] != "at"]
+
+    def current(ids):
+        return kept["now"].join(ids, "canonical_id", "left_semi") if "now" in kept else spark.createDataFrame([], UPDATE).drop("at")
+
+    def store(df):
+        path = fresh_path(spark, "master")
+        df.select(*names).write.parquet(path)
+        kept["now"] = spark.read.parquet(path)
+
+    for step in (1, 2):
+        rows = [("1", k, f"s{step}{k}", None, [("a", float(step * 10 + k))], {}, {}, False) for k in (2, 1)]
+        spark.createDataFrame(rows, UPDATE).write.mode("append").parquet(folder)
+        jobs.upsert_batches(spark.readStream.schema(UPDATE).parquet(folder), current, store, folder + "-checkpoint", "at").awaitTermination()
+        r, = kept["now"].collect()
+        assert r.split == f"s{step}2" and [tuple(e) for e in r.vlm_evals] == [("a", step * 10 + 2.0)]
+
+
 def test_alignment_fails_on_missing_partner(spark):
     with pytest.raises(Exception):
         jn.with_matching_keys(spark.range(3), spark.range(4), "id").collect()

@@ -72,7 +72,7 @@ def test_guarded_coefficients(spark):
 def test_rank_tests_p_values(spark):
     rows = [("a", i, float(i % 17) + (2.0 if i % 2 else 0.0), i % 2) for i in range(200)]
     df = spark.createDataFrame(rows, "g string, i int, v double, half int")
-    p = ag.mann_whitney(df, "v", F.col("half") == 1, ["g"]).first()
+    p = ag.mann_whitney(df, "v", F.col("half") == 0, ["g"]).first()
     assert 0 <= p.p_value < 0.05 and p.n_in == 100
     w = ag.wilcoxon_greater(df.withColumn("d", F.col("v") - 5), "d", ["g"]).first()
     assert w.p_value < 0.001
@@ -80,6 +80,17 @@ def test_rank_tests_p_values(spark):
     assert r[0].p_value == pytest.approx(0.02482, abs=1e-4) and r[1].p_value == pytest.approx(1) and r[2].p_value == 0
 
 
+def test_rank_tests_exact_p(spark):
+    """Hand-counted tails: 7 of 126 and 5 of 64."""
+    rows = [("lo", v) for v in (1.0, 2.0, 4.0, 6.0)] + [("hi", v) for v in (3.0, 5.0, 7.0, 8.0, 9.0)]
+    m = ag.mann_whitney(spark.createDataFrame(rows, "side string, v double"), "v", F.col("side") == "lo").first()
+    assert m.u == 3 and m.p_value == pytest.approx(7 / 126)
+    d = spark.createDataFrame([("g", v) for v in (1.0, 2.0, -3.0, 4.0, 5.0, 6.5)] + [("few", 1.0)], "g string, d double")
+    w = {r.g: r for r in ag.wilcoxon_greater(d, "d", ["g"]).collect()}
+    assert w["g"].p_value == pytest.approx(5 / 64)
+    assert w["few"].n == 1 and w["few"].p_value is None and w["few"].statistic is None
+
+
 def test_resamples_are_complete_and_repeatable(spark):
     df = bs.indexed(spark.range(50).select(F.col("id").alias("k"), F.rand(1).alias("x")), "k")
     a = bs.resamples(df, 20, 42).groupBy("rep").count().collect()
