@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         model = descend([keys[i] for i in order], np.array([marks[i] for i in order], int), ratio, cost, rounds, tolerance)
         yield pa.RecordBatch.from_arrays([pa.array([model.slope.astype("<f8").tobytes()]), pa.array([model.bias]), pa.array([model.converged])], names=["slope", "bias", "converged"])
 
-    rows = sample.coalesce(1).mapInArrow(solve, "slope binary, bias double, converged boolean").collect()
+    rows = sample.repartition(1).mapInArrow(solve, "slope binary, bias double, converged boolean").collect()
     if not rows:
         return Model(ratio, np.zeros(1 << BITS), 0.0, True)
     return Model(ratio, np.frombuffer(rows[0].slope, "<f8"), rows[0].bias, rows[0].converged)
