@@ -5,7 +5,10 @@ the smallest id speaks for all. The one hash function orders all shingles, so a
 the first few of a set; shingles that fill long lists (HOT) come last in that order,
 for everyone alike. A pair above the threshold t must share one of the first
 n - ceil(t n) + 1 shingles of either set, so those inverted lists miss no pair; sets with
-a longer such prefix keep SKETCH of them, where the chance of a miss is below 1e-14.
+a longer such prefix and at most a quarter of HOT shingles keep SKETCH of them, where the
+chance of a miss is below 1e-14. A shared shingle counts only where its places leave enough
+shingles behind it in both sets; since a template's shingles are HOT and come last, copies
+that differ too much make no pair at all.
 
 Pairs come from the lists in two steps, because only reachability is asked for:
 each list's smallest id with every other (as many pairs as entries), then, once the
@@ -31,8 +34,9 @@ from .components import components
 from .stages import written
 from .textblocks import SPACE_WORDS, Words, byte_values, chunks
 
-SKETCH = 48
-LOW_SHARE, LOW_MOST = 0.3, 160  # first shingles of a set that are counted to find HOT ones
+SKETCH = 24
+LOW_SHARE, LOW_MOST = 0.25, 96  # first shingles of a set that are counted to find HOT ones
+WARM = 10  # a text whose low part has more than a tenth of HOT shingles has all of its own counted
 HOT_FROM = 40  # entries of a list; doubled while more than HOT_MOST shingles pass
 HOT_MOST = 500_000
 SEND_MOST = 1_000_000  # ids that may be broadcast; beyond, a shuffled join
@@ -82,15 +86,41 @@ def _map(docs: DataFrame, id_col: str, text_col: str, size: int, fields: str, ma
     return docs.select(id_col, text_col).mapInArrow(run, kind)
 
 
-def _hot(first: DataFrame) -> np.ndarray:
-    """Shingles in the most lists, at most HOT_MOST of them."""
-    counts = first.select(F.explode("low").alias("v")).groupBy("v").count().where(F.col("count") > HOT_FROM)
-    counts = written(counts, "hot")
+def _hot(values: DataFrame) -> DataFrame:
+    """v, n of the shingles that more than HOT_FROM rows of ``values`` have."""
+    return values.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > HOT_FROM)
+
+
+def _most(counts: DataFrame) -> np.ndarray:
+    """The shingles with the highest counts, at most HOT_MOST of them, sorted."""
     least = HOT_FROM
-    while counts.where(F.col("count") > least).count() > HOT_MOST:
+    while counts.where(F.col("n") > least).count() > HOT_MOST:
         least *= 2
-    found = counts.where(F.col("count") > least).select("v").toPandas()["v"].to_numpy(np.int64)  # HOT_MOST at most
-    return np.sort(found.view(np.uint64))
+    found = counts.where(F.col("n") > least).select("v").toPandas()["v"].to_numpy(np.int64)  # HOT_MOST at most
+    return np.unique(found.view(np.uint64))
+
+
+def _found(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which values stand in a sorted array."""
+    if not len(among):
+        return np.zeros(len(values), bool)
+    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
+
+
+def _hot_shingles(docs: DataFrame, first: DataFrame, size: int) -> np.ndarray:
+    """HOT shingles: those that many low parts have and, for texts whose low part is rich in such, those that many of these texts have."""
+    counts = written(_hot(first.select(F.explode("low").alias("v"))), "hot")
+    hot = docs.sparkSession.sparkContext.broadcast(_most(counts))
+
+    def rich(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [WARM * int(_found(np.asarray(x.values).view(np.uint64), hot.value).sum()) > len(x.values) for x in batch.column(1)]
+            yield batch.select(["id"]).filter(pa.array(keep, pa.bool_()))
+
+    warm = written(first.select("id", "low").mapInArrow(rich, first.select("id").schema).distinct(), "warm")
+    every = _map(_of(warm, docs), "id", "text", size, "v array<long>", lambda s: (s.view(np.int64),))
+    more = written(_hot(every.select(F.explode("v").alias("v"))), "hot")
+    return _most(counts.unionAll(more).groupBy("v").agg(F.max("n").alias("n")))
 
 
 def _of(ids: DataFrame, table: DataFrame) -> DataFrame:
@@ -136,36 +166,35 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
 
     first = written(_map(docs, "id", "text", size, "n long, same binary, low array<long>", look), "first")
     classes = written(first.where("same is not null and id is not null").groupBy("same").agg(F.min("id").alias("speaker")), "classes")
-    hot = docs.sparkSession.sparkContext.broadcast(_hot(first))
+    speakers = classes.select(F.col("speaker").alias("id"))
+    hot = docs.sparkSession.sparkContext.broadcast(_hot_shingles(docs, _of(speakers, first), size))
 
     def sketch(s: np.ndarray) -> tuple:
-        at = np.minimum(np.searchsorted(hot.value, s), max(len(hot.value) - 1, 0))
-        warm = hot.value[at] == s if len(hot.value) else np.zeros(len(s), bool)
+        warm = _found(s, hot.value)
         n_hot = int(warm.sum())
         k = prefix_size(len(s), percent) if len(s) else 0
-        if 2 * n_hot < len(s):
+        if 4 * n_hot < len(s):
             k = min(k, SKETCH)
         return len(s), n_hot, np.concatenate((s[~warm], s[warm]))[:k].view(np.int64)
 
-    sketches = _map(docs, "id", "text", size, "n long, n_hot long, kept array<long>", sketch).join(classes.select(F.col("speaker").alias("id")), "id", "left_semi")
-    sketches = written(sketches, "sketches")
-    posts = sketches.select("id", "n", F.explode("kept").alias("v"))
-    lists = posts.groupBy("v").agg(F.count("*").alias("entries"), F.min("id").alias("head")).where("entries > 1").select("v", "head")
-    posts = written(posts.join(lists, "v").select("v", "id", "n", "head"), "posts")
+    sketches = written(_map(_of(speakers, docs), "id", "text", size, "n long, n_hot long, kept array<long>", sketch), "sketches")
+    posts = sketches.select("id", "n", F.posexplode("kept").alias("at", "v"))
+    lists = posts.groupBy("v").agg(F.count("*").alias("entries"), F.min("id").alias("head"), F.min_by("n", "id").alias("n_a"), F.min_by("at", "id").alias("at_a"))
+    posts = written(posts.join(lists.where("entries > 1").select("v", "head", "n_a", "at_a"), "v"), "posts")
 
-    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    size_of = sketches.select("id", "n").distinct()
-    star = posts.where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b"), F.col("n").alias("n_b")).distinct()
-    star = star.join(size_of.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").where(near).select("a", "b").distinct()
+    # The first shingle that both have stands at places that leave enough shingles behind them in either set.
+    near = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    star = posts.where("id != head").withColumnsRenamed({"id": "b", "n": "n_b", "at": "at_b"}).where(near)
+    star = written(star.select(F.col("head").alias("a"), "b").distinct(), "star")
     links = written(_confirmed(_likely(star, sketches, percent), docs, "id", "text", size, percent), "confirmed")
 
     labels = components(links)
-    entry = posts.join(labels, "id", "left").select("v", "id", "n", F.coalesce("component", "id").alias("c"))
+    entry = posts.join(labels, "id", "left").select("v", "id", "n", "at", F.coalesce("component", "id").alias("c"))
     mixed = entry.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v")
     entry = written(entry.join(mixed, "v").withColumn("step", F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100)).cast("int")), "entries")
     # sets within the threshold lie in the same or the next step of size
-    left = entry.select("v", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
-    right = entry.select("v", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"), "step")
+    left = entry.select("v", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("c").alias("c_a"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
+    right = entry.select("v", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("c").alias("c_b"), "step")
     cross = left.join(right, ["v", "step"]).where((F.col("c_a") < F.col("c_b")) & near).select("a", "b").distinct()
     cross = cross.join(star, ["a", "b"], "left_anti").join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     more = _confirmed(_likely(cross, sketches, percent), docs, "id", "text", size, percent)
