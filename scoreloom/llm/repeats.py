@@ -6,7 +6,8 @@ Neighbouring windows with one key make a *run* of at most RUN windows, and a run
 stretch of units is a segment. Runs whose key occurs once hold no repeat and go.
 
 Segments with equal content need to be looked at once: the earliest speaks for all, and
-later ones are repeats as a whole. The speakers of a key are given, with their text, to
+later ones are repeats as a whole. A speaker that shares its key with no other content and
+can't repeat itself has nothing to be compared with (``sieve``). The speakers of a key are given, with their text, to
 a ``finder``, which marks the windows that occur earlier. A key with more than ``most``
 different segments is dealt out again by grams of more units; the last level is the
 whole window, where one segment a key is left, so no key ends as one large task.
@@ -31,19 +32,22 @@ MOST_SEGMENTS = 4096
 SEND_MOST = 1_000_000
 BLOCK_BYTES = 1 << 20  # text of the segments that one finder call gets, but for one larger key
 
-POST = "key long, content long, id long, at long, n int, again boolean"
+POST = "key long, content long, id long, at long, n int, again boolean, twice boolean"
 PIECE = "key long, id long, at long, n int, piece binary"
 COVER = "id long, begin long, end long"
 
 
 @dataclass(frozen=True)
 class Kind:
-    """What windows are made of. ``within``: an earlier start in the same text counts too."""
+    """What windows are made of. ``within``: an earlier start in the same text counts too.
+    ``sieve``: all speakers are dealt out again by the second grams before a finder gets them,
+    and keys left with one content that doesn't repeat itself go."""
 
     window: int
     grams: tuple[int, ...]
     words: bool
     within: bool
+    sieve: bool = False
 
     def units(self, texts: list[bytes]) -> Units:
         return Units(self, texts)
@@ -138,12 +142,13 @@ def posts(docs: DataFrame, kind: Kind) -> DataFrame:
             for lo, hi in chunks(texts):
                 units = kind.units(texts[lo:hi])
                 text, start, size, key, content = units.runs(kind.grams[0])
-                again = np.zeros(len(text), bool)
+                again, twice = np.zeros(len(text), bool), np.zeros(len(text), bool)
                 if kind.within and len(text):
+                    twice = units.doubled(kind.grams[0], start, size, key)
                     order = np.lexsort((start, content, key, text))
                     same = (text[order][1:] == text[order][:-1]) & (key[order][1:] == key[order][:-1]) & (content[order][1:] == content[order][:-1])
                     again[order[1:]] = same
-                yield _arrow(["key", "content", "id", "at", "n", "again"], _signed(key), _signed(content), ids[lo:hi][text], start - units.begin[text], size.astype(np.int32), again)
+                yield _arrow(["key", "content", "id", "at", "n", "again", "twice"], _signed(key), _signed(content), ids[lo:hi][text], start - units.begin[text], size.astype(np.int32), again, twice)
 
     return docs.select("id", "text").mapInArrow(run, POST)
 
@@ -199,11 +204,12 @@ def refine(segments: DataFrame, kind: Kind, gram: int) -> DataFrame:
             for lo, hi in chunks(found):
                 units = kind.units(found[lo:hi])
                 text, start, size, key, content = units.runs(gram)
+                twice = units.doubled(gram, start, size, key) if kind.within else np.zeros(len(key), bool)
                 key = mix(key ^ mix(old[lo:hi].view(np.uint64)[text] + np.uint64(gram)))
                 part = pa.array([units.piece(a, m + kind.window - 1) for a, m in zip(start.tolist(), size.tolist(), strict=True)], pa.binary())
-                yield _arrow(["key", "content", "id", "at", "n", "piece"], _signed(key), _signed(content), ids[lo:hi][text], base[lo:hi][text] + start - units.begin[text], size.astype(np.int32), part)
+                yield _arrow(["key", "content", "id", "at", "n", "piece", "twice"], _signed(key), _signed(content), ids[lo:hi][text], base[lo:hi][text] + start - units.begin[text], size.astype(np.int32), part, twice)
 
-    return segments.mapInArrow(run, "key long, content long, id long, at long, n int, piece binary")
+    return segments.mapInArrow(run, "key long, content long, id long, at long, n int, piece binary, twice boolean")
 
 
 def search(segments: DataFrame, kind: Kind, finder: Callable) -> DataFrame:
@@ -236,6 +242,11 @@ def _whole(rows: DataFrame, kind: Kind) -> DataFrame:
     return rows.select("id", F.col("at").alias("begin"), (F.col("at") + F.col("n") + kind.window - 1).alias("end"))
 
 
+def _alone(classes: DataFrame) -> DataFrame:
+    """Keys with one content, which doesn't repeat itself: a segment that nothing can be found in."""
+    return classes.groupBy("key").agg(F.count("*").alias("contents"), F.max("doubled").alias("doubled")).where("contents = 1 and not doubled")
+
+
 def covers(docs: DataFrame, kind: Kind, finder: Callable, most: int = MOST_SEGMENTS) -> DataFrame:
     """id, spans (maximal stretches of units in windows that occur earlier) of texts that have any.
 
@@ -243,23 +254,37 @@ def covers(docs: DataFrame, kind: Kind, finder: Callable, most: int = MOST_SEGME
     """
     keys = key_counts(docs, kind)
     found = written(posts(docs, kind).join(keys, "key"), "posts")
-    classes = found.groupBy("key", "content").agg(F.min("id").alias("first"))
+    classes = found.groupBy("key", "content").agg(F.min("id").alias("first"), F.max("twice").alias("doubled"))
+    if kind.sieve:
+        alone = _alone(classes).select("key")
+        speaks = classes.join(alone, "key", "left_anti").select("key", "content", F.lit(True).alias("needed"))
+        classes = classes.join(speaks, ["key", "content"], "left").withColumn("needed", F.coalesce("needed", F.lit(False)))
+    else:
+        classes = classes.withColumn("needed", F.lit(True))
     found = found.join(classes, ["key", "content"])
     later = (F.col("id") > F.col("first")) | F.col("again")
     out = [_whole(found.where(later), kind)]
-    segments = written(pieces(docs, found.where(~later).select("id", "key", "at", "n"), kind), "segments")
-    for gram in kind.grams[1:]:
-        crowded = segments.groupBy("key").count().where(F.col("count") > most).select("key")
-        crowded = written(crowded, "crowded")
-        if crowded.isEmpty():
-            break
-        out.append(search(segments.join(crowded, "key", "left_anti"), kind, finder))
-        finer = written(refine(segments.join(crowded, "key", "left_semi"), kind, gram), "finer")
+    segments = written(pieces(docs, found.where(~later & F.col("needed")).select("id", "key", "at", "n"), kind), "segments")
+    for level, gram in enumerate(kind.grams[1:]):
+        if kind.sieve and level == 0:
+            finer = refine(segments, kind, gram)
+        else:
+            crowded = segments.groupBy("key").count().where(F.col("count") > most).select("key")
+            crowded = written(crowded, "crowded")
+            if crowded.isEmpty():
+                break
+            out.append(search(segments.join(crowded, "key", "left_anti"), kind, finder))
+            finer = refine(segments.join(crowded, "key", "left_semi"), kind, gram)
+        finer = written(finer, "finer")
         first = F.min(F.struct("id", "at")) if kind.within else F.struct(F.min("id").alias("id"))
-        finer = finer.join(finer.groupBy("key", "content").agg(first.alias("first")), ["key", "content"])
+        classes = finer.groupBy("key", "content").agg(first.alias("first"), F.max("twice").alias("doubled"))
+        finer = finer.join(classes, ["key", "content"])
         later = (F.col("id") > F.col("first.id")) | ((F.col("at") > F.col("first.at")) if kind.within else F.lit(False))
         out.append(_whole(finer.where(later), kind))
-        segments = written(finer.where(~later).select("key", "id", "at", "n", "piece"), "segments")
+        rest = finer.where(~later)
+        if kind.sieve:
+            rest = rest.join(_alone(classes).select("key"), "key", "left_anti")
+        segments = written(rest.select("key", "id", "at", "n", "piece"), "segments")
     out.append(search(segments, kind, finder))
     every = out[0]
     for more in out[1:]:

@@ -36,7 +36,7 @@ LONGEST = 254  # bytes of a segment
 
 
 def kind(window: int = WINDOW) -> repeats.Kind:
-    return repeats.Kind(window, (max(1, window * 24 // 100), max(1, window * 56 // 100), window), words=False, within=True)
+    return repeats.Kind(window, (max(1, window * 24 // 100), max(1, window * 80 // 100), window), words=False, within=True, sieve=True)
 
 
 class Column:
