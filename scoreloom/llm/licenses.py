@@ -1,13 +1,15 @@
 """Licence scan: canonical digests of texts, paragraphs and lines joined to known licences.
 
 The canonical form has lower-case ASCII letters, one blank for any stretch of ASCII
-punctuation and white space, no copyright lines and one spelling of words that licences
-spell in several ways. A whole text, a paragraph or a line is a licence if its canonical
+punctuation and white space, no copyright lines, no lines that are only a licence's title and
+one spelling of words that licences spell in several ways. A whole text, a paragraph or a line is a licence if its canonical
 form has the digest of a known one.
 """
 
 from __future__ import annotations
 
+import pkgutil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,17 +17,59 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # pattern and replacement, in this order; the same in Java's and in RE2's syntax
 RULES = (
     ("[^a-z0-9\\n\\x{80}-\\x{10FFFF}]+", " "),
-    ("(?m)^ ?(c )?(copyright|©|c [0-9]{4})( [^\\n]*)?$", ""),
+    # wrapped lines of a licence that begin with the word, not with whose it is
+    ("(?m)^ ?copyright (notices?|holders?|owners?|ownership|licen[cs]e[sd]?|laws?|statements?|interests?|treaty|treaties|doctrines?|disclaimer|protections?|infringements?"
+     "|permission|like|and|or|as|in|on|to|is|are|of|for|under|that|which|if|may|shall)\\b", "qqcopyright $1"),
+    ("(?m)^ ?(c )?(copyright|©|c [0-9]{4}) [^\\n]*[^ \\n][^\\n]*$", ""),
+    ("qqcopyright", "copyright"),
     ("licenc", "licens"),
     ("organis", "organiz"),
     ("favour", "favor"),
     ("https", "http"),
     ("noncommercial", "non commercial"),
     (" v ?([0-9])", " version $1"),
+    ("(?m)^ ?(the )?((mit|isc|zlib|expat|bsd|0bsd|bsd zero clause|zero clause bsd|((bsd )?[0-9] clause )?(simplified|new|modified|revised) bsd|[0-9] clause bsd|bsd [0-9] clause) licens(e|es)"
+     "|zero clause bsd|bsd [0-9] clause|bsd zero clause)( (mit|isc|zlib|0bsd|expat|bsd [0-9] clause))? ?$", ""),
 )
 KNOWN_MOST = 100_000  # known texts that may be broadcast; beyond, digests are shuffled
 
 # Short notices and short licence texts as published.
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.{third}
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT {who} AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {whose} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_THIRD = "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+LONG = ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")  # files in texts
+ENDS = "END OF TERMS AND CONDITIONS"  # what follows is advice, often left out
+
+
+def _bsd() -> list[tuple[str, str]]:
+    """With and without numbers, the line about rights and the s of holders, as files in use have them."""
+    out = []
+    for name, third in (("BSD-2-Clause", ""), ("BSD-3-Clause", _THIRD)):
+        for who, whose in (("HOLDERS", "HOLDER"), ("HOLDERS", "HOLDERS"), ("HOLDERS", "OWNER")):
+            text = _BSD.format(third=third, who=who, whose=whose)
+            for mark in ("{}. ", "* ", ):
+                marked = text
+                for i in (1, 2, 3):
+                    marked = marked.replace(f"\n{i}. ", "\n" + mark.format(i))
+                out += [(name, marked), (name, "All rights reserved.\n\n" + marked)]
+    return out
+
+
+def _long() -> list[tuple[str, str]]:
+    out = []
+    for name in LONG:
+        text = pkgutil.get_data(__package__, f"texts/{name}.txt").decode()
+        out.append((name, text))
+        if ENDS in text:
+            out += [(name, text[:text.index(ENDS)]), (name, text[:text.index(ENDS) + len(ENDS)])]
+    return out
+
+
 KNOWN = (
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "Released under the MIT License."),
@@ -50,6 +94,27 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
     ("0BSD", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."""),
+    ("0BSD", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""),
+    *_bsd(),
+    *_long(),
 )
 
 
