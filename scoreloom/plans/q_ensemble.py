@@ -196,9 +196,10 @@ def m2(t):
 
 @query("m3_isotonic_fit")
 def m3(t):
-    rows = t.paired.where(F.col("dimension") == "overall").select("image_id", F.col("mu").alias("score"), "gt")
-    done = cal.isotonic_apply(cal.isotonic_fit(rows), rows)
-    return done.select("image_id", "score", "calibrated", "gt")
+    """Every rater and the fused prediction, fitted per dimension."""
+    fused = t.paired.select(F.lit("fused").alias("model"), "dimension", "image_id", F.col("mu").cast("double").alias("score"), "gt")
+    rows = scored(t).select("model", "dimension", "image_id", F.col("score").cast("double").alias("score"), "gt").unionByName(fused)
+    return cal.isotonic_by(rows, BY).select("model", "dimension", "image_id", "score", "calibrated", "gt")
 
 
 @query("r5_main_score")
