@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, factors, licenses, lines, minhash, personal, pieces, quality, suffixes, topk
+from . import decontaminate, factors, licenses, lines, minhash, parity, personal, pieces, quality, suffixes, topk
 from .stages import documents_of, small_batches
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -112,3 +112,10 @@ with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::dou
 s as (select q.vec_id query_id, v.vec_id, list_dot_product(q.e, v.e)::bigint score from v q join v on q.vec_id % 50 = 0 and q.vec_id <> v.vec_id)
 select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int rank, vec_id, score from s
 qualify rank <= 5"""
+
+
+@query
+def op11_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity components of all documents: five-word shingles, Jaccard of 0.8 or more."""
+    found = parity.groups(documents_of(spark, sf_dir), size=5, percent=80)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
