@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, factors, licenses, lines, minhash, parity, personal, pieces, quality, suffixes, topk
+from . import decontaminate, factors, impacts, licenses, lines, minhash, parity, personal, pieces, quality, suffixes, topk
 from .stages import documents_of, small_batches
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -119,3 +119,12 @@ def op11_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity components of all documents: five-word shingles, Jaccard of 0.8 or more."""
     found = parity.groups(documents_of(spark, sf_dir), size=5, percent=80)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+@query
+def op12_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return impacts.search(documents_of(spark, sf_dir), documents_of(spark, sf_dir, "benchmark"), 10)
+
+
+ORACLES["op12_impacts"] = impacts.sql(10)

@@ -5,6 +5,7 @@ import re
 
 SPACE = re.compile("[^\x20\x09-\x0D]+")
 ALNUM = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+ALNUM_ALL = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def lower(text):
