@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, factors, impacts, licenses, lines, minhash, parity, personal, pieces, quality, suffixes, topk
+from . import alignment, decontaminate, factors, impacts, licenses, lines, minhash, parity, personal, pieces, quality, suffixes, topk
 from .stages import documents_of, small_batches
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -128,3 +128,9 @@ def op12_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_impacts"] = impacts.sql(10)
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in all documents."""
+    return alignment.digests(documents_of(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), PIECE_MODEL)
