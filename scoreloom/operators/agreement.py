@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exact import exact_mann_whitney, exact_signed_rank
 from ..functions.numerics import dbl, safe_ratio
-from .ranking import attach, cumulative, position, quantiles, rank_table
+from .ranking import attach, average_rank, cumulative, position, quantiles
 
 DIMENSION_WEIGHTS = {"overall": 0.5, "sharpness": 0.25, "color": 0.25}
 
@@ -34,13 +34,11 @@ def finite(df: DataFrame, *names: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), out: str = "srcc", small=None) -> DataFrame:
-    """Spearman coefficient with shared ranks. Equal (x, y) pairs are counted
-    together before the rank joins, so a frequent value costs one row per partner."""
+    """Spearman coefficient with shared ranks. Equal (x, y) pairs are counted together
+    first, so a frequent value costs one row per partner; ranks are added in place."""
     by = list(by)
     cells = finite(df, x, y).groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_w"))
-    ranks_x = rank_table(cells, x, by, "_rx", "_w")
-    ranks_y = rank_table(cells, y, by, "_ry", "_w").drop("_ry_of")
-    both = cells.join(ranks_x, [*by, x]).join(ranks_y, [*by, y])
+    both = average_rank(average_rank(cells, x, by, "_rx", "_w"), y, by, "_ry", "_w")
     middle = (F.col("_rx_of") + 1) / dbl(2)
     dx, dy, w = F.col("_rx") - middle, F.col("_ry") - middle, F.col("_w")
     sums = both.groupBy(*by).agg(F.sum("_w").alias("n"), F.sum(w * dx * dy).alias("_xy"),
@@ -124,8 +122,7 @@ def auroc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> Data
     """Area under the ROC curve by the rank sum, ties at half weight."""
     by = list(by)
     cells = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_w"), F.sum(F.col(label).cast("long")).alias("_pos"))
-    ranks = rank_table(cells, score, by, "_r", "_w").drop("_r_of")
-    sums = cells.join(ranks, [*by, score]).groupBy(*by).agg(
+    sums = average_rank(cells, score, by, "_r", "_w").groupBy(*by).agg(
         F.sum("_w").alias("n"), F.sum("_pos").alias("n_pos"), F.sum(F.col("_r") * F.col("_pos")).alias("_rs"))
     pos = F.col("n_pos").cast("double")
     neg = F.col("n").cast("double") - pos
@@ -182,9 +179,8 @@ def wilcoxon_greater(df: DataFrame, difference: str, by: Sequence[str], min_rows
     nonzero = df.where(F.col(difference) != 0).withColumn("_a", F.abs(difference))
     cells = nonzero.groupBy(*by, "_a").agg(F.count(F.lit(1)).alias("_w"),
                                            F.count(F.when(F.col(difference) > 0, 1)).alias("_up"))
-    ranks = rank_table(cells, "_a", by, "_r", "_w").drop("_r_of")
     w = F.col("_w").cast("double")
-    sums = cells.join(ranks, [*by, "_a"]).groupBy(*by).agg(
+    sums = average_rank(cells, "_a", by, "_r", "_w").groupBy(*by).agg(
         F.sum("_w").alias("n_nonzero"), F.sum(F.col("_r") * F.col("_up")).alias("_statistic"),
         F.sum(w * w * w - w).alias("_ties"))
     m = F.col("n_nonzero").cast("double")
@@ -205,9 +201,8 @@ def mann_whitney(df: DataFrame, value: str, group: Column, by: Sequence[str] = (
     """
     by = list(by)
     cells = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_w"), F.count(F.when(group, 1)).alias("_in"))
-    ranks = rank_table(cells, value, by, "_r", "_w").drop("_r_of")
     w = F.col("_w").cast("double")
-    sums = cells.join(ranks, [*by, value]).groupBy(*by).agg(
+    sums = average_rank(cells, value, by, "_r", "_w").groupBy(*by).agg(
         F.sum("_w").alias("n"), F.sum("_in").alias("n_in"), F.sum(F.col("_r") * F.col("_in")).alias("_rs"),
         F.sum(w * w * w - w).alias("_ties"))
     n, a = F.col("n").cast("double"), F.col("n_in").cast("double")

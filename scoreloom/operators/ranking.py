@@ -1,22 +1,19 @@
 """Ranks, positions and exact quantiles without a single-task window.
 
-A window over a whole group (or the whole table) sends that group to one task.
-Here every group is cut along its own approximate quantiles first: windows run
-per (group, slice), a second window over at most ``SLICES`` slice totals gives
-the offsets, and the sum of both is exact. Quantiles only decide where to cut,
-never the answer.
+A window over a whole group (or the whole table) sends that group to one task. Here tables
+are ordered slice by slice (``slices.placed``): one shuffle by range, as many slices as the
+number of rows asks for, and offsets from the edges of slices. Ranks are added to the rows
+where they stand, so nothing is joined back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numerics import dbl
-
-FAN = 16
-SLICES = FAN * FAN
+from .slices import placed
 
 
 def attach_one(df: DataFrame, one_row: DataFrame, *names: str) -> DataFrame:
@@ -35,42 +32,13 @@ def attach(df: DataFrame, small: DataFrame, by: Sequence[str], how: str = "inner
     return attach_one(df, small)
 
 
-def _cuts(df: DataFrame, value: str, by: Sequence[str], name: str, fan: int = FAN) -> DataFrame:
-    shares = [i / (fan * fan) for i in range(1, fan * fan)]
-    return df.groupBy(*by).agg(F.percentile_approx(value, shares).alias(name))
-
-
-def _slice_of(value: Column, cuts: Column, fan: int = FAN) -> Column:
-    """Number of cut points below ``value``, found in two steps of ``fan`` comparisons."""
-    below = lambda edges: F.size(F.filter(edges, lambda e: e < value))
-    coarse = below(F.transform(F.sequence(F.lit(fan), F.lit(fan * (fan - 1)), F.lit(fan)),
-                               lambda i: F.element_at(cuts, i)))
-    return coarse * fan + below(F.slice(cuts, coarse * fan + 1, fan))
-
-
-def _offsets(sliced: DataFrame, by: Sequence[str], slices: Sequence[str], amount: Column) -> DataFrame:
-    """Rows before each slice and rows in the group; bounded number of rows per group."""
-    totals = sliced.groupBy(*by, *slices).agg(F.sum(amount).alias("_in"))
-    order = [F.col(s) for s in slices]
-    window = Window.partitionBy(*by)
-    return totals.select(
-        *by, *slices,
-        (F.sum("_in").over(window.orderBy(*order)) - F.col("_in")).alias("_before"),
-        F.sum("_in").over(window).alias("_size"))
-
-
 def cumulative(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """One row per group and distinct value: ``n`` rows there, ``cum`` rows at or
     below it, ``size`` rows in the group. ``weight`` counts a row several times."""
     by = list(by)
-    amount = F.sum(weight) if weight else F.count(F.lit(1))
-    cells = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(amount.alias("n"))
-    sliced = (attach(cells, _cuts(cells, value, by, "_cuts"), by)
-              .withColumn("_slice", _slice_of(F.col(value), F.col("_cuts"))).drop("_cuts"))
-    run = Window.partitionBy(*by, "_slice").orderBy(value)
-    within = sliced.withColumn("_run", F.sum("n").over(run))
-    joined = within.join(_offsets(sliced, by, ["_slice"], F.col("n")), [*by, "_slice"])
-    return joined.select(*by, value, "n", (F.col("_before") + F.col("_run")).alias("cum"), F.col("_size").alias("size"))
+    amount = F.sum(weight).cast("long") if weight else F.count(F.lit(1))
+    cells = placed(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(amount.alias("n")), by, [value], "n")
+    return cells.select(*by, value, "n", (F.col("_before") + F.col("n")).alias("cum"), F.col("_size").alias("size"))
 
 
 def rank_table(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank",
@@ -81,22 +49,20 @@ def rank_table(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "ra
     return cells.select(*by, value, rank.alias(out), F.col("size").alias(f"{out}_of"))
 
 
-def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:
-    """Add the average rank of ``value`` and the group size ``{out}_of``."""
-    return df.join(rank_table(df, value, by, out), [*by, value])
+def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank", weight: str | None = None) -> DataFrame:
+    """Add the average rank of ``value`` and the group size ``{out}_of``; rows without a value go."""
+    rows = placed(df.where(F.col(value).isNotNull()), by, [value], weight)
+    rank = F.col("_before") + (F.col("_run") + 1) / dbl(2)
+    return rows.select(*df.columns, rank.alias(out), F.col("_size").alias(f"{out}_of"))
 
 
 def unit_ranks(df: DataFrame, names: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
-    """Add average ranks scaled to [0, 1], ``{value: out}``; 0 in groups of one.
-
-    Every rank table is built from ``df`` itself, so the branches stay flat.
-    """
-    by = list(by)
+    """Add average ranks scaled to [0, 1], ``{value: out}``; 0 in groups of one."""
     out = df
     for value, name in names.items():
         scaled = F.coalesce(F.try_divide(F.col("_r") - 1, F.col("_r_of") - 1), dbl(0))
-        table = rank_table(df, value, by, "_r").select(*by, value, scaled.alias(name))
-        out = out.join(table, [*by, value])
+        ranked = average_rank(out, value, by, "_r")
+        out = ranked.withColumn(name, scaled).drop("_r", "_r_of")
     return out.select(*df.columns, *names.values())
 
 
@@ -108,29 +74,12 @@ def position(df: DataFrame, value: str, key: str, by: Sequence[str] = (), out: s
              descending: bool = False, size: str | None = None) -> DataFrame:
     """Row number by (value, key) inside each group, 1-based.
 
-    ``value`` and ``key`` are numeric and ``key`` breaks ties upwards in both
-    directions. A value frequent enough to fill a slice is cut again along the
-    key, so a tie that holds a third of the rows is still spread out.
+    ``value`` is numeric and ``key`` breaks ties upwards in both directions. A tie that
+    holds a third of the rows is spread over slices like any other stretch.
     """
-    by = list(by)
-    sign = -1 if descending else 1
-    keyed = df.withColumn("_v", F.col(value) * sign)
-    cuts = keyed.groupBy(*by).agg(
-        F.percentile_approx("_v", [i / SLICES for i in range(1, SLICES)]).alias("_cuts"),
-        F.percentile_approx(key, [i / SLICES for i in range(1, SLICES)]).alias("_keycuts"))
-    sliced = (attach(keyed, cuts, by)
-              .withColumn("_slice", _slice_of(F.col("_v"), F.col("_cuts")))
-              .withColumn("_tie", F.coalesce(F.try_element_at("_cuts", F.col("_slice") + 1) == F.col("_v"), F.lit(False)))
-              .withColumn("_sub", F.when(F.col("_tie"), _slice_of(F.col(key), F.col("_keycuts"))).otherwise(F.lit(-1)))
-              .withColumn("_tie", F.col("_tie").cast("int"))
-              .drop("_cuts", "_keycuts"))
-    # Inside one slice every value equal to its upper cut comes last, so (slice, tie, sub) sorts like (value, key).
-    slices = ["_slice", "_tie", "_sub"]
-    run = Window.partitionBy(*by, *slices).orderBy("_v", key)
-    numbered = sliced.withColumn("_run", F.row_number().over(run))
-    placed = numbered.join(_offsets(sliced, by, slices, F.lit(1)), [*by, *slices])
-    extra = [F.col("_size").alias(size)] if size else []
-    return placed.select(*df.columns, (F.col("_before") + F.col("_run")).alias(out), *extra)
+    keyed = df.withColumn("_v", F.col(value) * (-1 if descending else 1))
+    rows = placed(keyed, by, ["_v", key], ties=False)
+    return rows.select(*df.columns, (F.col("_before") + 1).alias(out), *([F.col("_size").alias(size)] if size else []))
 
 
 def hash_position(df: DataFrame, seed, key: str, by: Sequence[str] = (), out: str = "pos",
@@ -156,8 +105,3 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: Sequence[
     picked = cells.groupBy(*by).agg(F.max("size").alias("size"), *aggs)
     at = [(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}")).alias(n) for n in shares]
     return picked.select(*by, "size", *at)
-
-
-def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
-    """The first ``k`` rows of an order; runs as a per-task top-k and one merge."""
-    return df.orderBy(*order).limit(k)

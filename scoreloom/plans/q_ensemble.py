@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numerics import dbl, r6
-from ..operators import agreement as ag, calibration as cal, ensemble as en, uncertainty as un
+from ..functions.numerics import dbl, key_hash, r6
+from ..operators import agreement as ag, calibration as cal, ensemble as en, isotonic, uncertainty as un
 from ..operators.ranking import attach_one, quantiles
 from ..operators.staging import staged
 from .oracle_views import VIEWS, WEIGHT, avg_rank, corr_sql, h, metrics_sql, r
@@ -101,9 +101,14 @@ VIEWS["pairs"] = ("panel", """select a.image_id, a.dimension, a.model as model_a
     from panel a join panel b on a.image_id = b.image_id and a.dimension = b.dimension and a.model < b.model""")
 
 
-@query("j16_rater_pairs", "pairs", f"select image_id, dimension, model_a, model_b, {r('a - b')} as gap from pairs")
+@query("j16_rater_pairs", "pairs", f"""select dimension, model_a, model_b, count(*) as n, count(distinct image_id) as images, {r('avg(a - b)')} as mean_gap, {r('max(abs(a - b))')} as largest_gap,
+        bit_xor({h('image_id', "round((a - b) * 1000000)::bigint")}) as rows_digest from pairs group by 1, 2, 3""")
 def j16(t):
-    return en.rater_pairs(t.panel).select("image_id", "dimension", "model_a", "model_b", r6(F.col("a") - F.col("b")).alias("gap"))
+    """Every pair of raters of every image, told by pair: counts, gaps and a digest of the rows."""
+    gap = F.col("a") - F.col("b")
+    digest = F.bit_xor(key_hash(F.col("image_id"), F.round(gap * 1000000).cast("long")))
+    return en.rater_pairs(t.panel).groupBy("dimension", "model_a", "model_b").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("image_id").alias("images"), r6(F.avg(gap)).alias("mean_gap"), r6(F.max(F.abs(gap))).alias("largest_gap"), digest.alias("rows_digest"))
 
 
 @query("a26_pair_disagreement", "pairs", f"""select model_x as model_a, model_y as model_b, {r('avg(abs(a - b))')} as mean_gap, count(*) as n from (
@@ -166,40 +171,87 @@ FOLD_PARAMS = "select model, dimension, k as fold, regr_slope(gt, score) as slop
 FOLDED = "select f.*, slope * score + intercept as calibrated from f join fp using (model, dimension, fold)"
 
 
-@query("m5_cross_validated_linear", "scored", f"select image_id, model, dimension, fold, {r('calibrated')} as calibrated from ({FOLDED})", f=FOLD, fp=FOLD_PARAMS)
+@query("m5_cross_validated_linear", "scored", f"""select model, dimension, fold, count(*) as n, {r('avg(calibrated)')} as mean, {r('min(calibrated)')} as lowest, {r('max(calibrated)')} as highest,
+        {r('avg(abs(calibrated - gt))')} as mae, {r('sqrt(avg((calibrated - gt) * (calibrated - gt)))')} as rmse, {r('avg(abs(score - gt))')} as raw_mae from ({FOLDED}) group by 1, 2, 3""", f=FOLD, fp=FOLD_PARAMS)
 def m5(t):
-    rows = scored(t).where(F.col("split") != "test")
-    return cal.folded_linear(rows).select("image_id", *BY, "fold", r6("calibrated").alias("calibrated"))
+    """Out-of-fold corrected scores, told by fold with their errors."""
+    gap = lambda c: F.col(c) - F.col("gt")
+    folded = cal.folded_linear(scored(t).where(F.col("split") != "test"))
+    return folded.groupBy(*BY, "fold").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("calibrated")).alias("mean"), r6(F.min("calibrated")).alias("lowest"), r6(F.max("calibrated")).alias("highest"),
+                                           r6(F.avg(F.abs(gap("calibrated")))).alias("mae"), r6(F.sqrt(F.avg(gap("calibrated") * gap("calibrated")))).alias("rmse"), r6(F.avg(F.abs(gap("score")))).alias("raw_mae"))
+
+
+# The increasing fit as SQL: at every distinct score the largest, over starts, of the smallest mean over ends.
+def increasing_sql(source, prefix):
+    by = "model, dimension"
+    return {
+        f"{prefix}cells": f"select {by}, score as x, count(*) as w, sum(gt) as s from {source} group by all",
+        f"{prefix}sums": f"select *, row_number() over o as i, sum(w) over o as cw, sum(s) over o as cs from {prefix}cells window o as (partition by {by} order by x)",
+        f"{prefix}means": f"select a.model, a.dimension, a.i, b.x, b.w, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) as mean from {prefix}sums a join {prefix}sums b on a.model = b.model and a.dimension = b.dimension and b.i >= a.i",
+        f"{prefix}lows": f"select {by}, x, w, min(mean) over (partition by {by}, i order by x desc rows unbounded preceding) as low from {prefix}means",
+        f"{prefix}fit": f"select {by}, x, any_value(w) as w, round(max(low), 9) as value from {prefix}lows group by 1, 2, 3"}
+
+
+TRAINED = dict(l=LINE.replace("from scored", "from scored where split = 'train'"), **increasing_sql("(select * from scored where split = 'train')", "i"))
+CALIBRATED = """select s.model, s.dimension, s.image_id, s.split, s.score, s.gt, slope * s.score + intercept as linear, case when a.x is null then b.value when b.x is null or a.x = b.x then a.value
+    else a.value + (b.value - a.value) * ((s.score - a.x) / (b.x - a.x)) end as isotonic from scored s left join l using (model, dimension)
+    asof left join ifit a on s.model = a.model and s.dimension = a.dimension and s.score >= a.x asof left join ifit b on s.model = b.model and s.dimension = b.dimension and s.score <= b.x"""
+COMPARED = """select model, dimension, split, gt, 0 as nth, 'raw' as method, round(score, 9) as value from cal union all select model, dimension, split, gt, 1, 'linear', round(linear, 9) from cal where linear is not null
+    union all select model, dimension, split, gt, 2, 'isotonic', round(isotonic, 9) from cal where isotonic is not null"""
+PLAIN_METHODS = ("raw", "linear", "isotonic")
+M7 = dict(**TRAINED, cal=CALIBRATED, long=COMPARED, m=metrics_sql("long", "value", "gt", "model, dimension, split, nth, method"),
+          worst="select model, dimension, split, method, max(abs(value - gt)) as max_error from long group by all")
+
+
+def compared(t, methods):
+    rows = staged(cal.calibrated(scored(t), F.col("split") == "train", BY, methods), "calibrated")
+    return cal.compare(rows, [*BY, "split"], methods)
+
+
+@query("m7_fit_summary", "scored", f"""select model, dimension, split, method, n, {r('srcc')} as srcc, {r('plcc')} as plcc, {r('mae')} as mae, {r('rmse')} as rmse, {r('bias')} as bias, {r('max_error')} as max_error,
+        row_number() over (g order by round(mae, 9), nth) = 1 as best, {r('(raw_mae - mae) / raw_mae * 100', 5)} as reduction_pct from (
+        select *, max(mae) filter (nth = 0) over (partition by model, dimension, split) as raw_mae from m join worst using (model, dimension, split, method) where n >= 30) window g as (partition by model, dimension, split)""", **M7)
+def m7(t):
+    """Raw, linear and increasing calibration, fitted on the training split, judged on every split."""
+    done = compared(t, PLAIN_METHODS)
+    return done.select(*BY, "split", "method", "n", *[r6(c).alias(c) for c in ("srcc", "plcc", "mae", "rmse", "bias", "max_error")], "best", r6("reduction_pct", 5).alias("reduction_pct"))
 
 
-@query("m7_fit_summary", "scored", f"""select model, dimension, n, {r('raw_mae')} as raw_mae, {r('raw_bias')} as raw_bias, {r('mae')} as mae, {r('bias', 5)} as bias,
-        {r('(raw_mae - mae) / raw_mae * 100')} as reduction_pct, case when mae < raw_mae then 'linear' else 'raw' end as best from (
-        select model, dimension, count(*) as n, avg(abs(score - gt)) as raw_mae, avg(score - gt) as raw_bias, avg(abs(slope * score + intercept - gt)) as mae,
-        avg(slope * score + intercept - gt) as bias from scored join l using (model, dimension) group by 1, 2) where n >= 30""", l=LINE.replace(" as n,", " as n0,"))
-def m7(t):
-    rows = scored(t).withColumn("raw", F.col("score"))
-    fixed = cal.apply_linear(rows, cal.linear_fit(rows))
-    gap = lambda c: F.col(c) - F.col("gt")
-    s = fixed.groupBy(*BY).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(gap("raw"))).alias("raw_mae"), F.avg(gap("raw")).alias("raw_bias"),
-                               F.avg(F.abs(gap("score"))).alias("mae"), F.avg(gap("score")).alias("bias")).where("n >= 30")
-    return s.select(*BY, "n", *[r6(c).alias(c) for c in ("raw_mae", "raw_bias", "mae")], r6("bias", 5).alias("bias"),
-                    r6((F.col("raw_mae") - F.col("mae")) / F.col("raw_mae") * 100).alias("reduction_pct"), F.when(F.col("mae") < F.col("raw_mae"), "linear").otherwise("raw").alias("best"))
+@query("m7_weighted", "scored", f"select model, split, method, {r(f'sum({WEIGHT} * srcc)')} as wsrcc, {r(f'sum({WEIGHT} * mae)')} as wmae from m where n >= 30 group by 1, 2, 3", **M7)
+def m7_weighted(t):
+    """Coefficient and error of every method, weighted over dimensions, per rater and split."""
+    return rounded(ag.weighted_over_dimensions(compared(t, PLAIN_METHODS), ["model", "split", "method"], {"srcc": "wsrcc", "mae": "wmae"}), ["model", "split", "method"], ["wsrcc", "wmae"])
+
+
+@query("m7_all_methods")
+def m7_all(t):
+    """The same comparison with the logistic curve among the methods."""
+    return compared(t, cal.METHODS)
 
 
 @query("m2_logistic_fit")
 def m2(t):
+    """Four- and five-parameter curves per rater and dimension: error and whether the fit converged."""
     rows = scored(t)
-    fit = cal.logistic_fit(rows, by=BY)
-    done = cal.apply_logistic(rows, fit, BY)
-    return done.groupBy(*BY).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg((F.col("calibrated") - F.col("gt")) * (F.col("calibrated") - F.col("gt")))).alias("rmse"))
+    parts = []
+    for parameters in (4, 5):
+        fit = staged(cal.logistic_fit(rows, by=BY, parameters=parameters), "curves")
+        gap = F.col("calibrated") - F.col("gt")
+        done = cal.apply_logistic(rows, fit, BY, parameters=parameters).groupBy(*BY).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(gap * gap)).alias("rmse"))
+        parts.append(done.join(fit.select(*BY, "converged"), BY).withColumn("parameters", F.lit(parameters)))
+    return parts[0].unionByName(parts[1])
+
+
+FUSED = "select model, dimension, score, gt from scored union all select 'fused', dimension, mu, gt from paired"
 
 
-@query("m3_isotonic_fit")
+@query("m3_isotonic_fit", "scored paired", f"select model, dimension, min(x) as lo, max(x) as hi, sum(w)::bigint as n, {r('value')} as value from ifit group by model, dimension, value",
+       every=FUSED, **increasing_sql("every", "i"))
 def m3(t):
-    """Every rater and the fused prediction, fitted per dimension."""
-    fused = t.paired.select(F.lit("fused").alias("model"), "dimension", "image_id", F.col("mu").cast("double").alias("score"), "gt")
-    rows = scored(t).select("model", "dimension", "image_id", F.col("score").cast("double").alias("score"), "gt").unionByName(fused)
-    return cal.isotonic_by(rows, BY).select("model", "dimension", "image_id", "score", "calibrated", "gt")
+    """Blocks of the increasing fit of every rater and of the fused prediction, per dimension."""
+    fused = t.paired.select(F.lit("fused").alias("model"), "dimension", F.col("mu").cast("double").alias("score"), "gt")
+    rows = scored(t).select("model", "dimension", F.col("score").cast("double").alias("score"), "gt").unionByName(fused)
+    return isotonic.fit(rows, BY).select(*BY, "lo", "hi", "n", r6("value").alias("value"))
 
 
 @query("r5_main_score")

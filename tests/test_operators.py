@@ -79,16 +79,51 @@ def test_ridge_against_closed_form(spark):
     assert got[3] == pytest.approx(z[3] @ w + y.mean())
 
 
-def test_logistic_and_isotonic_fits(spark):
+def test_logistic_fits(spark):
     rng = np.random.default_rng(0)
     x = rng.uniform(0, 10, 400)
     y = (4.5 - 1.2) / (1 + np.exp(-(x - 5) / 0.9)) + 1.2
     df = spark.createDataFrame([("m", float(a), float(b)) for a, b in zip(x, y)], "model string, score double, gt double")
     fit = cal.logistic_fit(df, by=["model"]).first()
-    assert fit.sse < 1e-6 and sorted(round(v, 2) for v in fit.p[:2]) == [1.2, 4.5]
-    model = cal.isotonic_fit(df)
-    out = [r.calibrated for r in cal.isotonic_apply(model, df).orderBy("score").collect()]
-    assert all(b >= a - 1e-12 for a, b in zip(out, out[1:]))
+    assert fit.converged and fit.sse < 1e-6 and sorted(round(v, 2) for v in fit.p[:2]) == [1.2, 4.5]
+    assert not cal.logistic_fit(df, by=["model"], steps=2).first().converged
+    bent = 2.0 * (0.5 - 1 / (1 + np.exp(1.3 * (x - 4)))) + 0.3 * x + 1
+    five = cal.logistic_fit(spark.createDataFrame([("m", float(a), float(b)) for a, b in zip(x, bent)], "model string, score double, gt double"), by=["model"], parameters=5)
+    got = five.first()
+    assert got.converged and np.allclose(got.p, [2.0, 1.3, 4, 0.3, 1], atol=1e-3)
+    out = cal.apply_logistic(df, five, ["model"], parameters=5).select("score", "calibrated").first()
+    assert out.calibrated == pytest.approx(2.0 * (0.5 - 1 / (1 + np.exp(1.3 * (out.score - 4)))) + 0.3 * out.score + 1, abs=1e-3)
+
+
+def test_noisy_logistic_is_a_minimum(spark):
+    """At the converged parameters no nearby parameters have a smaller error."""
+    rng = np.random.default_rng(4)
+    x = rng.uniform(0, 10, 300)
+    y = 3 / (1 + np.exp(-(x - 4) / 1.1)) + 1 + rng.normal(0, 0.4, 300)
+    fit = cal.logistic_fit(spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "score double, gt double")).first()
+    error = lambda p: ((y - ((p[0] - p[1]) / (1 + np.exp(-(x - p[2]) / p[3])) + p[1])) ** 2).sum()
+    assert fit.converged and fit.sse == pytest.approx(error(fit.p), rel=1e-9)
+    for i in range(4):
+        for step in (1e-3, -1e-3):
+            moved = list(fit.p)
+            moved[i] += step
+            assert error(moved) > fit.sse
+
+
+def test_calibration_methods_compared(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(300):
+        x = float(np.round(rng.uniform(1, 5), 1))
+        rows += [("bent", i, x, 4 / (1 + np.exp(-3 * (x - 3))) + 1, "train" if i < 200 else "test"), ("line", i, x, 0.5 * x + 2, "train" if i < 200 else "test")]
+    df = spark.createDataFrame(rows, "model string, image_id long, score double, gt double, split string")
+    done = cal.calibrated(df, F.col("split") == "train", ["model"])
+    got = {(r.model, r.split, r.method): r for r in cal.compare(done, ["model", "split"]).collect()}
+    assert {m for (g, s, m), r in got.items() if r.best and g == "line"} == {"linear"}
+    assert got["bent", "test", "logistic"].mae < 1e-4 < got["bent", "test", "linear"].mae
+    assert got["bent", "test", "isotonic"].srcc == pytest.approx(1) and got["line", "test", "linear"].reduction_pct == pytest.approx(100)
+    assert all(r.n == (200 if s == "train" else 100) for (_, s, _), r in got.items())
+    assert cal.compare(done, ["model", "split"], min_rows=150).where("split = 'test'").count() == 0
 
 
 def test_rating_responses(spark):

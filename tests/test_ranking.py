@@ -125,3 +125,29 @@ def test_normaliser_refuses_constant_and_short_raters(spark):
     for df in (short, flat):
         with pytest.raises(Exception):
             un.fit_normaliser(df).collect()
+
+
+def test_many_slices_equal_one(spark, monkeypatch):
+    """Groups and runs of ties that cross slices, slices of one row, groups of one row."""
+    from scoreloom.operators import slices
+
+    rng = np.random.default_rng(9)
+    n = 400
+    pdf = pd.DataFrame({"k": np.arange(n), "g": rng.choice(["hot", "hot", "hot", "b", "c", None], n), "h": rng.integers(0, 2, n),
+                        "v": np.where(rng.random(n) < 0.5, 2.0, np.round(rng.normal(size=n), 1)), "w": rng.integers(1, 5, n)})
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "k long, g string, h long, v double, w long")
+    grouped = pdf.fillna({"g": "none"})
+    for most in (1, 7, 60):
+        monkeypatch.setattr(slices, "MOST", most)
+        for by in (["g"], ["g", "h"], []):
+            got = slices.placed(df, by, ["v"], "w").toPandas().set_index("k").sort_index()
+            for _, part in grouped.groupby(by) if by else [(0, grouped)]:
+                v, w = part["v"].to_numpy(), part["w"].to_numpy()
+                mine = got.loc[part["k"]]
+                assert (mine["_before"].to_numpy() == [w[v < x].sum() for x in v]).all()
+                assert (mine["_run"].to_numpy() == [w[v == x].sum() for x in v]).all()
+                assert (mine["_size"] == w.sum()).all()
+        pos = position(df, "v", "k", ["g"], size="n").toPandas().set_index("k")["pos"].sort_index()
+        want = grouped.sort_values(["v", "k"]).groupby("g").cumcount().sort_index() + 1
+        assert (pos == want).all()
+    assert slices.placed(df.where("false"), ["g"], ["v"]).count() == 0

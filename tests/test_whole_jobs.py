@@ -3,7 +3,7 @@
 import numpy as np
 
 import __spark_entry__ as entry
-from scoreloom.operators import calibration as cal
+from scoreloom.operators import isotonic
 
 SF = "/root/testdata/sf0.01"
 
@@ -24,7 +24,7 @@ def test_isotonic_by_group(spark):
     rng = np.random.default_rng(3)
     rows = [(m, d, float(rng.integers(1, 30)) / 6, float(rng.uniform(1, 5))) for m in "abc" for d in ("x", "y") for _ in range(60)]
     df = spark.createDataFrame([*rows, ("a", "x", None, 2.0)], "model string, dimension string, score double, gt double")
-    got = cal.isotonic_by(df, ["model", "dimension"]).collect()
+    got = isotonic.fitted(df, ["model", "dimension"]).collect()
     assert len(got) == len(rows) + 1
     for m in "abc":
         for d in ("x", "y"):
