@@ -19,14 +19,18 @@ Per text, only the rarest blocks are joined: of at least ``need`` shared ones, `
 be spared, and a text with fewer than ``need`` blocks that any other text has is done. A text of
 which a common passage is a small part thus never meets the others that hold it. Texts hang on
 the smallest id of a list first; then, once the components are known, lists whose texts are
-in different components are worked through, with the Hamming distance of 512-bit folded
-sketches as the join's condition. What is left is confirmed on full sets.
+in different components are worked through, with the Hamming distance of 1,024-bit folded
+sketches as the join's condition. Sets of fewer than 512 shingles are folded whole, so that
+condition is the bound itself; larger ones by a share of 256 to 640. What is left is
+confirmed on full sets.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +43,14 @@ from .minhash import shingle_sets
 from .stages import written
 from .textblocks import byte_values, mix
 
-FOLDED = 512  # bits
+FOLDED = 1024  # bits
+WORDS = FOLDED // 64
+WHOLE = 4  # the largest band whose sets are folded whole
 SMALL = 32  # sets below have one block per shingle
 SAMPLED = 128  # sets of this size and more enter with a share of their shingles
 BLOCKS = 64
 SHARED = 6  # blocks that a sampled pair at a threshold of 0.8 shares: fewer with odds of 1e-11
-SPREAD = 2.5  # folded sketches of a sampled pair: slack in square roots of both sizes, over 5 deviations
+SPREAD = 2.1  # folded sketches of a sampled pair: slack in square roots of both sizes, seven deviations
 _U = np.uint64
 
 
@@ -66,13 +72,14 @@ def shared_least(percent: int) -> int:
 
 
 def sketch(s: np.ndarray, band: int, percent: int) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """Shingles taken, need, keys of the blocks that are not empty, and the folded sketch of sorted hashes in a band."""
+    """Shingles folded, need, keys of the blocks that are not empty, and the folded sketch of sorted hashes in a band."""
     low = SMALL << (band - 1) if band else 0
     shift = max(0, band - 2)  # the band from 64 on takes all, each above half of the one below
-    part = s[: np.searchsorted(s, _U((1 << (64 - shift)) - 1), side="right")] if shift else s
-    spread = mix(part)
-    where = (spread >> _U(3)) & _U(FOLDED - 1)
+    part = lambda shift: s[: np.searchsorted(s, _U((1 << (64 - shift)) - 1), side="right")] if shift else s
+    folded = part(max(0, band - WHOLE))
+    where = (mix(folded) >> _U(3)) & _U(FOLDED - 1)
     bits = np.packbits((np.bincount(where.astype(np.int64), minlength=FOLDED) & 1).astype(np.uint8)).view(np.int64)
+    spread = mix(part(shift))
     if not band:
         keys = spread
     else:
@@ -85,7 +92,7 @@ def sketch(s: np.ndarray, band: int, percent: int) -> tuple[int, int, np.ndarray
         keys = parity[parity != 0] ^ mix(block[first][parity != 0] + _U(1 << 20))
     keys = mix(keys + _U(band * 0x9E3779B1 + 7))
     need = needed(len(s), len(keys), percent) if not shift else min(shared_least(percent), max(1, len(keys)))
-    return len(part), need, keys.view(np.int64), bits
+    return len(folded), need, keys.view(np.int64), bits
 
 
 def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -115,18 +122,18 @@ def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, kind)
 
 
-def _apart(a: str, b: str):
-    """Hamming distance of two folded sketches."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def _apart():
+    """Hamming distance of the folded sketches bits_a0.. and bits_b0.."""
+    return reduce(add, [F.bit_count(F.col(f"bits_a{i}").bitwiseXOR(F.col(f"bits_b{i}"))) for i in range(WORDS)])
 
 
 def _near(percent: int):
-    """Whether the sketches bits_a and bits_b of a band leave the threshold possible."""
-    exact = _apart("bits_a", "bits_b") * (100 + percent) <= (F.col("m_a") + F.col("m_b")) * (100 - percent)
-    slack = F.sqrt((F.col("m_a") + F.col("m_b")).cast("double")) * SPREAD
-    sampled = _apart("bits_a", "bits_b") <= (F.col("m_a") + F.col("m_b")) * ((100 - percent) / (100 + percent)) + slack
+    """Whether the folded sketches of a band leave the threshold possible."""
+    both = F.col("m_a") + F.col("m_b")
+    whole = (F.col("m_a") == F.col("n_a")) & (F.col("m_b") == F.col("n_b"))
+    slack = F.when(whole, 0.0).otherwise(F.sqrt(both.cast("double")) * SPREAD)
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    return sizes & F.when((F.col("m_a") == F.col("n_a")) & (F.col("m_b") == F.col("n_b")), exact).otherwise(sampled)
+    return sizes & (_apart() * (100 + percent) <= both * (100 - percent) + slack * (100 + percent))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -181,18 +188,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     drawn = written(sketches(docs, size, percent), "sketches")
     first = drawn.where("main").select("id", "n", "same")
     classes = written(first.where("same is not null and id is not null").groupBy("same").agg(F.min("id").alias("speaker")), "classes")
-    bits = ["id", "band", "n", "m", "bits"]
-    speakers = written(drawn.where("same is not null").select("same", *bits, "need", "keys").join(classes.withColumnRenamed("speaker", "id"), ["same", "id"], "left_semi"), "speakers")
+    bits = ["id", "band", "n", "m", *[f"bits{i}" for i in range(WORDS)]]
+    flat = drawn.where("same is not null").select("same", "id", "band", "n", "m", "need", "keys", *[F.col("bits")[i].alias(f"bits{i}") for i in range(WORDS)])
+    speakers = written(flat.join(classes.withColumnRenamed("speaker", "id"), ["same", "id"], "left_semi"), "speakers")
     speaks = speakers.select(*bits)
     kept = written(rare_blocks(speakers), "blocks")
     several = first.where("same is not null").groupBy("id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo < hi").select("id")
     bridges = first.join(several, "id").join(classes, "same").where("id <> speaker").select(F.col("id").alias("a"), F.col("speaker").alias("b"))
 
-    of = lambda end: speaks.select(*[F.col(c).alias(c if c == "band" else {"id": end}.get(c, f"{c}_{end}")) for c in bits])
+    ended = lambda c, end: f"bits_{end}{c[4:]}" if c.startswith("bits") else {"id": end, "band": c, "v": c}.get(c, f"{c}_{end}")
+    of = lambda end: speaks.select(*[F.col(c).alias(ended(c, end)) for c in bits])
     heads = kept.groupBy("v").agg(F.min("id").alias("a"), F.count("*").alias("entries")).where("entries > 1").select("v", "a")
     star = kept.join(heads, "v").where("id > a").select("a", F.col("id").alias("b"), "band").distinct()
     star = star.join(of("b"), ["b", "band"]).join(of("a"), ["a", "band"]).where(_near(percent))
-    star = written(star.select("a", "b", (_apart("bits_a", "bits_b") / (F.col("m_a") + F.col("m_b"))).alias("off")), "star")
+    star = written(star.select("a", "b", (_apart() / (F.col("m_a") + F.col("m_b"))).alias("off")), "star")
     best = star.groupBy("b").agg(F.min_by("a", F.struct("off", "a")).alias("a")).select("a", "b")
     links = confirmed(best, docs, size, percent)
     labels = written(components(links), "labels")
@@ -205,7 +214,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     entry = kept.join(labels, "id", "left").select("v", "band", "id", F.coalesce("component", "id").alias("c"))
     mixed = entry.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v")
     entry = written(entry.join(mixed, "v").join(speaks, ["id", "band"]), "entries")
-    end = lambda e: entry.select("v", *[F.col(c).alias({"id": e}.get(c, f"{c}_{e}")) for c in ("id", "c", "n", "m", "bits")])
+    end = lambda e: entry.select(*[F.col(c).alias(ended(c, e)) for c in ("v", "c", *bits) if c != "band"])
     cross = end("a").join(end("b"), "v").where((F.col("c_a") < F.col("c_b")) & _near(percent))
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")

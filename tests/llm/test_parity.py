@@ -60,7 +60,7 @@ def test_a_common_passage_makes_no_pairs(table):
     passage = " ".join(f"p{i}" for i in range(20))
     docs = table([(i, passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(100))) for i in range(400)])
     drawn = parity.sketches(docs.selectExpr("doc_id as id", "text"), 5, 80)
-    assert parity.rare_blocks(drawn).groupBy("v").count().where("count > 1").count() == 0
+    assert parity.rare_blocks(drawn.where("same is not null")).groupBy("v").count().where("count > 1").count() == 0
 
 
 def test_shared_ids_nulls_and_no_rows(table):
