@@ -1,15 +1,30 @@
-"""Resampling with draws that depend on keys only."""
+"""Resampling with draws that depend on keys only.
+
+A unit (an image, a text) carries one vector: how often every draw takes it. Nothing else is
+ever drawn: a table of values is ordered once, and a pass over its slices works out weighted
+average ranks and sums of all draws side by side (``scores``). Ranks of one side travel with
+the rows; those of the other are summed where they arise.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
 from ..functions.numerics import dbl, key_hash
-from .ranking import hash_position, position
+from .ranking import attach_one, position
+from .slices import group_code, in_slices, mapped, starts
 from .staging import staged
 
+VECTOR_BYTES = 32 << 20  # of the vectors that a task holds at once
+TOGETHER = 250  # draws worked out side by side
+SUMS = ("w", "wx", "wy", "wxy", "wxx", "wyy", "x", "y", "xx", "yy", "xy", "gap", "gap2", "good", "goodx")
+
 
 def indexed(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows with a dense index ``idx`` (from 0) by key and the group size ``n``."""
@@ -17,17 +32,157 @@ def indexed(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
     return placed.withColumn("idx", F.col("idx") - 1)
 
 
-def resamples(rows: DataFrame, repeats: int, seed, by: Sequence[str] = ()) -> DataFrame:
-    """``repeats`` draws with replacement of every group, as rows tagged ``rep``.
+def counted(picks: DataFrame, keys: Sequence[str], width: int, units: int, repeat: str = "rep") -> DataFrame:
+    """``keys`` and ``times`` (16-bit counts per draw, packed) from one row per pick of a draw below ``width``."""
+    keys = list(keys)
+    parts = max(1, math.ceil(units * width * 8 / VECTOR_BYTES), min(units, picks.sparkSession.sparkContext.defaultParallelism))
+
+    def count(rows: pa.Table, _: int) -> pa.Table:
+        code, first, unit = np.unique(rows["_g"].to_numpy(), return_index=True, return_inverse=True)
+        times = np.bincount(unit * width + rows["_rep"].to_numpy(), minlength=len(code) * width).astype(np.uint16).reshape(len(code), width)
+        return rows.select(keys).take(pa.array(first)).append_column("times", pa.array([v.tobytes() for v in times]))
+
+    named = picks.select(*keys, F.col(repeat).cast("long").alias("_rep"), group_code(keys).alias("_g"))
+    schema = T.StructType([*picks.select(*keys).schema.fields, T.StructField("times", T.BinaryType())])
+    return mapped(named.repartition(parts, "_g"), count, schema)
+
 
-    ``rows`` carries ``idx`` and ``n``. Draw d of repeat b picks row
-    hash(seed, b, d) mod n, so groups of equal size see the same draws. Each row
-    generates its own slots; no list of draws exists anywhere.
+def draws(units: DataFrame, key: str, repeats: int, seed, by: Sequence[str] = ()) -> DataFrame:
+    """``by``, key, n and ``times``: how often each of ``repeats`` draws with replacement takes a unit,
+    after a first entry of 1 for the table as it is.
+
+    Draw d of repeat b picks the unit hash(seed, b, d) mod n in order of keys, so groups of the same
+    units have the same draws, whatever else is in the table.
     """
     by = list(by)
+    rows = staged(indexed(units.select(*by, key).distinct(), key, by), "units")
     slots = rows.select(*by, "idx", "n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    picks = slots.select(*by, "rep", (key_hash(seed, F.col("rep"), F.col("idx")) % F.col("n")).alias("idx"))
-    return picks.join(rows, [*by, "idx"])
+    picks = slots.select(*by, "rep", (key_hash(seed, F.col("rep"), F.col("idx")) % F.col("n")).alias("idx")).withColumn("rep", F.col("rep") + 1)
+    whole = rows.select(*by, F.lit(0).alias("rep"), "idx")
+    times = counted(picks.unionByName(whole), [*by, "idx"], repeats + 1, rows.count())
+    return rows.join(times, [*by, "idx"]).select(*by, key, "n", "times")
+
+
+def _matrix(rows: pa.Table, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["times"].to_pylist()), np.uint16).reshape(len(rows), width)
+
+
+def _mid_ranks(times: np.ndarray, runs: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Average rank of every row in every draw, within its group of this slice; ``runs`` and ``groups`` mark first rows."""
+    upto = np.cumsum(times, axis=0, dtype=np.float64)
+    above = np.vstack((np.zeros((1, times.shape[1])), upto[:-1]))
+    run, group = np.cumsum(runs) - 1, np.cumsum(groups) - 1
+    first = np.flatnonzero(runs)
+    last = np.append(first[1:], len(runs)) - 1
+    before = above[first] - above[np.flatnonzero(groups)][group[first]]
+    return (before + (upto[last] - above[first] + 1) / 2)[run]
+
+
+def _group_totals(times: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(times.astype(np.float64), np.flatnonzero(groups), axis=0)
+
+
+def _ahead(totals: DataFrame, width: int) -> DataFrame:
+    """``_g``, ``_part``, ``ahead``: the draws' weight of the group in the slices before. A row per slice and group."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows["_part"].to_numpy())
+        rows = rows.take(pa.array(order))
+        t = np.frombuffer(b"".join(rows["total"].to_pylist()), np.float64).reshape(len(rows), width)
+        return pa.table({"_g": rows["_g"], "_part": rows["_part"], "ahead": pa.array([v.tobytes() for v in np.cumsum(t, axis=0) - t])})
+
+    several = totals.join(totals.groupBy("_g").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_g"), "_g")
+    return several.groupBy("_g").applyInArrow(run, "_g long, _part long, ahead binary")
+
+
+def scores(rows: DataFrame, by: Sequence[str], x: str, y: str, width: int, good: float | None = None) -> DataFrame:
+    """Per group and draw (``rep`` below ``width``): n, srcc, plcc, mae, rmse and, with a bound ``good``
+    on ``y``, the auroc of ``x`` for rows at or above it.
+
+    ``rows`` has ``times`` of the row's unit. Coefficients are NULL below three rows or where a
+    side doesn't vary. Rows without x or y take no part; a value is cut between slices never.
+    """
+    by = list(by)
+    most = max(1, VECTOR_BYTES // (2 * width))
+    source = staged(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, group_code(by).alias("_g"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), "times"), "drawn")
+    n = source.count()
+    long, double, binary = T.LongType(), T.DoubleType(), T.BinaryType()
+
+    def rank_y(table: pa.Table, slice_: int) -> pa.Table:
+        group = table["_g"].to_numpy()
+        groups, runs = starts(group), starts(group, table["_y"].to_numpy())
+        times = _matrix(table, width)
+        ranks = np.empty(times.shape, np.float64)
+        for lo in range(0, width, TOGETHER):
+            ranks[:, lo:lo + TOGETHER] = _mid_ranks(times[:, lo:lo + TOGETHER], runs, groups)
+        totals, first = _group_totals(times, groups), np.flatnonzero(groups)
+        total: list = [None] * len(table)
+        for t, row in zip(totals, first.tolist(), strict=True):
+            total[row] = t.tobytes()
+        return table.append_column("_part", pa.array(np.full(len(table), slice_, np.int64))).append_column("_ry", pa.array([v.tobytes() for v in ranks])).append_column("total", pa.array(total, pa.binary()))
+
+    kind = T.StructType([*source.schema.fields, T.StructField("_part", long), T.StructField("_ry", binary), T.StructField("total", binary)])
+    by_y = staged(mapped(in_slices(source, by, ["_y"], n, most), rank_y, kind), "by-y")
+    ahead = _ahead(by_y.where("total is not null").select("_g", "_part", "total"), width)
+    both = staged(by_y.drop("total").join(ahead, ["_g", "_part"], "left").drop("_part"), "ranked")
+
+    def sum_up(table: pa.Table, slice_: int) -> pa.Table:
+        group, vx, vy = (table[c].to_numpy() for c in ("_g", "_x", "_y"))
+        groups, runs, first = starts(group), starts(group, vx), None
+        first = np.flatnonzero(groups)
+        times = _matrix(table, width)
+        out = {c: np.empty((len(first), width)) for c in SUMS}
+        ry_all, ahead_all = table["_ry"].to_pylist(), table["ahead"].to_pylist()
+        facts = {"x": vx, "y": vy, "xx": vx * vx, "yy": vy * vy, "xy": vx * vy, "gap": np.abs(vx - vy), "gap2": (vx - vy) ** 2, "good": (vy >= good).astype(float) if good is not None else np.zeros(len(vy))}
+        for lo in range(0, width, TOGETHER):
+            cut = slice(lo, lo + TOGETHER)
+            m = times[:, cut].astype(np.float64)
+            rx = _mid_ranks(times[:, cut], runs, groups)
+            part = lambda v: np.frombuffer(v, np.float64)[cut]  # noqa: E731, B023
+            ry = np.array([part(v) if a is None else part(v) + part(a) for v, a in zip(ry_all, ahead_all, strict=True)])
+            add = lambda v: np.add.reduceat(v, first, axis=0)
+            mx, my = m * rx, m * ry
+            for name, v in (("w", m), ("wx", mx), ("wy", my), ("wxy", mx * ry), ("wxx", mx * rx), ("wyy", my * ry), ("goodx", mx * facts["good"][:, None])):
+                out[name][:, cut] = add(v)
+            for name, v in facts.items():
+                out[name][:, cut] = add(m * v[:, None])
+        small = table.select([*by, "_g"]).take(pa.array(first)).append_column("_part", pa.array(np.full(len(first), slice_, np.int64)))
+        for name in SUMS:
+            small = small.append_column(name, pa.array([v.tobytes() for v in out[name]]))
+        return small
+
+    keys = both.select(*by, "_g").schema.fields
+    kind = T.StructType([*keys, T.StructField("_part", long), *[T.StructField(c, binary) for c in SUMS]])
+    sums = staged(mapped(in_slices(both, by, ["_x"], n, most), sum_up, kind), "sums")
+
+    def finish(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(table["_part"].to_numpy())))
+        v = {c: np.frombuffer(b"".join(table[c].to_pylist()), np.float64).reshape(len(table), width) for c in SUMS}
+        up = np.cumsum(v["w"], axis=0) - v["w"]  # weight in the slices before
+        wx, wxy, wxx = v["wx"] + up * v["w"], v["wxy"] + up * v["wy"], v["wxx"] + 2 * up * v["wx"] + up * up * v["w"]
+        s = {c: a.sum(axis=0) for c, a in (v | {"wx": wx, "wxy": wxy, "wxx": wxx, "goodx": v["goodx"] + up * v["good"]}).items()}
+        k = s["w"]
+        with np.errstate(all="ignore"):
+            coefficient = lambda a, b, ab, aa, bb: _coefficient(k, s[a], s[b], s[ab], s[aa], s[bb])
+            pos, neg = s["good"], k - s["good"]
+            auc = np.where((pos > 0) & (neg > 0), (s["goodx"] - pos * (pos + 1) / 2) / (pos * neg), np.nan)
+            columns = {"n": k.astype(np.int64), "srcc": coefficient("wx", "wy", "wxy", "wxx", "wyy"), "plcc": coefficient("x", "y", "xy", "xx", "yy"),
+                       "mae": s["gap"] / k, "rmse": np.sqrt(s["gap2"] / k), "auroc": auc}
+        first = table.select(by).take(pa.array(np.zeros(width, np.int64))) if by else pa.table({"rep": pa.array(np.arange(width))})
+        out = first.append_column("rep", pa.array(np.arange(width))) if by else first
+        for name, c in columns.items():
+            out = out.append_column(name, pa.array(c) if name == "n" else pa.array(c, mask=~np.isfinite(c)))
+        return out
+
+    kind = T.StructType([*both.select(*by).schema.fields, T.StructField("rep", long), T.StructField("n", long), *[T.StructField(c, double) for c in ("srcc", "plcc", "mae", "rmse", "auroc")]])
+    return sums.groupBy("_g").applyInArrow(finish, kind).where("n > 0")
+
+
+def _coefficient(n, a, b, ab, aa, bb) -> np.ndarray:
+    va, vb = aa - a * a / n, bb - b * b / n
+    tiny = 1e-12
+    flat = (n < 3) | (va <= tiny * np.abs(aa)) | (vb <= tiny * np.abs(bb))
+    return np.where(flat, np.nan, (ab - a * b / n) / np.sqrt(np.where(flat, 1.0, va * vb)))
 
 
 def interval(df: DataFrame, value: str, by: Sequence[str], level: float = 0.95, min_draws: int = 30) -> DataFrame:
@@ -49,14 +204,78 @@ def holm(df: DataFrame, p: str = "p_value", key: str = "arm", out: str = "p_holm
     return df.withColumn(out, F.least(F.col(p) * (m - rank), dbl(1)))
 
 
-def stratified_counts(df: DataFrame, stratum: str, key: str, n: int, repeats: int, seed) -> DataFrame:
-    """``repeats`` proportional stratified subsamples of at most ``n`` rows, tagged ``rep``."""
-    spread = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_h", key_hash(seed, n, F.col("rep"), F.col(key)))
-    placed = position(spread, "_h", key, ["rep", stratum], "_pos", size="_stratum_n")
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    from .ranking import attach_one
+def weighted(per: DataFrame, by: Sequence[str], value: str = "srcc", out: str = "w") -> DataFrame:
+    """The weighted sum over dimensions of every draw; NULL where a dimension has no value."""
+    from .agreement import DIMENSION_WEIGHTS, weighted_over_dimensions
+
+    whole = per.groupBy(*by, "rep").agg(F.count(value).alias("_d")).where(F.col("_d") == len(DIMENSION_WEIGHTS)).select(*by, "rep")
+    return weighted_over_dimensions(per, [*by, "rep"], {value: out}).join(whole, [*by, "rep"], "left_semi")
 
-    quota = F.greatest(F.lit(1), F.round(F.col("_stratum_n") / F.col("_total") * n))
-    kept = attach_one(placed, total).where(F.col("_pos") <= quota)
-    trimmed = position(kept, "_h", key, ["rep"], "_pos2").where(F.col("_pos2") <= n)
-    return trimmed.select(*df.columns, "rep")
+
+def paired_deltas(rows: DataFrame, baseline: str, repeats: int, seed, min_units: int = 30, min_draws: int = 100) -> DataFrame:
+    """Every arm against ``baseline`` on their common images: arm, n_common, baseline_wsrcc, arm_wsrcc,
+    delta, ci_low, ci_high, p_positive, sd, draws. Both sides of a draw use the same images.
+
+    ``rows``: image_id, dimension, arm, pred, gt. Arms with fewer common images or draws are left out.
+    """
+    keys = ["image_id", "dimension"]
+    base = rows.where(F.col("arm") == baseline).select(*keys, F.col("pred").alias("base"))
+    pairs = staged(rows.where(F.col("arm") != baseline).join(base, keys), "pairs")
+    times = staged(draws(pairs.select("arm", "image_id"), "image_id", repeats, seed, ["arm"]).where(F.col("n") >= min_units), "times")
+    both = F.inline(F.array(F.struct(F.lit(False).alias("is_base"), F.col("pred").alias("value")), F.struct(F.lit(True).alias("is_base"), F.col("base").alias("value"))))
+    drawn = pairs.select(*keys, "arm", "gt", both).join(times.drop("n"), ["arm", "image_id"])
+    per = staged(scores(drawn, ["arm", "is_base", "dimension"], "value", "gt", repeats + 1), "scores")
+    w = weighted(per, ["arm", "is_base"])
+    side = lambda flag, name: w.where(F.col("is_base") == flag).select("arm", "rep", F.col("w").alias(name))
+    delta = staged(side(False, "mine").join(side(True, "theirs"), ["arm", "rep"]).withColumn("delta", F.col("mine") - F.col("theirs")), "deltas")
+    point = delta.where("rep = 0").select("arm", F.col("theirs").alias("baseline_wsrcc"), F.col("mine").alias("arm_wsrcc"), F.col("delta").alias("delta"))
+    spread = delta.where("rep > 0").groupBy("arm").agg(F.count("delta").alias("draws"), F.percentile("delta", [0.025, 0.975]).alias("_ci"),
+                                                       F.avg((F.col("delta") > 0).cast("int")).alias("p_positive"), F.stddev_pop("delta").alias("sd"))
+    size = times.groupBy("arm").agg(F.max("n").alias("n_common"))
+    out = size.join(point, "arm").join(spread.where(F.col("draws") >= min_draws), "arm")
+    return out.select("arm", "n_common", "baseline_wsrcc", "arm_wsrcc", "delta", F.col("_ci")[0].alias("ci_low"), F.col("_ci")[1].alias("ci_high"), "p_positive", "sd", "draws")
+
+
+def subsamples(units: DataFrame, stratum: str, key: str, sizes: Sequence[int], repeats: int, seed) -> DataFrame:
+    """key, ``rep`` (place of the size times ``repeats`` plus the draw): proportional stratified subsamples
+    without replacement. Of each stratum the share of n, rounded half to even and 1 at least, in a random
+    order of the draw; what is above n in all goes in a second random order. Sizes above the number of units are left out.
+    """
+    most = max(sizes) + 1
+    rows = staged(units.select(stratum, key), "units")
+    total = rows.count()
+    spread = rows.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_h", key_hash(seed, F.col("_d"), F.col(key)))
+    order = F.row_number().over(Window.partitionBy("_d", stratum).orderBy("_h", key))
+    first = spread.withColumn("_pos", order).where(F.col("_pos") <= most)  # limited per task before the shuffle
+    quota = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")).withColumn("_size", F.explode(F.array(*[F.struct(F.lit(i).alias("nth"), F.lit(n).alias("n")) for i, n in enumerate(sizes) if n <= total] or [F.struct(F.lit(0).alias("nth"), F.lit(0).alias("n"))])))
+    quota = quota.select(stratum, "_size.*", F.greatest(F.lit(1), F.bround(F.col("_n") / F.lit(total) * F.col("n"))).alias("_take")).where("n > 0")
+    taken = first.join(quota, stratum).where(F.col("_pos") <= F.col("_take"))
+    trim = F.row_number().over(Window.partitionBy("nth", "_d").orderBy(key_hash(seed, F.lit("trim"), F.col("_d"), F.col(key)), key))  # n and a few rows
+    return taken.withColumn("_t", trim).where(F.col("_t") <= F.col("n")).select(key, (F.col("nth") * repeats + F.col("_d")).alias("rep"))
+
+
+def power_curve(rows: DataFrame, bucket, sizes: Sequence[int], repeats: int, seed, min_images: int = 100) -> DataFrame:
+    """n, arm, draws, mean, sd, ci_width, win_share: the weighted coefficient on subsamples of growing size.
+
+    ``rows``: image_id, dimension, arm, pred, gt. Arms with fewer than ``min_images`` images are left out; images
+    are those that all others have, in strata of ``bucket(gt)`` of dimension overall. A draw is won by its
+    largest coefficient (the first arm by name on ties).
+    """
+    big = rows.groupBy("arm").agg(F.count_distinct("image_id").alias("_n")).where(F.col("_n") >= min_images)
+    arms = rows.join(big.select("arm"), "arm", "left_semi")
+    kept = attach_one(arms.groupBy("image_id").agg(F.count_distinct("arm").alias("_k")), big.agg(F.count(F.lit(1)).alias("_all"))).where("_k = _all and _all > 1").select("image_id")
+    common = staged(arms.join(kept, "image_id", "left_semi"), "common")
+    units = staged(common.where(F.col("dimension") == "overall").select("image_id", bucket(F.col("gt")).alias("bucket")).distinct(), "units")
+    fit = [n for n in sizes if n <= units.count()]
+    if not fit:
+        return rows.sparkSession.createDataFrame([], "n int, arm string, draws long, mean double, sd double, ci_width double, win_share double")
+    width = len(fit) * repeats
+    picks = subsamples(units, "bucket", "image_id", fit, repeats, seed)
+    times = staged(counted(picks, ["image_id"], width, units.count()), "times")
+    per = staged(scores(common.join(times, "image_id"), ["arm", "dimension"], "pred", "gt", width), "scores")
+    n = F.element_at(F.array(*[F.lit(n) for n in fit]), (F.floor(F.col("rep") / repeats) + 1).cast("int"))
+    w = staged(weighted(per, ["arm"]).withColumn("n", n), "w")
+    # nine digits keep the last bit of a sum from deciding a draw
+    wins = w.groupBy("n", "rep").agg(F.min_by("arm", F.struct(-F.round("w", 9), "arm")).alias("arm")).groupBy("n", "arm").agg(F.count(F.lit(1)).alias("_wins"))
+    stats = w.groupBy("n", "arm").agg(F.count("w").alias("draws"), F.avg("w").alias("mean"), F.stddev_pop("w").alias("sd"), (F.percentile("w", 0.975) - F.percentile("w", 0.025)).alias("ci_width"))
+    return stats.join(wins, ["n", "arm"], "left").select("n", "arm", "draws", "mean", "sd", "ci_width", (F.coalesce("_wins", F.lit(0)) / repeats).alias("win_share"))

@@ -34,10 +34,10 @@ def group_code(by: Sequence[str]):
     return F.xxhash64(*by, *[F.isnull(c) for c in by]) if by else F.lit(0).cast("long")
 
 
-def in_slices(df: DataFrame, by: Sequence[str], order: Sequence[str], rows: int) -> DataFrame:
-    """``df`` in order of group and value, cut into slices (partitions)."""
+def in_slices(df: DataFrame, by: Sequence[str], order: Sequence[str], rows: int, most: int | None = None) -> DataFrame:
+    """``df`` in order of group and value, cut into slices (partitions) of about ``most`` rows."""
     names = [*by, *order]
-    n = slices_for(df, rows)
+    n = max(slices_for(df, rows), math.ceil(rows / most) if most else 1)
     cut = df.repartitionByRange(n, *names) if n > 1 else df.repartition(1)
     return cut.sortWithinPartitions(*names)
 

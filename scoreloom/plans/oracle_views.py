@@ -87,14 +87,25 @@ def corr_sql(x: str, y: str, small: str = "null") -> str:
     return f"(case when count(*) < 3 or {scale} < 1e-15 then {small} else covar_pop({x}, {y}) * count(*) / {scale} end)"
 
 
-def spearman_ctes(name: str, source: str, x: str, y: str, by: str = "") -> dict[str, str]:
-    """Two CTEs: ranked rows and one row (by, n, srcc) per group."""
-    sel = f"{by}, " if by else ""
-    group = f" group by {by}" if by else ""
-    return {
-        f"{name}_ranked": f"select {sel}{avg_rank(x, by)} as rx, {avg_rank(y, by)} as ry from {source}",
-        name: f"select {sel}count(*) as n, {corr_sql('rx', 'ry')} as srcc from {name}_ranked{group}",
-    }
+def times_rank(order: str, by: str, m: str = "m") -> str:
+    """Average rank of rows that count ``m`` times each."""
+    return f"(sum({m}) over (partition by {by} order by {order} range unbounded preceding) - (sum({m}) over (partition by {by}, {order}) - 1) / 2e0)"
+
+
+def times_corr(x: str, y: str, m: str = "m") -> str:
+    """Pearson coefficient of rows that count ``m`` times each; NULL below three or without spread."""
+    n, mean = f"sum({m})::double", lambda a, b: f"(sum({m} * {a} * {b}) - sum({m} * {a}) * sum({m} * {b}) / sum({m})::double)"
+    xx, yy = mean(x, x), mean(y, y)
+    return f"(case when {n} >= 3 and {xx} > 1e-9 and {yy} > 1e-9 then {mean(x, y)} / sqrt({xx} * {yy}) end)"
+
+
+def draws_sql(units: str, by: str, key: str, repeats: int, seed: str) -> dict[str, str]:
+    """CTEs ``ix`` (units with index and size) and ``dr`` (by, rep, key, m): draws with replacement; rep 0 takes all once."""
+    part, cols = (f"partition by {by} ", f"{by}, ") if by else ("", "")
+    on = f"using ({cols}idx)"
+    return {"ix": f"select {cols}{key}, row_number() over ({part}order by {key}) - 1 as idx, count(*) over ({part.strip()}) as n from (select distinct {cols}{key} from {units})",
+            "pk": f"select {cols}rep + 1 as rep, {h(seed, 'rep', 'idx')} % n as idx, count(*) as m from (select {cols}idx, n, unnest(range({repeats})) as rep from ix) group by all union all select {cols}0, idx, 1 from ix",
+            "dr": f"select {cols}rep, {key}, m, n from pk join ix {on}"}
 
 
 def metrics_sql(source: str, pred: str, gt: str, by: str) -> str:

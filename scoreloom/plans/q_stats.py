@@ -9,7 +9,7 @@ from ..functions.numerics import dbl, r6, safe_ratio
 from ..operators import agreement as ag, bootstrap as bs, records, uncertainty as un
 from ..operators.ranking import attach_one, cumulative, position, quantiles, unit_ranks
 from ..operators.staging import staged
-from .oracle_views import VIEWS, WEIGHT, avg_rank, corr_sql, h, metrics_sql, mos_sql, r
+from .oracle_views import VIEWS, WEIGHT, avg_rank, corr_sql, draws_sql, h, metrics_sql, mos_sql, r, times_corr, times_rank
 from .q_uncertainty import Parts, errors
 from .registry import query
 
@@ -278,72 +278,72 @@ def r15(t):
 # ---- resampling -------------------------------------------------------------------------------------------
 
 REPS = 1000
-BOOT = f"""select s.*, b.rep from (select dimension, rep, {h("'42'", 'rep', 'idx')} % n as pick from (select dimension, idx, n, unnest(range({REPS})) as rep from ix)) b
-    join ix s on s.dimension = b.dimension and s.idx = b.pick"""
-IX = "select *, row_number() over (partition by dimension order by image_id) - 1 as idx, count(*) over (partition by dimension) as n from suppliers"
-RANKED = ", ".join(f"{avg_rank(c, 'dimension, rep')} as r_{c}" for c in ("pred_a", "gt"))
-AUC = "(sum(r_pred_a) filter (gt >= 3) - count(*) filter (gt >= 3) * (count(*) filter (gt >= 3) + 1) / 2e0) / nullif(count(*) filter (gt >= 3)::double * count(*) filter (gt < 3), 0)"
-BOOT_METRICS = f"""select dimension, rep, {corr_sql('r_pred_a', 'r_gt')} as srcc, {corr_sql('pred_a', 'gt')} as plcc, avg(abs(pred_a - gt)) as mae,
-    sqrt(avg((pred_a - gt) * (pred_a - gt))) as rmse, {AUC} as auroc from (select *, {RANKED} from bt) group by 1, 2"""
+HELD = "(select * from paired where split = 'val')"
 BOOT_NAMES = ("srcc", "plcc", "mae", "rmse", "auroc")
+GOOD, ALL = "(sum(m) filter (gt >= 3))::double", "sum(m)::double"
+BOOT = dict(**draws_sql(HELD, "", "image_id", REPS, "'42'"),
+            bt=f"select dimension, rep, m, mu, gt, {times_rank('mu', 'dimension, rep')} as rx, {times_rank('gt', 'dimension, rep')} as ry from {HELD} p join dr using (image_id)",
+            bm=f"""select dimension, rep, {times_corr('rx', 'ry')} as srcc, {times_corr('mu', 'gt')} as plcc, sum(m * abs(mu - gt)) / {ALL} as mae, sqrt(sum(m * (mu - gt) * (mu - gt)) / {ALL}) as rmse,
+                (sum(m * rx) filter (gt >= 3) - {GOOD} * ({GOOD} + 1) / 2) / nullif({GOOD} * ({ALL} - {GOOD}), 0) as auroc from bt group by 1, 2""")
 
 
-@query("r7_bootstrap_ci", "suppliers", " union all ".join(
-    f"""select dimension, '{m}' as metric, count({m}) as draws, case when count({m}) >= 30 then {r(f'quantile_cont({m}, 0.025)')} end as ci_low,
-        case when count({m}) >= 30 then {r(f'quantile_cont({m}, 0.975)')} end as ci_high from bm group by 1""" for m in BOOT_NAMES), ix=IX, bt=BOOT, bm=BOOT_METRICS)
+@query("r7_bootstrap_ci", "paired", " union all ".join(
+    f"""select dimension, '{m}' as metric, {r(f'max({m}) filter (rep = 0)')} as point, count({m}) filter (rep > 0) as draws, case when count({m}) filter (rep > 0) >= 30 then {r(f'quantile_cont({m}, 0.025) filter (rep > 0)')} end as ci_low,
+        case when count({m}) filter (rep > 0) >= 30 then {r(f'quantile_cont({m}, 0.975) filter (rep > 0)')} end as ci_high from bm group by 1""" for m in BOOT_NAMES), **BOOT)
 def r7(t):
-    rows = staged(bs.indexed(t.suppliers, "image_id", ["dimension"]), "indexed")
-    draws = staged(bs.resamples(rows, REPS, 42, ["dimension"]), "draws")
-    by = ["dimension", "rep"]
-    values = ag.metrics(draws, "pred_a", "gt", by).join(
-        ag.auroc(draws.withColumn("good", (F.col("gt") >= 3).cast("int")), "pred_a", "good", by).select(*by, "auroc"), by)
-    long = values.select(*by, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in BOOT_NAMES])))
+    """Predictions of the validation split against grades; an image is drawn with all its dimensions."""
+    rows = staged(t.paired.where(F.col("split") == "val").select("image_id", "dimension", "mu", "gt"), "held")
+    times = staged(bs.draws(rows.select("image_id"), "image_id", REPS, 42).drop("n"), "times")
+    values = bs.scores(rows.join(times, "image_id"), ["dimension"], "mu", "gt", REPS + 1, good=3.0)
+    long = staged(values.select("dimension", "rep", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in BOOT_NAMES]))), "long")
+    point = long.where("rep = 0").select("dimension", "metric", F.col("value").alias("point"))
     # REPS values per group from here on.
-    return bs.interval(long, "value", ["dimension", "metric"]).select("dimension", "metric", "draws", r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"))
-
-
-ARMS = {"other": "pred_b", "blend": "(pred_a + pred_b) / 2", "shrunk": "0.8 * pred_a + 0.2 * pred_b"}
-ARM_SQL = {"other": "pred_b", "blend": "round((pred_a + pred_b) / 2, 9)", "shrunk": "round(0.8e0 * pred_a + 0.2e0 * pred_b, 9)"}
-ARM_ROWS = "select image_id, dimension, gt, 'base' as arm, pred_a as pred from suppliers" + "".join(f" union all select image_id, dimension, gt, '{a}', {e} from suppliers" for a, e in ARM_SQL.items())
-AIX = "select *, row_number() over (partition by dimension, arm order by image_id) - 1 as idx, count(*) over (partition by dimension, arm) as n from arm_rows_s"
-ABOOT = f"""select s.*, b.rep from (select dimension, arm, rep, {h("'42'", 'rep', 'idx')} % n as pick from (select dimension, arm, idx, n, unnest(range({REPS})) as rep from ix)) b
-    join ix s on s.dimension = b.dimension and s.arm = b.arm and s.idx = b.pick"""
-AW = f"""select arm, rep, sum({WEIGHT} * c) as w from (select arm, rep, dimension, {corr_sql('rp', 'rg')} as c from (select *, {avg_rank('pred', 'arm, dimension, rep')} as rp,
-    {avg_rank('gt', 'arm, dimension, rep')} as rg from bt) group by 1, 2, 3) group by 1, 2"""
-DELTA = """select a.arm, count(*) as draws, quantile_cont(a.w - b.w, 0.025) as lo, quantile_cont(a.w - b.w, 0.975) as hi, avg((a.w > b.w)::int) as p_positive, stddev_pop(a.w - b.w) as sd
-    from aw a join aw b on a.rep = b.rep and b.arm = 'base' where a.arm <> 'base' and (select max(n) from ix) >= 30 group by 1 having count(a.w - b.w) >= 100"""
-BOOT_CTES = dict(arm_rows_s=ARM_ROWS, ix=AIX, bt=ABOOT, aw=AW, de=DELTA)
-
-
-def arm_deltas(t):
-    """Paired bootstrap of every arm against the baseline on the same draws."""
-    arms = F.inline(F.array(F.struct(F.lit("base").alias("arm"), F.col("pred_a").alias("pred")),
-                            *[F.struct(F.lit(a).alias("arm"), (F.expr(e) if a == "other" else F.round(F.expr(e), 9)).cast("double").alias("pred")) for a, e in ARMS.items()]))
-    rows = staged(bs.indexed(t.suppliers.select("image_id", "dimension", "gt", arms), "image_id", ["dimension", "arm"]), "indexed")
-    draws = staged(bs.resamples(rows, REPS, 42, ["dimension", "arm"]), "draws")
-    per_dim = ag.spearman(draws, "pred", "gt", ["arm", "dimension", "rep"])
-    w = staged(ag.weighted_over_dimensions(per_dim, ["arm", "rep"], {"srcc": "w"}), "wsrcc")
-    base = w.where(F.col("arm") == "base").select("rep", F.col("w").alias("w0"))
-    delta = w.where(F.col("arm") != "base").join(base, "rep").withColumn("delta", F.col("w") - F.col("w0"))
-    size = rows.agg(F.max("n").alias("n"))
-    out = delta.groupBy("arm").agg(F.count("delta").alias("draws"), F.percentile("delta", [0.025, 0.975]).alias("ci"),
-                                   F.avg((F.col("delta") > 0).cast("int")).alias("p_positive"), F.stddev_pop("delta").alias("sd"))
-    return attach_one(out, size).where((F.col("n") >= 30) & (F.col("draws") >= 100))
-
-
-@query("r8_paired_delta", "suppliers", f"select arm, draws, {r('lo')} as ci_low, {r('hi')} as ci_high, {r('p_positive')} as p_positive, {r('sd')} as sd from de", **BOOT_CTES)
+    ends = bs.interval(long.where("rep > 0"), "value", ["dimension", "metric"])
+    return point.join(ends, ["dimension", "metric"]).select("dimension", "metric", r6("point").alias("point"), "draws", r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"))
+
+
+ARM_REPS = 2000
+VIEWS["arms"] = ("paired cross_scores panel", f"""select image_id, dimension, 'base' as arm, round(mu, 9) as pred, gt from {HELD} union all
+    select image_id, dimension, 'cross', round(score, 9), gt from {HELD} p join cross_scores using (image_id, dimension) union all
+    select image_id, dimension, 'blend', round((mu + score) / 2, 9), gt from {HELD} p join cross_scores using (image_id, dimension) union all
+    select image_id, dimension, 'rater', round(score, 9), gt from {HELD} p join (select * from panel where model = 'rater_no') using (image_id, dimension)""")
+ARM_PAIRS = "select a.arm, image_id, dimension, a.gt, a.pred, b.pred as base from arms a join arms b using (image_id, dimension) where b.arm = 'base' and a.arm <> 'base'"
+RANKED = ", ".join(f"{times_rank(c, 'arm, dimension, rep')} as r_{c}" for c in ("pred", "base", "gt"))
+DELTA = f"""select arm, max(n) as n_common, max(b) filter (rep = 0) as baseline_wsrcc, max(a) filter (rep = 0) as arm_wsrcc, max(a - b) filter (rep = 0) as delta, count(a - b) filter (rep > 0) as draws,
+    quantile_cont(a - b, 0.025) filter (rep > 0) as ci_low, quantile_cont(a - b, 0.975) filter (rep > 0) as ci_high, avg((a > b)::int) filter (rep > 0) as p_positive, stddev_pop(a - b) filter (rep > 0) as sd
+    from aw group by 1 having max(n) >= 30 and count(a - b) filter (rep > 0) >= 100"""
+ARM_CTES = dict(pairs=ARM_PAIRS, **draws_sql("pairs", "arm", "image_id", ARM_REPS, "'42'"), bt=f"select arm, dimension, rep, m, n, {RANKED} from pairs join dr using (arm, image_id)",
+                ad=f"select arm, dimension, rep, max(n) as n, {times_corr('r_pred', 'r_gt')} as a, {times_corr('r_base', 'r_gt')} as b from bt group by 1, 2, 3",
+                aw=f"select arm, rep, max(n) as n, sum({WEIGHT} * a) as a, sum({WEIGHT} * b) as b from ad group by 1, 2 having count(a) = 3 and count(b) = 3", de=DELTA)
+
+
+def arm_rows(t):
+    """Predictions of four arms on the validation split; two of them lack some images."""
+    nine = lambda c: F.round(c, 9).alias("pred")
+    held = staged(t.paired.where(F.col("split") == "val").select("image_id", "dimension", "mu", "gt"), "held")
+    cross = held.join(t.cross_scores, ["image_id", "dimension"])
+    rater = held.join(t.panel.where(F.col("model") == "rater_no"), ["image_id", "dimension"])
+    parts = [("base", held, F.col("mu")), ("cross", cross, F.col("score")), ("blend", cross, (F.col("mu") + F.col("score")) / 2), ("rater", rater, F.col("score"))]
+    rows = [df.select("image_id", "dimension", F.lit(arm).alias("arm"), nine(c), "gt") for arm, df, c in parts]
+    return staged(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]), "arms")
+
+
+DELTA_NAMES = ("baseline_wsrcc", "arm_wsrcc", "delta", "ci_low", "ci_high", "p_positive", "sd")
+
+
+@query("r8_paired_delta", "arms", f"select arm, n_common, draws, {', '.join(f'{r(c)} as {c}' for c in DELTA_NAMES)} from de", **ARM_CTES)
 def r8(t):
-    d = arm_deltas(t)
-    return d.select("arm", "draws", r6(F.col("ci")[0]).alias("ci_low"), r6(F.col("ci")[1]).alias("ci_high"), r6("p_positive").alias("p_positive"), r6("sd").alias("sd"))
+    d = bs.paired_deltas(arm_rows(t), "base", ARM_REPS, 42)
+    return d.select("arm", "n_common", "draws", *[r6(c).alias(c) for c in DELTA_NAMES])
 
 
 HOLM = "select arm, p, least(p * (count(*) over () - (row_number() over (order by p, arm) - 1)), 1e0) as p_holm from (select arm, least(2 * least(p_positive, 1 - p_positive), 1e0) as p from de)"
 
 
-@query("r9_holm_deltas", "suppliers", f"select arm, {r('p')} as p_value, {r('p_holm')} as p_holm from ho", **BOOT_CTES, ho=HOLM)
+@query("r9_holm_deltas", "arms", f"select arm, {r('p')} as p_value, {r('p_holm')} as p_holm from ho", **ARM_CTES, ho=HOLM)
 def r9(t):
     p = F.least(2 * F.least(F.col("p_positive"), 1 - F.col("p_positive")), dbl(1))
-    return bs.holm(arm_deltas(t).withColumn("p_value", p)).select("arm", r6("p_value").alias("p_value"), r6("p_holm").alias("p_holm"))
+    return bs.holm(bs.paired_deltas(arm_rows(t), "base", ARM_REPS, 42).withColumn("p_value", p)).select("arm", r6("p_value").alias("p_value"), r6("p_holm").alias("p_holm"))
 
 
 @query("w12_holm", "paired", f"select category, {r('p')} as p_value, {r('least(p * (count(*) over () - (row_number() over (order by p, category) - 1)), 1e0)')} as p_holm from v",
@@ -353,25 +353,25 @@ def w12(t):
     return bs.holm(shares, key="category").select("category", r6("p_value").alias("p_value"), r6("p_holm").alias("p_holm"))
 
 
-@query("r10_power_curve")
+# Sample sizes and draws of the power curve.
+SIZES, SUBSAMPLES = (25, 50, 100, 150, 200, 300, 500, 750, 1000), 500
+POWER = dict(big="select arm from arms group by 1 having count(distinct image_id) >= 100", common="select image_id from arms where arm in (from big) group by 1 having count(distinct arm) = (select count(*) from big) and count(distinct arm) > 1",
+             units=f"select distinct image_id, {BUCKET('gt')} as bucket from arms join common using (image_id) where dimension = 'overall' and arm in (from big)",
+             sizes=f"select n from (select unnest([{', '.join(map(str, SIZES))}]) as n) where n <= (select count(*) from units)",
+             ordered=f"select image_id, bucket, d, row_number() over (partition by d, bucket order by {h(repr('42'), 'd', 'image_id')}, image_id) as pos from units, range({SUBSAMPLES}) x(d)",
+             quota="select n, bucket, greatest(1, round_even(count(*) / (select count(*) from units)::double * n, 0)) as take from units, sizes group by 1, 2",
+             taken=f"select n, d, image_id, row_number() over (partition by n, d order by {h(repr('42'), repr('trim'), 'd', 'image_id')}, image_id) as spot from ordered join quota using (bucket) where pos <= take",
+             rk=f"select arm, dimension, n, d, {avg_rank('pred', 'arm, dimension, n, d')} as rp, {avg_rank('gt', 'arm, dimension, n, d')} as rg from arms join taken using (image_id) where spot <= n and arm in (from big)",
+             pd=f"select arm, dimension, n, d, {corr_sql('rp', 'rg')} as c from rk group by 1, 2, 3, 4", pw=f"select arm, n, d, sum({WEIGHT} * c) as w from pd group by 1, 2, 3 having count(c) = 3",
+             won="select n, arm, count(*) as wins from (select n, d, arm from pw qualify row_number() over (partition by n, d order by round(w, 9) desc, arm) = 1) group by 1, 2")
+
+
+@query("r10_power_curve", "arms", f"""select n, arm, count(w) as draws, {r('avg(w)')} as mean, {r('stddev_pop(w)')} as sd, {r('quantile_cont(w, 0.975) - quantile_cont(w, 0.025)')} as ci_width,
+        {r(f'coalesce(max(wins), 0) / {SUBSAMPLES}::double')} as win_share from pw left join won using (n, arm) group by 1, 2""", **POWER)
 def r10(t):
-    """Spread of the weighted coefficient and share of wins per sample size and rater."""
-    from ..operators.bootstrap import stratified_counts
-
-    sup = staged(t.suppliers, "suppliers")
-    grade = sup.where(F.col("dimension") == "overall").select("image_id", records.quality_bucket(F.col("gt")).alias("bucket"))
-    parts = []
-    for n in (10, 20, 50):
-        picks = staged(stratified_counts(grade, "bucket", "image_id", n, 50, 42), "picks")
-        arms = F.inline(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(c).alias("pred")) for a, c in (("a", "pred_a"), ("b", "pred_b"))]))
-        rows = staged(sup.join(picks.select("image_id", "rep"), "image_id").select("dimension", "rep", "gt", arms), "rows")
-        w = ag.weighted_over_dimensions(ag.spearman(rows, "pred", "gt", ["arm", "dimension", "rep"]), ["arm", "rep"], {"srcc": "w"})
-        w = staged(w, "w")
-        wins = w.groupBy("rep").agg(F.max_by("arm", F.struct("w", "arm")).alias("arm")).groupBy("arm").agg(F.count(F.lit(1)).alias("wins"))
-        stats = w.groupBy("arm").agg(F.count("w").alias("draws"), F.avg("w").alias("mean"), F.stddev_pop("w").alias("sd"),
-                                     (F.percentile("w", 0.975) - F.percentile("w", 0.025)).alias("ci_width"))
-        parts.append(stats.join(wins, "arm", "left").select(F.lit(n).alias("n"), "arm", "draws", "mean", "sd", "ci_width", (F.coalesce("wins", F.lit(0)) / 50).alias("win_share")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Spread of the weighted coefficient and share of wins per sample size and arm."""
+    curve = bs.power_curve(arm_rows(t), records.quality_bucket, SIZES, SUBSAMPLES, 42)
+    return curve.select("n", "arm", "draws", *[r6(c).alias(c) for c in ("mean", "sd", "ci_width", "win_share")])
 
 
 # ---- reports over logs -----------------------------------------------------------------------------------------

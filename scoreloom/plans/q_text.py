@@ -9,7 +9,7 @@ from ..functions.numerics import dbl, r6
 from ..operators import agreement as ag, bootstrap as bs, chat
 from ..operators.ranking import attach_one
 from ..operators.staging import staged
-from .oracle_views import VIEWS, avg_rank, corr_sql, h, metrics_sql, r
+from .oracle_views import VIEWS, avg_rank, draws_sql, metrics_sql, r, times_corr, times_rank
 from .registry import query
 
 # DuckDB counts bytes, so characters outside ASCII are first mapped one to one to
@@ -147,23 +147,27 @@ def r24(t):
     return parts[0].unionByName(parts[1])
 
 
-REPS = 200
-VIEWS["targets"] = ("cers", "select 'cer' as target, pair_id, mos, round(cer, 9) as y from cers union all select 'length', pair_id, mos, length(hyp)::double from cers union all select 'order', pair_id, mos, pair_id::double from cers")
+REPS = 1000
+VIEWS["targets"] = ("cers", "select 'cer' as target, pair_id, mos, round(cer, 9) as y from cers union all select 'cer ' || engine, pair_id, mos, round(cer, 9) from cers union all select 'length', pair_id, mos, length(hyp)::double from cers")
 
 
-@query("r26_score_against_targets", "targets", f"select target, max(n) as n, {r('quantile_cont(c, 0.025)')} as ci_low, {r('quantile_cont(c, 0.975)')} as ci_high from bm group by 1 having max(n) >= 30",
-       ix="select *, row_number() over (partition by target order by pair_id) - 1 as idx, count(*) over (partition by target) as n from targets",
-       bt=f"select s.*, b.rep from (select target, rep, {h(repr('7'), 'rep', 'idx')} % n as pick from (select target, idx, n, unnest(range({REPS})) as rep from ix)) b join ix s on s.target = b.target and s.idx = b.pick",
-       bm=f"select target, rep, max(n) as n, {corr_sql('rx', 'ry')} as c from (select *, {avg_rank('mos', 'target, rep')} as rx, {avg_rank('y', 'target, rep')} as ry from bt) group by 1, 2")
+@query("r26_score_against_targets", "targets", " union all ".join(f"""select target, '{c}' as coefficient, max(n) as n, count({c}) filter (rep > 0) as draws, {r(f'max({c}) filter (rep = 0)')} as point,
+        {r(f'quantile_cont({c}, 0.025) filter (rep > 0)')} as ci_low, {r(f'quantile_cont({c}, 0.975) filter (rep > 0)')} as ci_high from bm group by 1 having max(n) >= 30 and count({c}) filter (rep > 0) >= 30""" for c in ("srcc", "plcc")),
+       **draws_sql("targets", "target", "pair_id", REPS, "'7'"), bt=f"select target, rep, m, n, mos, y, {times_rank('mos', 'target, rep')} as rx, {times_rank('y', 'target, rep')} as ry from targets join dr using (target, pair_id)",
+       bm=f"select target, rep, max(n) as n, {times_corr('rx', 'ry')} as srcc, {times_corr('mos', 'y')} as plcc from bt group by 1, 2")
 def r26(t):
+    """A score against several targets: error of all texts and of each engine, length; groups of 30 and more."""
     c = texts(t).select("pair_id", F.length("hyp").cast("double").alias("length"))
-    rows = cers(t).select("pair_id", "mos", F.round("cer", 9).alias("cer")).join(c, "pair_id")
-    pick = F.inline(F.array(*[F.struct(F.lit(n).alias("target"), v.alias("y")) for n, v in (("cer", F.col("cer")), ("length", F.col("length")), ("order", F.col("pair_id").cast("double")))]))
-    ix = staged(bs.indexed(rows.select("pair_id", "mos", pick), "pair_id", ["target"]), "indexed")
-    draws = staged(bs.resamples(ix, REPS, 7, ["target"]), "draws")
-    per = ag.spearman(draws.withColumnRenamed("n", "size"), "mos", "y", ["target", "rep"])
-    return bs.interval(per.join(ix.groupBy("target").agg(F.max("n").alias("total")), "target"), "srcc", ["target", "total"]).where("total >= 30").select(
-        "target", F.col("total").alias("n"), r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"))
+    rows = cers(t).select("pair_id", "engine", "mos", F.round("cer", 9).alias("cer")).join(c, "pair_id")
+    pick = F.inline(F.array(*[F.struct(n.alias("target"), v.alias("y")) for n, v in ((F.lit("cer"), F.col("cer")), (F.concat(F.lit("cer "), "engine"), F.col("cer")), (F.lit("length"), F.col("length")))]))
+    long = staged(rows.select("pair_id", "mos", pick), "targets")
+    times = staged(bs.draws(long.select("target", "pair_id"), "pair_id", REPS, 7, ["target"]).where("n >= 30"), "times")
+    per = bs.scores(long.join(times.drop("n"), ["target", "pair_id"]), ["target"], "mos", "y", REPS + 1)
+    values = staged(per.select("target", "rep", "n", F.inline(F.array(*[F.struct(F.lit(m).alias("coefficient"), F.col(m).alias("value")) for m in ("srcc", "plcc")]))), "values")
+    keys = ["target", "coefficient"]
+    point = values.where("rep = 0").select(*keys, "n", F.col("value").alias("point"))
+    ends = bs.interval(values.where("rep > 0"), "value", keys).where("draws >= 30")
+    return point.join(ends, keys).select(*keys, "n", "draws", *[r6(c).alias(c) for c in ("point", "ci_low", "ci_high")])
 
 
 # ---- conversations ----------------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from ..operators import agreement as ag, uncertainty as un
 from ..operators.ranking import attach_one, position, quantiles, unit_rank
 from ..operators.staging import staged
 from .oracle_views import (LEVELS_DOWN, LEVELS_UP, VIEWS, avg_rank, corr_sql, entropy_sql, gaussian_sql, h, jsd_sql,
-                           level_columns, mos_sql, r, spearman_ctes, std_sql)
+                           level_columns, mos_sql, r, std_sql)
 from .registry import query
 
 KEYS = ("image_id", "dimension")

@@ -91,14 +91,6 @@ def test_rank_tests_exact_p(spark):
     assert w["few"].n == 1 and w["few"].p_value is None and w["few"].statistic is None
 
 
-def test_resamples_are_complete_and_repeatable(spark):
-    df = bs.indexed(spark.range(50).select(F.col("id").alias("k"), F.rand(1).alias("x")), "k")
-    a = bs.resamples(df, 20, 42).groupBy("rep").count().collect()
-    assert len(a) == 20 and all(r["count"] == 50 for r in a)
-    first = sorted((r.rep, r.k) for r in bs.resamples(df, 5, 42).collect())
-    assert first == sorted((r.rep, r.k) for r in bs.resamples(df.repartition(3), 5, 42).collect())
-
-
 def test_holm_is_a_plain_step_down(spark):
     df = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.9)], "arm string, p_value double")
     assert {r.arm: round(r.p_holm, 6) for r in bs.holm(df).collect()} == {"a": 0.03, "b": 0.08, "c": 0.9}
