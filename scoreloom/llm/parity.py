@@ -201,15 +201,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     heads = kept.groupBy("v").agg(F.min("id").alias("a"), F.count("*").alias("entries")).where("entries > 1").select("v", "a")
     star = kept.join(heads, "v").where("id > a").select("a", F.col("id").alias("b"), "band").distinct()
     star = star.join(of("b"), ["b", "band"]).join(of("a"), ["a", "band"]).where(_near(percent))
-    star = written(star.select("a", "b", (_apart() / (F.col("m_a") + F.col("m_b"))).alias("off")), "star")
-    best = star.groupBy("b").agg(F.min_by("a", F.struct("off", "a")).alias("a")).select("a", "b")
-    links = confirmed(best, docs, size, percent)
-    labels = written(components(links), "labels")
-
-    own = lambda t, end: t.join(labels.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}")), end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
-    again = own(own(star.select("a", "b").distinct().join(best, ["a", "b"], "left_anti"), "a"), "b").where("c_a <> c_b").select("a", "b")
-    links = written(links.unionAll(confirmed(again, docs, size, percent)), "links")
-    labels = written(components(links), "labels")
+    star = written(star.select("a", "b").distinct(), "star")
+    labels = written(components(confirmed(star, docs, size, percent)), "labels")
 
     entry = kept.join(labels, "id", "left").select("v", "band", "id", F.coalesce("component", "id").alias("c"))
     mixed = entry.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v")
@@ -218,7 +211,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     cross = end("a").join(end("b"), "v").where((F.col("c_a") < F.col("c_b")) & _near(percent))
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    whole = components(links.unionAll(confirmed(cross, docs, size, percent)).unionAll(bridges))
+    # what is new links components, not texts
+    label = lambda t, end: t.join(labels.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}")), end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
+    new = label(label(confirmed(cross, docs, size, percent).unionAll(bridges), "a"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    whole = components(new).withColumnsRenamed({"id": "c_speaker", "component": "c"})
 
-    home = classes.join(whole.withColumnRenamed("id", "speaker"), "speaker", "left").select("same", F.coalesce("component", "speaker").alias("component"))
+    home = label(classes, "speaker").join(whole, "c_speaker", "left").select("same", F.coalesce("c", "c_speaker").alias("component"))
     return first.join(home, "same", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
