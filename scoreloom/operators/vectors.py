@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numerics import dbl, key_hash
 from .ranking import attach_one
+from .staging import staged
 
 BLOCK = 4096
 
@@ -164,6 +165,127 @@ def neighbour_scores(queries: DataFrame, ref: DataFrame, key: str, vector: str =
     return merged.select(F.col("q").alias(key), "top", "cos_max", (F.col("cos_max") + F.log("cos_sum")).alias("log_sum_exp"))
 
 
+# ---- nearest rows with pruning --------------------------------------------------------------
+
+PIVOTS, PER_CELL = 512, 256  # most pivots; reference rows for each of them
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(np.sum(x * x, axis=1)[:, None] + np.sum(y * y, axis=1) - 2 * (x @ y.T), 0.0))
+
+
+def _slack(*squares: float) -> float:
+    """What rounding may add to or take from a distance that was worked out from squares up to these."""
+    return 1e-7 * (1 + max(squares)) ** 0.5
+
+
+def _closest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Exact distances and ids of each row's k nearest, smaller ids first on ties.
+
+    A fast product finds all that lie within rounding of the k-th; only those are measured."""
+    sx, sy = np.sum(x * x, axis=1), np.sum(y * y, axis=1)
+    rough = sx[:, None] + sy - 2 * (x @ y.T)
+    m = min(k, len(y))
+    last = np.partition(rough, m - 1, axis=1)[:, m - 1]
+    near = rough <= (last + 1e-9 * (1 + sx + sy.max()))[:, None]
+    out = []
+    for i in range(len(x)):
+        spots = np.flatnonzero(near[i])
+        exact = np.sqrt(np.sum((y[spots] - x[i]) ** 2, axis=1))
+        order = np.lexsort((ids[spots], exact))[:m]
+        out.append((exact[order], ids[spots][order]))
+    return out
+
+
+def nearest(queries: DataFrame, ref: DataFrame, key: str, vector: str = "embedding", k: int = 10, block: int = BLOCK) -> DataFrame:
+    """key, ``top`` (the k nearest reference rows by distance, then id) and ``visited`` (rows compared).
+
+    Reference rows belong to the cell of their nearest pivot (rows of the reference itself, by key
+    hash). A query first meets its closest cells, as many as hold k rows, which bounds its
+    k-th distance; of the others only cells that the triangle inequality leaves within that bound.
+    Cells are cut into blocks of bounded size, so a crowded cell is many tasks.
+    """
+    spark = ref.sparkSession
+    rows = ref.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
+    asked = staged(queries.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null"), "queries")
+    n = rows.count()
+    if not n:
+        return asked.select("id").withColumns({"top": F.array().cast(NEIGHBOUR), "visited": F.lit(0).cast("long")}).withColumnRenamed("id", key)
+    chosen = rows.orderBy(key_hash("pivot", F.col("id")), "id").limit(max(1, min(PIVOTS, n // PER_CELL))).toPandas()  # PIVOTS rows at most
+    pivots = spark.sparkContext.broadcast(_stack(chosen["v"]))
+
+    def assign(batches):
+        for pdf in batches:
+            if len(pdf):
+                d = _distances(_stack(pdf["v"]), pivots.value)
+                home = d.argmin(axis=1)
+                yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "cell": home, "reach": d[np.arange(len(d)), home]})
+
+    kind = rows.schema["v"].dataType.simpleString()
+    cells = staged(rows.mapInPandas(assign, f"id long, v {kind}, cell int, reach double"), "cells")
+    facts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("reach").alias("low"), F.max("reach").alias("high"),
+                                      F.max(F.aggregate("v", dbl(0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("square")).orderBy("cell").toPandas()  # a row per pivot
+    shared = spark.sparkContext.broadcast((facts["cell"].to_numpy(), facts["n"].to_numpy(), facts["low"].to_numpy(), facts["high"].to_numpy(), float(facts["square"].max())))
+    table = spark.createDataFrame([(int(c), max(1, -(-int(m) // block))) for c, m in zip(facts["cell"], facts["n"])], "cell int, blocks int")
+    parts = staged(cells.join(table, "cell").withColumn("b", (key_hash("r", F.col("id")) % F.col("blocks")).cast("int")).select("cell", "b", "id", "v"), "parts")
+
+    def route(first: bool):
+        def run(batches):
+            name, size, low, high, square = shared.value
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x = _stack(pdf["v"])
+                d = _distances(x, pivots.value)[:, name]
+                order = np.argsort(d, axis=1, kind="stable")
+                before = np.cumsum(size[order], axis=1) - size[order]
+                home = np.zeros(d.shape, bool)
+                np.put_along_axis(home, order, before < k, axis=1)  # the closest cells that together hold k rows
+                if first:
+                    chosen = home
+                else:
+                    bound = pdf["bound"].to_numpy(float)[:, None] + _slack(square, float(np.sum(x * x, axis=1).max()))
+                    chosen = ~home & (np.maximum(d - high, low - d) <= bound)
+                q, c = np.nonzero(chosen)
+                if len(q):
+                    yield pd.DataFrame({"q": pdf["id"].to_numpy()[q], "v": pdf["v"].to_numpy()[q], "cell": name[c]})
+        return run
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            y, ids = _stack(right["v"]), right["id"].to_numpy()
+            for start in range(0, len(left), 512):
+                some = left.iloc[start:start + 512]
+                for q, (d, who) in zip(some["q"], _closest(_stack(some["v"]), y, ids, k)):
+                    out.append((q, [{"d": float(a), "id": int(b)} for a, b in zip(d, who)], len(y)))
+        return pd.DataFrame(out, columns=["q", "top", "visited"])
+
+    def visit(some: DataFrame, first: bool) -> DataFrame:
+        fields = f"q long, v {kind}, cell int"
+        spread = some.mapInPandas(route(first), fields).join(table, "cell").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("s", F.pmod(F.xxhash64("q"), F.lit(8)))
+        copies = parts.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(7))))  # queries of a hot cell are spread over tasks
+        return spread.groupBy("cell", "b", "s").cogroup(copies.groupBy("cell", "b", "s")).applyInPandas(score, f"q long, top {NEIGHBOUR}, visited long")
+
+    def merge(found: DataFrame) -> DataFrame:
+        best = F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k)
+        return found.groupBy("q").agg(best.alias("top"), F.sum("visited").alias("visited"))  # k entries per block that was visited
+
+    home = staged(merge(visit(asked, True)), "home")
+    bounded = asked.join(home.select(F.col("q").alias("id"), F.when(F.size("top") < k, dbl("inf")).otherwise(F.col("top")[k - 1]["d"]).alias("bound")), "id")
+    rest = visit(bounded, False)
+    return merge(home.unionByName(rest)).withColumnRenamed("q", key)
+
+
+def nearest_cosine(queries: DataFrame, ref: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
+    """key, ``cos_max``: the highest cosine, found as the nearest row on the unit sphere; zero vectors have cosine 0 with all."""
+    square = F.aggregate(vector, dbl(0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    unit = lambda df: df.withColumn("_s", square).where("_s > 0").select(key, F.transform(vector, lambda x: x.cast("double") / F.sqrt("_s")).alias("u"))
+    near = nearest(unit(queries), unit(ref), key, "u", 1).where(F.size("top") > 0)
+    found = near.select(key, (dbl(1) - F.col("top")[0]["d"] * F.col("top")[0]["d"] / 2).alias("cos_max"))
+    return queries.select(key).join(found, key, "left").select(key, F.coalesce("cos_max", dbl(0)).alias("cos_max"))
+
+
 def knn_distance(scores, k: int):
     """Mean distance to the k nearest (fewer if the reference is smaller)."""
     near = F.slice(F.col(scores), 1, k)

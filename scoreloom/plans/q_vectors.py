@@ -34,18 +34,18 @@ def scores(t, k=100):
 
 @query("j19_nearest", "near", f"select vec_id, rk, ref_id, {r('d')} as distance from near where rk <= 10")
 def j19(t):
-    rows = vec.neighbour_scores(t.emb_eval, t.emb_ref, "vec_id", k=10)
+    rows = vec.nearest(t.emb_eval, t.emb_ref, "vec_id", k=10)
     return rows.select("vec_id", F.posexplode("top").alias("i", "x")).select("vec_id", (F.col("i") + 1).cast("long").alias("rk"), F.col("x.id").alias("ref_id"), r6("x.d").alias("distance"))
 
 
 @query("m11_knn_distance", "near", f"select vec_id, {r('avg(d)')} as score from near where rk <= 10 group by 1")
 def m11(t):
-    return vec.neighbour_scores(t.emb_eval, t.emb_ref, "vec_id", k=10).select("vec_id", r6(vec.knn_distance("top", 10)).alias("score"))
+    return vec.nearest(t.emb_eval, t.emb_ref, "vec_id", k=10).select("vec_id", r6(vec.knn_distance("top", 10)).alias("score"))
 
 
 @query("m12_cosine", "dists", f"select vec_id, {r('1 - max(c)')} as score from dists group by 1")
 def m12(t):
-    return vec.neighbour_scores(t.emb_eval, t.emb_ref, "vec_id", k=1).select("vec_id", r6(dbl(1) - F.col("cos_max")).alias("score"))
+    return vec.nearest_cosine(t.emb_eval, t.emb_ref, "vec_id").select("vec_id", r6(dbl(1) - F.col("cos_max")).alias("score"))
 
 
 @query("m13_energy", "dists", f"select vec_id, {r('0e0 - ln(sum(exp(c)))')} as score from dists group by 1")
@@ -61,7 +61,7 @@ AUC = "(sum(rk) filter (is_ood = 1) - sum(is_ood) * (sum(is_ood) + 1) / 2e0) / n
        a=f"select k, {AUC} as auroc from (select *, {avg_rank('s', 'k')} as rk from v) group by 1")
 def m14(t):
     pick = F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.round(vec.knn_distance("top", k), 9).alias("s")) for k in KS]))
-    rows = staged(scores(t).select("vec_id", pick).join(t.emb_eval.select("vec_id", "is_ood"), "vec_id"), "sweep")
+    rows = staged(vec.nearest(t.emb_eval, t.emb_ref, "vec_id", k=max(KS)).select("vec_id", pick).join(t.emb_eval.select("vec_id", "is_ood"), "vec_id"), "sweep")
     auc = staged(ag.auroc(rows, "s", "is_ood", ["k"]), "auc")
     best = auc.agg(F.max_by("k", F.round("auroc", 9) - F.col("k") * 1e-12).alias("_b"))
     return attach_one(auc, best).select("k", r6("auroc").alias("auroc"), (F.col("k") == F.col("_b")).alias("best"))
