@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numerics import key_hash
 from ..functions.text import word_count
-from .ranking import attach_one
 
 MESSAGE = "array<struct<role: string, content: string>>"
 
@@ -63,33 +63,48 @@ def example_length(df: DataFrame) -> Column:
     return count("messages") + count("responses")
 
 
-def pack(df: DataFrame, key: str, length: str, cutoff: int, per_bucket: int = 2000) -> DataFrame:
+class Rooms:
+    """Free room of numbered sequences as a tree of largest rooms: the first with enough room is found in log time."""
+
+    def __init__(self, n: int, cutoff: int):
+        self.width = 1 << max(0, n - 1).bit_length()
+        self.tree = [cutoff] * (2 * self.width)
+
+    def take(self, size: int) -> int:
+        """Number of the first sequence with room for ``size``, which it then has less."""
+        spot = 1
+        while spot < self.width:
+            spot *= 2
+            if self.tree[spot] < size:
+                spot += 1
+        self.tree[spot] -= size
+        found = spot - self.width
+        while spot > 1:
+            spot //= 2
+            self.tree[spot] = max(self.tree[2 * spot], self.tree[2 * spot + 1])
+        return found
+
+
+def pack(df: DataFrame, key: str, length: str, cutoff: int, buckets: int, most: int = 1_000_000) -> DataFrame:
     """Put examples into sequences of at most ``cutoff`` words; longer ones are dropped.
 
-    Examples are spread by key hash over buckets of about ``per_bucket`` rows and
-    filled largest first inside each bucket. Adds bucket, sequence, place in the
-    sequence; positions restart with every example.
+    Examples are spread by key hash over ``buckets`` buckets and filled largest first, each into
+    the first sequence with room. Adds bucket, sequence, place in the sequence; positions restart
+    with every example. The number of buckets is the caller's, so an example's bucket does not change
+    when the table grows; a bucket of more than ``most`` rows is refused.
     """
     short = df.where(F.col(length) <= cutoff).select(key, length)
-    buckets = short.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / per_bucket)).alias("_n"))
-    placed = attach_one(short, buckets).withColumn("bucket", (key_hash("pack", F.col(key)) % F.col("_n")).cast("int")).drop("_n")
+    placed = short.withColumn("bucket", (key_hash("pack", F.col(key)) % buckets).cast("int"))
+    largest = placed.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a bucket has {largest} rows, more than {most}: ask for more than {buckets} buckets")
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([length, key], ascending=[False, True])
-        room: list[int] = []
-        members: list[int] = []
-        seq, place = [], []
-        for size in pdf[length]:
-            spot = next((i for i, left in enumerate(room) if left >= size), None)
-            if spot is None:
-                room.append(cutoff)
-                members.append(0)
-                spot = len(room) - 1
-            room[spot] -= int(size)
-            seq.append(spot)
-            place.append(members[spot])
-            members[spot] += 1
-        return pdf.assign(sequence=seq, place=place)
+        rooms = Rooms(len(pdf), cutoff)
+        seq = np.array([rooms.take(size) for size in pdf[length].tolist()], np.int64)
+        pdf = pdf.assign(sequence=seq)
+        return pdf.assign(place=pdf.groupby("sequence").cumcount())
 
     kind = {f.name: f.dataType.simpleString() for f in placed.schema}
     return placed.groupBy("bucket").applyInPandas(fill, f"`{key}` {kind[key]}, `{length}` {kind[length]}, bucket int, sequence int, place int")

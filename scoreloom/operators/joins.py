@@ -114,3 +114,71 @@ def fold_records(updates: DataFrame, order: str) -> DataFrame:
         rows = merge_records(even, odd, ("canonical_id", "_slot"))
         last //= 2
     return rows.drop("_slot")
+
+
+def _given(name: str) -> tuple[Column, Column]:
+    """Records of ``r`` with the field, and its values."""
+    given = F.filter("r", lambda x: x[name].isNotNull())
+    return given, F.transform(given, lambda x: x[name])
+
+
+def _dimension_merger(fields: list[str]):
+    return lambda a, x: _merged_dimensions(a, x, fields)
+
+
+def build_master(layers: list[tuple[str, DataFrame, bool]], order: str | None = None) -> DataFrame:
+    """One record per id from partial records in ordered layers, in one pass.
+
+    ``layers``: name, records, and whether the layer may bring new ids (others only add to
+    ids of those that do). Later layers win like updates of ``merge_records``; several records of an id in a
+    layer follow ``order``. Adds ``provenance``: the layer each optional field and each dimension comes
+    from last, and ``layers``: the names of all that had the id. A field that a layer lacks is NULL there.
+    """
+    kinds = {f.name: f.dataType for _, df, _ in layers for f in df.schema.fields if f.name not in ("canonical_id", order)}
+    parts = None
+    for nth, (_, df, creates) in enumerate(layers):
+        fields = [(F.col(n) if n in df.columns else F.lit(None)).cast(k).alias(n) for n, k in kinds.items()]
+        at = F.col(order).cast("string") if order and order in df.columns else F.lit("")
+        part = df.select("canonical_id", F.struct(F.lit(nth).alias("_nth"), at.alias("_at"), F.lit(creates).alias("_creates"), *fields).alias("r"))
+        parts = part if parts is None else parts.unionByName(part)
+    place = lambda r: F.struct(r["_nth"], r["_at"])
+    after = lambda a, b: F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0)
+    rows = parts.groupBy("canonical_id").agg(F.array_sort(F.collect_list("r"), after).alias("r")).where(F.exists("r", lambda x: x["_creates"]))
+    names = F.array(*[F.lit(name) for name, _, _ in layers])
+    out, source = [], []
+    for name, kind in kinds.items():
+        given, values = _given(name)
+        last = F.try_element_at(given, F.lit(-1))
+        none = F.lit(None).cast(kind)
+        if name == "dimensions":
+            inner = [f.name for f in kind.valueType.fields]
+            value = F.aggregate(values, none, _dimension_merger(inner))
+        elif name == "tags":
+            value = F.aggregate(values, none, _merged_map)
+        elif name == "vlm_evals":
+            value = F.aggregate(values, none, lambda a, x: F.when(a.isNull(), x).otherwise(_merged_evals(a, x)))
+        elif name == "is_pseudo_labeled":
+            value = F.exists(values, lambda x: x)
+        else:
+            value = last[name]
+            source.append(F.when(last.isNotNull(), F.struct(F.lit(name).alias("field"), F.element_at(names, last["_nth"] + 1).alias("layer"))))
+        out.append(value.alias(name))
+    held = [F.array_compact(F.array(*source))]
+    if "dimensions" in kinds:
+        by_dimension = F.flatten(F.transform("r", lambda x: F.transform(F.coalesce(F.map_keys(x["dimensions"]), F.array().cast("array<string>")), lambda d: F.struct(F.concat(F.lit("dimensions."), d).alias("field"), F.element_at(names, x["_nth"] + 1).alias("layer")))))
+        known = F.array_distinct(F.transform(by_dimension, lambda e: e["field"]))
+        held.append(F.transform(known, lambda d: F.struct(d.alias("field"), F.element_at(F.filter(by_dimension, lambda e: e["field"] == d), -1)["layer"].alias("layer"))))
+    seen = F.array_distinct(F.transform("r", lambda x: F.element_at(names, x["_nth"] + 1)))
+    return rows.select("canonical_id", *out, F.map_from_entries(F.concat(*held)).alias("provenance"), seen.alias("layers"))
+
+
+def coverage(master: DataFrame) -> DataFrame:
+    """what, name, n: records in all, per split, per dimension, with a document context, with ratings, and per layer."""
+    one = lambda what, name: F.struct(F.lit(what).alias("what"), name.alias("name"))
+    each = lambda what, names: F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.struct(F.lit(what).alias("what"), n.alias("name")))
+    facts = [F.array(one("records", F.lit("all")), one("split", F.coalesce("split", F.lit("unknown"))))]
+    facts += [each("dimension", F.map_keys("dimensions")), each("layer", F.col("layers"))]
+    for what, there in (("document", F.col("document").isNotNull()), ("ratings", F.size("vlm_evals") > 0)):
+        facts.append(F.when(there, F.array(one(what, F.lit("any")))).otherwise(F.array().cast("array<struct<what: string, name: string>>")))
+    rows = master.select(F.inline(F.concat(*facts)))
+    return rows.groupBy("what", "name").agg(F.count(F.lit(1)).alias("n"))

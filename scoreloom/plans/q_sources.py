@@ -408,12 +408,44 @@ def j13(t):
                     "is_pseudo_labeled", *[r6(v).alias(k) for k, v in num.items()])
 
 
-@query("j14_master_build", "merged", "select coalesce(split, 'none') as split, count(*) as n, count(*) filter (is_pseudo_labeled) as n_pseudo, count(judge_b) as n_judged, sum(1 + (sharpness_mos is not null)::int + (color_mos is not null)::int)::bigint as n_labels from merged group by 1")
+J14 = dict(trained="select image_id, dimension, split from truth where split <> 'test' and (dimension <> 'color' or image_id % 3 > 0)", tested="select distinct image_id from truth where split = 'test' or image_id % 5 = 0",
+           ids="select image_id from trained union select image_id from tested", contexts="select page_id as image_id from pages", evals="select image_id, model_id, max(ord) as ord from ratings where error = '' group by 1, 2",
+           rec="""select i.image_id, case when image_id in (from (select image_id from tested)) then 'test' else (select any_value(split) from trained t where t.image_id = i.image_id) end as split from ids i""",
+           facts="""select 'records' as what, 'all' as name from ids union all select 'split', split from rec union all select 'dimension', dimension from trained
+               union all select 'layer', 'training' from (select distinct image_id from trained) union all select 'layer', 'test' from tested
+               union all select 'layer', 'context' from contexts join ids using (image_id) union all select 'layer', 'ratings' from (select distinct image_id from evals) join ids using (image_id)
+               union all select 'document', 'any' from contexts join ids using (image_id) union all select 'ratings', 'any' from (select distinct image_id from evals) join ids using (image_id)""")
+
+
+def master_layers(t):
+    """Training files per dimension, test manifest, page contexts, rating logs; the last two bring no new ids."""
+    c = F.col
+    train = t.truth.where((c("split") != "test") & ((c("dimension") != "color") | (c("image_id") % 3 > 0)))
+    train = train.select(c("image_id").alias("canonical_id"), "split", F.create_map("dimension", _dimension("human", c("gt"), c("gt"))).alias("dimensions"), F.create_map(F.lit("source"), "source").alias("tags"), "dimension")
+    test = t.truth_wide.where((c("split") == "test") | (c("image_id") % 5 == 0)).select(c("image_id").alias("canonical_id"), F.lit("test").alias("split"), F.concat(F.lit("ori/"), c("image_id").cast("string")).alias("image_path_ori"))
+    lang = F.nullif(F.regexp_extract("html", '<html lang="([a-z]+)"', 1), F.lit(""))
+    context = t.raw("pages").select(c("page_id").alias("canonical_id"), F.struct(F.coalesce(lang, F.lit("und")).alias("language"), F.length("html").alias("size")).alias("document"), F.lit("page").alias("image_detection_id"))
+    log = t.ratings.where(c("error") == "").groupBy("image_id", "model_id").agg(F.max_by("score", "ord").alias("score"))
+    evals = log.groupBy(c("image_id").alias("canonical_id")).agg(F.array_sort(F.collect_list(F.struct("model_id", "score"))).alias("vlm_evals"))  # an entry per rater
+    return [("training", train, True), ("test", test, True), ("context", context, False), ("ratings", evals, False)]
+
+
+@query("j14_master_build", "truth ratings", "select what, name, count(*) as n from facts group by 1, 2", **J14)
 def j14(t):
-    m = jn.merge_records(human_records(t), machine_records(t))
-    return m.groupBy(F.coalesce("split", F.lit("none")).alias("split")).agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_pseudo_labeled"), 1)).alias("n_pseudo"),
-        F.count(F.when(F.exists("vlm_evals", lambda e: e["model_id"] == "judge_b"), 1)).alias("n_judged"), F.sum(F.size("dimensions")).alias("n_labels"))
+    """Four layers merged into one record per image, and what they cover."""
+    return jn.coverage(jn.build_master(master_layers(t), "dimension")).select("what", "name", "n")
+
+
+@query("j14_master_records", "truth ratings truth_wide", f"""select i.image_id, split, {r("max(gt) filter (dimension = 'overall')")} as overall, {r("max(gt) filter (dimension = 'color')")} as color, max(case when image_id in (from (select image_id from tested)) then 'test' else 'training' end) as split_from,
+        max((image_id in (select image_id from contexts))::int) as has_document, coalesce(max(k), 0)::bigint as n_raters, {r("max(best)")} as best_rating
+        from rec i left join (select image_id, dimension, gt from trained join truth using (image_id, dimension)) using (image_id) left join (select image_id, count(*) as k, max(score) as best from evals join ratings using (image_id, model_id, ord) group by 1) using (image_id) group by 1, 2""", **J14)
+def j14_records(t):
+    """The merged records themselves with where their fields come from."""
+    m = jn.build_master(master_layers(t), "dimension")
+    of = lambda d: F.try_element_at("dimensions", F.lit(d))["mos"]
+    evals = F.coalesce("vlm_evals", F.array().cast(m.schema["vlm_evals"].dataType))
+    return m.select(F.col("canonical_id").alias("image_id"), "split", r6(of("overall")).alias("overall"), r6(of("color")).alias("color"), F.try_element_at("provenance", F.lit("split")).alias("split_from"),
+                    F.col("document").isNotNull().cast("int").alias("has_document"), F.size(evals).cast("long").alias("n_raters"), r6(F.array_max(F.transform(evals, lambda e: e["score"]))).alias("best_rating"))
 
 
 @query("j15_ratings_map", "scored", f"select image_id, count(*) as n_ratings, {r('max(score) filter (model = $$rater_af$$)')} as rater_af, {r('max(gt)')} as gt from scored where dimension = 'overall' group by 1")

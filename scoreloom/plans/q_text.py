@@ -204,4 +204,4 @@ def x27(t):
 def x28(t):
     examples = chat.usable_examples(chat.conversations_to_chat(t.chats))
     sized = examples.select("conv_id", chat.example_length(examples).alias("words"))
-    return chat.pack(sized, "conv_id", "words", 512)
+    return chat.pack(sized, "conv_id", "words", 512, buckets=16)

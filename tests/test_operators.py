@@ -115,7 +115,7 @@ def test_calibration_methods_compared(spark):
     rows = []
     for i in range(300):
         x = float(np.round(rng.uniform(1, 5), 1))
-        rows += [("bent", i, x, 4 / (1 + np.exp(-3 * (x - 3))) + 1, "train" if i < 200 else "test"), ("line", i, x, 0.5 * x + 2, "train" if i < 200 else "test")]
+        rows += [("bent", i, x, float(4 / (1 + np.exp(-3 * (x - 3))) + 1), "train" if i < 200 else "test"), ("line", i, x, 0.5 * x + 2, "train" if i < 200 else "test")]
     df = spark.createDataFrame(rows, "model string, image_id long, score double, gt double, split string")
     done = cal.calibrated(df, F.col("split") == "train", ["model"])
     got = {(r.model, r.split, r.method): r for r in cal.compare(done, ["model", "split"]).collect()}
@@ -222,9 +222,22 @@ def test_sampling_rules(spark):
 
 def test_packing_invariants(spark):
     df = spark.createDataFrame([(i, 1 + (i * 37) % 120) for i in range(300)], "id int, n int")
-    rows = chat.pack(df, "id", "n", 100, per_bucket=80).toPandas()
+    rows = chat.pack(df, "id", "n", 100, buckets=4).toPandas()
     assert set(rows["id"]) == {i for i in range(300) if 1 + (i * 37) % 120 <= 100}
     assert rows.groupby(["bucket", "sequence"])["n"].sum().max() <= 100
+    for _, part in rows.groupby("bucket"):  # first fit, largest first
+        room, want = [], {}
+        for i, n in part.sort_values(["n", "id"], ascending=[False, True])[["id", "n"]].itertuples(index=False):
+            spot = next((s for s, left in enumerate(room) if left >= n), len(room))
+            if spot == len(room):
+                room.append(100)
+            room[spot] -= n
+            want[i] = spot
+        assert dict(zip(part["id"], part["sequence"])) == want
+    more = chat.pack(df.unionAll(df.selectExpr("id + 1000", "n")), "id", "n", 100, buckets=4).toPandas()
+    assert more[more.id < 300].set_index("id")["bucket"].sort_index().equals(rows.set_index("id")["bucket"].sort_index())
+    with pytest.raises(ValueError):
+        chat.pack(df, "id", "n", 100, buckets=2, most=20)
 
 
 def test_conversation_forms(spark):
@@ -244,3 +257,20 @@ def test_decisions_on_a_stream(spark):
     stream = jobs.rating_stream(spark, src, "image_id bigint, dimension string, distance double, jsd double, sigma_sq double, entropy double")
     jobs.write_stream(jobs.decided_stream(stream), out, mark).awaitTermination(60)
     assert [r.tier for r in spark.read.parquet(out).collect()] == ["hard_reject"]
+
+
+def test_master_layers_and_provenance(spark):
+    kind = "canonical_id long, split string, dimensions map<string, struct<label_source: string, mos: double>>, dimension string"
+    train = spark.createDataFrame([(1, "train", {"overall": ("human", 4.0)}, "overall"), (1, "val", {"color": ("human", 2.0)}, "color"), (2, "train", None, "overall")], kind)
+    test = spark.createDataFrame([(2, "test", {"overall": (None, 3.5)}), (3, "test", None)], "canonical_id long, split string, dimensions map<string, struct<label_source: string, mos: double>>")
+    context = spark.createDataFrame([(1, ("en",)), (9, ("de",))], "canonical_id long, document struct<language: string>")
+    evals = spark.createDataFrame([(1, [("a", 1.0)]), (1, [("b", 2.0), ("a", 3.0)])], "canonical_id long, vlm_evals array<struct<model_id: string, score: double>>")
+    master = jn.build_master([("train", train, True), ("test", test, True), ("context", context, False), ("ratings", evals.limit(1), False), ("more", spark.createDataFrame([(1, [("a", 3.0), ("b", 2.0)])], evals.schema), False)], "dimension")
+    got = {r.canonical_id: r for r in master.collect()}
+    assert set(got) == {1, 2, 3}  # 9 is known to no layer that brings ids
+    assert set(got[1].dimensions) == {"overall", "color"} and got[1].split == "train"  # color comes before overall
+    assert {e.model_id: e.score for e in got[1].vlm_evals} == {"a": 3.0, "b": 2.0}
+    assert got[1].provenance == {"split": "train", "document": "context", "dimensions.overall": "train", "dimensions.color": "train"}
+    assert got[2].split == "test" and got[2].provenance == {"split": "test", "dimensions.overall": "test"} and got[2].dimensions["overall"].mos == 3.5
+    n = {(r["what"], r["name"]): r["n"] for r in jn.coverage(master).collect()}
+    assert n["records", "all"] == 3 and n["split", "test"] == 2 and n["dimension", "overall"] == 2 and n["document", "any"] == 1 and n["layer", "train"] == 2
