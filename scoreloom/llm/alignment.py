@@ -19,6 +19,7 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from .textblocks import chunks
 
 CHUNK_BYTES = 1 << 19
 EXPANDED = 1 << 22  # products of entries at a time
+# fixed value: how byte-level models with their standard pattern split a text before merging
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PAIRS = 4_000_000  # id pairs sent to tasks at once, 17 bytes each
 HELD = 2_000_000  # id pairs that a task adds up before it passes them on
 
@@ -52,7 +55,7 @@ class Csr:
 
     def turned(self) -> Csr:
         order = np.argsort(self.cols, kind="stable")
-        return Csr(np.searchsorted(self.cols[order], np.arange(self.width + 1)), self.rows()[order], self.values[order], len(self))
+        return Csr(np.concatenate(([0], np.cumsum(np.bincount(self.cols, minlength=self.width)))).astype(np.int64), self.rows()[order], self.values[order], len(self))
 
 
 def csr(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, height: int, width: int) -> Csr:
@@ -64,7 +67,7 @@ def csr(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, height: int, wid
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.zeros(0, np.int64)
     total = np.add.reduceat(values, first) if len(first) else values[:0]
     at, to = np.divmod(place[first], max(width, 1))
-    return Csr(np.searchsorted(at, np.arange(height + 1)), to, total, width)
+    return Csr(np.concatenate(([0], np.cumsum(np.bincount(at, minlength=height)))).astype(np.int64), to, total, width)
 
 
 def incidence(edges: np.ndarray) -> Csr:
@@ -134,12 +137,34 @@ class Tokenizers:
         self.a_bytes = [spell(self.a.id_to_token(i) or "") for i in range(self.n_a)]
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.n_b)]
         self.a_sizes, self.b_sizes = np.array([len(x) for x in self.a_bytes]), np.array([len(x) for x in self.b_bytes])
+        self.fast = self._merges(a_path)
         # ids as text with what follows: , or | after an A id, , or ; after a B id
         self.said = [b"%d%s" % (i, end) for n, ends in ((self.n_a, b",|"), (self.n_b, b",;")) for end in (ends[:1], ends[1:]) for i in range(n)]
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def _merges(self, path: str):
+        """The model of the file in a library that is faster at the same merges; None where the file
+        has another kind of model, or merges out of the order of ids."""
+        import json
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
+        model, split = kind["model"], kind["pre_tokenizer"] or {}
+        plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        whole = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and kind["normalizer"] is None
+        added = {t["id"] for t in kind["added_tokens"]}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        if not plain or not whole or any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(pairs)) or len(set(model["vocab"].values()) - added) != 256 + len(pairs):
+            return None
+        return tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks={b: i for i, b in enumerate(self.a_bytes) if i not in added}, special_tokens={})
+
+    def encode(self, texts: list[str]) -> tuple[list, list]:
         """Ids of both, empty for texts whose tokens don't spell a blank and the text."""
-        a = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        if self.fast:
+            a = [self.fast.encode_ordinary(" " + t) for t in texts]
+        else:
+            a = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
         b = self.b.encode(texts, num_threads=1) if texts else []
         for i, t in enumerate(texts):
             want = b" " + t.encode()
@@ -172,7 +197,7 @@ class Aligned:
 def align(tools: Tokenizers, texts: list[str]) -> Iterator[Aligned]:
     """Every text in turn; the overlap and group products run over all of them at once."""
     ids_a, ids_b = tools.encode(texts)
-    a, b = (np.fromiter((x for ids in lists for x in ids), np.int64, sum(map(len, lists))) for lists in (ids_a, ids_b))
+    a, b = (np.fromiter(chain.from_iterable(lists), np.int64, sum(map(len, lists))) for lists in (ids_a, ids_b))
     first_a, first_b = np.cumsum([0, *map(len, ids_a)]), np.cumsum([0, *map(len, ids_b)])
     links = overlap_links(np.concatenate(([0], np.cumsum(tools.a_sizes[a]))), np.concatenate(([0], np.cumsum(tools.b_sizes[b]))))
     group_a, group_b = groups(links, len(b))

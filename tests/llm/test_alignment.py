@@ -87,3 +87,16 @@ def test_equals_brute_force(table, spark, monkeypatch):
 def test_no_rows(table):
     assert alignment.digests(table([]), A, B).count() == 0
     assert alignment.digests(table([(1, None)]), A, B).first().groups_sha256 == ""
+
+
+def test_both_libraries_merge_alike(spark):
+    """Every code point between, before and after letters, digits, blanks and marks of its own kind."""
+    tools = alignment.tokenizers(A, B)
+    assert tools.fast is not None
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    points = points[:0x3000] + points[0x3000::23]
+    texts = [f"a{chr(c)}b {chr(c)}1{chr(c)} {chr(c)}{chr(c)}  {chr(c)}s'{chr(c)}ll" for c in points]
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
+    texts += [r.text for r in rows if r.text] + ["<|endoftext|>", "a" * 5000, " " * 3000, "don't we'll I'D"]
+    slow = tools.a.encode_batch(texts, add_special_tokens=False)
+    assert all(tools.fast.encode_ordinary(t) == e.ids for t, e in zip(texts, slow))
