@@ -26,12 +26,16 @@ QUESTIONS = (
     "Could you evaluate the quality of this image?",
     "How do you assess the quality of this image?",
 )
-ANSWER_SUBJECTS = {"overall": "quality", "sharpness": "sharpness", "color": "color_fidelity"}
+# Answers per dimension; {} is the level.
+ANSWERS = {
+    "overall": "The quality of the image is {}.",
+    "sharpness": "The sharpness of the image is {}.",
+    "color": "The color_fidelity of the image is {}.",
+}
 # Share of rows per degradation tier.
 TIER_SHARES = {"pristine": 0.10, "light": 0.25, "moderate": 0.35, "heavy": 0.20, "historical": 0.10}
 # Tier label, profile name, expected quality range.
 DEGRADATIONS = (("HIGH", "light", 0.70, 0.95), ("MEDIUM", "moderate", 0.40, 0.80), ("LOW", "heavy", 0.10, 0.60), ("DEGRADED", "historical", 0.00, 0.50))
-EFFECTS = ("blur", "noise", "compression", "geometric_distortion")
 
 
 # ---- text of records -------------------------------------------------------------
@@ -42,10 +46,10 @@ def question(seed, key: Column) -> Column:
 
 def answer(dimension: Column, probs: Column) -> Column:
     """Sentence naming the most likely level; unknown dimensions read like ``overall``."""
-    subject = F.lit(ANSWER_SUBJECTS["overall"])
-    for name, text in ANSWER_SUBJECTS.items():
-        subject = F.when(dimension == name, text).otherwise(subject)
-    return F.concat(F.lit("The "), subject, F.lit(" of the image is "), lv.level_text(probs), F.lit("."))
+    sentence = F.lit(ANSWERS["overall"])
+    for name, text in ANSWERS.items():
+        sentence = F.when(dimension == name, text).otherwise(sentence)
+    return F.replace(sentence, F.lit("{}"), lv.level_text(probs))
 
 
 def conversation(ask: Column, reply: Column) -> Column:
@@ -249,14 +253,10 @@ def process_raters(ratings: DataFrame, anchors: DataFrame, outlier_std: float =
 # ---- plans and labels -------------------------------------------------------------------
 
 def degradation_plan(bases: DataFrame, index: str, base_seed: int = 20000) -> DataFrame:
-    """Every base under every tier: seed, severities drawn from the tier's range, quality 1 - worst."""
-    tiers = F.inline(F.array(*[F.struct(F.lit(i).alias("tier_index"), F.lit(label).alias("tier"), F.lit(name).alias("profile"), dbl(lo).alias("_lo"), dbl(hi).alias("_hi"))
+    """Every base under every tier: tier, profile, seed and the tier's expected range of quality."""
+    tiers = F.inline(F.array(*[F.struct(F.lit(i).alias("tier_index"), F.lit(label).alias("tier"), F.lit(name).alias("profile"), dbl(lo).alias("quality_low"), dbl(hi).alias("quality_high"))
                                for i, (label, name, lo, hi) in enumerate(DEGRADATIONS)]))
-    rows = bases.select("*", tiers).withColumn("seed", base_seed + F.col(index) * 100 + F.col("tier_index"))
-    unit = lambda effect: (key_hash(effect, F.col("seed")) % 1000000) / dbl(1000000)
-    severity = {e: (dbl(1) - F.col("_hi")) + unit(e) * (F.col("_hi") - F.col("_lo")) for e in EFFECTS}
-    rows = rows.withColumns(severity)
-    return rows.withColumn("overall_quality", F.greatest(dbl(0), dbl(1) - F.greatest(*EFFECTS))).drop("_lo", "_hi")
+    return bases.select("*", tiers).withColumn("seed", base_seed + F.col(index) * 100 + F.col("tier_index"))
 
 
 def soft_labels(df: DataFrame, mos: str, std: str, density: str = "pdf", std_limit: float = 0.2, gap_limit: float = 0.1) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import levels as lv
 from ..functions.numerics import dbl, r6
-from ..operators import assembly as asm, ensemble as en, records as rc, uncertainty as un
+from ..operators import assembly as asm, ensemble as en, records as rc, uncertainty as un, versions as ver
 from ..operators.ranking import attach_one
-from ..operators.staging import staged
+from ..operators.staging import fresh_path, staged
 from ..sources.readers import last_per_key
-from .oracle_views import LEVELS_DOWN, LEVELS_UP, VIEWS, gaussian_sql, h, level_columns, mos_sql, r, std_sql
+from .oracle_views import LEVELS_DOWN, LEVELS_UP, VIEWS, gaussian_sql, h, level_columns, mos_sql, r, std_sql, two_level_sql
 from .q_ensemble import consensus_rows
 from .q_sources import human_records, machine_records, paths
 from .q_stats import BUCKET, level_gate, union_with_defaults
@@ -159,15 +159,10 @@ def x13(t):
     return done.select(*KEYS, r6("mos").alias("mos"), r6("mos_std").alias("mos_std"), r6("calibrated").alias("calibrated"), "high_variance")
 
 
-SEV = {e: f"(1e0 - hi) + ({h(repr(e), 'seed')} % 1000000) / 1000000e0 * (hi - lo)" for e in asm.EFFECTS}
-
-
-@query("x14_degradation_plan", TW, f"select image_id, tier, seed, {r('blur', 9)} as blur, {r('greatest(0e0, 1e0 - greatest(' + ', '.join(asm.EFFECTS) + '))', 9)} as overall_quality from s",
-       tiers=" union all ".join(f"select {i} as ti, '{a}' as tier, {lo}::double as lo, {hi}::double as hi" for i, (a, _, lo, hi) in enumerate(asm.DEGRADATIONS)),
-       w="select image_id, tier, lo, hi, 20000 + image_id * 100 + ti as seed from truth_wide, tiers", s="select *, " + ", ".join(f"{v} as {k}" for k, v in SEV.items()) + " from w")
+@query("x14_degradation_plan", TW, "select image_id, tier, profile, 20000 + image_id * 100 + ti as seed, lo as quality_low, hi as quality_high from truth_wide, tiers",
+       tiers=" union all ".join(f"select {i} as ti, '{a}' as tier, '{p}' as profile, {lo}::double as lo, {hi}::double as hi" for i, (a, p, lo, hi) in enumerate(asm.DEGRADATIONS)))
 def x14(t):
-    plan = asm.degradation_plan(t.truth_wide.select("image_id"), "image_id")
-    return plan.select("image_id", "tier", "seed", r6("blur", 9).alias("blur"), r6("overall_quality", 9).alias("overall_quality"))
+    return asm.degradation_plan(t.truth_wide.select("image_id"), "image_id").select("image_id", "tier", "profile", "seed", "quality_low", "quality_high")
 
 
 QUESTION_LIST = "[" + ", ".join("'" + q.replace("'", "''") + "'" for q in asm.QUESTIONS) + "]"
@@ -316,16 +311,45 @@ X24 = """select image_id, source, mos, weight, case when pos <= greatest(1, floo
     select image_id, 'consensus', mos, 0.5e0, """ + H42() + " from consensus where dimension = 'overall' and mos is not null))"
 
 
-@query("x24_versioned_build", "base consensus truth_wide", f"""select part, source, count(*) as n, {r('avg(mos)')} as mean_mos, {r('avg(weight)')} as mean_weight from (select * from ex union all
-        select image_id, 'human', overall, 1e0, 'train' from truth_wide) group by 1, 2""", ex=X24)
+VERSION = dict(ex=X24, rows="select image_id, part, source, mos, weight from ex union all select image_id, 'train', 'human', overall, 1e0 from truth_wide",
+               v="select *, greatest(1e0, least(5e0, mos)) as m from rows", levels=f"select *, {two_level_sql('m')} as p from v")
+
+
+def version_of(t):
+    """Human rows and two expansion streams as a published version; returns where it is."""
+    c = F.col
+    def layout(df, source, stream, method, mos, weight, cost):
+        return df.select("image_id", mos.alias("mos"), lv.two_level(mos).alias("level_probs"), F.lit(source).alias("source"), F.lit(stream).alias("stream"), F.lit(method).alias("label_method"), dbl(weight).alias("weight"), dbl(cost).alias("cost"))
+
+    a = layout(t.base, "degraded", "stream1", "deterministic", rc.quality_to_mos(c("q")), 0.7, 0)
+    b = layout(consensus_rows(t).where((c("dimension") == "overall") & c("mos").isNotNull()).select("image_id", c("mos").alias("_mos")), "consensus", "stream3", "consensus", c("_mos"), 0.5, 0.004)
+    human = layout(t.truth_wide, "human", "base", "human", c("overall"), 1.0, 0)
+    root = fresh_path(t.spark, "versions")
+    return root, ver.build_version(root, "set_1", human, [a, b], parent="set_0", level_mass_min=0.005)
+
+
+@query("x24_versioned_build", "base consensus truth_wide", f"select part, source, count(*) as n, {r('avg(mos)')} as mean_mos, {r('avg(weight)')} as mean_weight from rows group by 1, 2", **VERSION)
 def x24(t):
-    """Expansion streams, holdout per source, merge with human rows, counts per part and source."""
-    a = t.base.select("image_id", F.lit("degraded").alias("source"), rc.quality_to_mos(F.col("q")).alias("mos"), dbl(0.7).alias("weight"))
-    b = consensus_rows(t).where((F.col("dimension") == "overall") & F.col("mos").isNotNull()).select("image_id", F.lit("consensus").alias("source"), "mos", dbl(0.5).alias("weight"))
-    split = asm.holdout_split(staged(a.unionByName(b), "streams"), "image_id")
-    human = t.truth_wide.select("image_id", F.lit("human").alias("source"), F.col("overall").alias("mos"), F.lit("train").alias("part"))
-    merged = human.unionByName(split, allowMissingColumns=True).withColumn("weight", F.coalesce("weight", dbl(1)))
-    return merged.groupBy("part", "source").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("mos")).alias("mean_mos"), r6(F.avg("weight")).alias("mean_weight"))
+    """Expansion streams, holdout per source, merge with human rows, level gate, publication; the published rows per part and source."""
+    root, _ = version_of(t)
+    rows = ver.read_version(t.spark, root, "set_1")
+    return rows.groupBy("part", "source").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("mos")).alias("mean_mos"), r6(F.avg("weight")).alias("mean_weight"))
+
+
+SHARES = ("excellent_pct", "good_pct", "fair_pct", "poor_pct", "bad_pct", "mos_mean", "mos_std", "mos_min", "mos_max")
+RANGES = ("mos >= 4.5", "mos >= 3.5 and mos < 4.5", "mos >= 2.5 and mos < 3.5", "mos >= 1.5 and mos < 2.5", "mos < 1.5")
+
+
+@query("x24_manifest", "base consensus truth_wide", "select " + ", ".join(f"{r(f'avg(({c})::int) * 100')} as {n}" for n, c in zip(SHARES, RANGES)) + f""", {r('avg(mos)')} as mos_mean, {r('stddev_pop(mos)')} as mos_std, {r('min(mos)')} as mos_min, {r('max(mos)')} as mos_max,
+        count(*) as total_samples, count(*) filter (source <> 'human') as new_samples, (select count(*) from rows where part = 'holdout') as holdout_samples, {', '.join(r(f'sum(p[{i}]) / sum(list_sum(p))') + f' as level_{6 - i}' for i in range(1, 6))},
+        {r("sum(case when source = 'consensus' then 0.004e0 else 0e0 end)", 3)} as cost, count(distinct source) as n_sources, true as gate from levels where part = 'train'""", **VERSION)
+def x24_manifest(t):
+    """The manifest of that version: gate, new rows against all, holdout, quality distribution, cost."""
+    root, _ = version_of(t)
+    m = ver.read_manifest(t.spark, root, "set_1")
+    facts = {**m["quality_distribution"], **{k: m[k] for k in ("total_samples", "new_samples", "holdout_samples")}, **{f"level_{5 - i}": s for i, s in enumerate(m["level_shares"])}}
+    row = {**{k: round(v, 6) if isinstance(v, float) else v for k, v in facts.items()}, "cost": round(m["cost"], 3), "n_sources": len(m["sources"]), "gate": m["validation_gates"]["level_gate_passed"]}
+    return t.spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'boolean' if isinstance(v, bool) else 'long' if isinstance(v, int) else 'double'}" for k, v in row.items()))
 
 
 @query("j18_random_partner", TW, f"""select a.image_id, a.source, b.image_id as partner from n a join n b on a.source = b.source and b.i = (a.i + {h(repr('42'), 'a.image_id')} % (a.n - 1) + 1) % a.n where a.n > 1""",
