@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from .stages import written
 from .textblocks import chunks
 
-CHUNK_BYTES = 1 << 19
-EXPANDED = 1 << 22  # products of entries at a time
+CHUNK_BYTES = 1 << 17
+EXPANDED = 1 << 20  # products of entries at a time
 # fixed value: how byte-level models with their standard pattern split a text before merging
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PAIRS = 4_000_000  # id pairs sent to tasks at once, 17 bytes each
-HELD = 2_000_000  # id pairs that a task adds up before it passes them on
+HELD = 500_000  # id pairs that a task adds up before it passes them on
 
 
 @dataclass
@@ -138,6 +138,8 @@ class Tokenizers:
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.n_b)]
         self.a_sizes, self.b_sizes = np.array([len(x) for x in self.a_bytes]), np.array([len(x) for x in self.b_bytes])
         self.fast = self._merges(a_path)
+        if self.fast:
+            self.a = None  # its tables would stay in every worker
         # ids as text with what follows: , or | after an A id, , or ; after a B id
         self.said = [b"%d%s" % (i, end) for n, ends in ((self.n_a, b",|"), (self.n_b, b",;")) for end in (ends[:1], ends[1:]) for i in range(n)]
 
