@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from .numerics import dbl
+from .numerics import dbl, let
 
 
 @F.pandas_udf(T.StringType())
@@ -15,25 +15,19 @@ def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
 
-@F.pandas_udf(T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())]))
-def _word_codes(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Each distinct word of a pair as one character, so that the built-in edit distance counts words."""
+def _word_codes(a: Column, b: Column) -> Column:
+    """Every distinct word of a pair as one character, so that the built-in edit distance counts words.
 
-    def code(left, right):
-        seen: dict[str, str] = {}
-        out = []
-        for text in (left, right):
-            chars = []
-            for word in text.split(" ") if text else []:
-                if word not in seen:
-                    n = len(seen) + 1
-                    seen[word] = chr(n if n < 0xD800 else n + 0x800)
-                chars.append(seen[word])
-            out.append("".join(chars))
-        return out
-
-    pairs = [code(x, y) if x is not None and y is not None else (None, None) for x, y in zip(a, b)]
-    return pd.DataFrame(pairs, columns=["a", "b"])
+    A word's character is its place among the pair's distinct words, kept in a map.
+    """
+    words = lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    # code points: below the surrogates as they are, above them past the gap
+    point = lambda i: F.when(i < 0xD800, i).otherwise(i + 0x800)
+    char = lambda i: F.decode(F.unhex(F.lpad(F.hex(point(i)), 8, "0")), "UTF-32")
+    code = lambda t, chars: F.array_join(F.transform(words(t), lambda w: F.element_at(chars, w)), "")
+    table = lambda both: F.map_from_arrays(both, F.transform(both, lambda _, i: char(i + 1)))
+    chars = lambda both: let(table(both), lambda m: F.struct(code(a, m).alias("a"), code(b, m).alias("b")))
+    return let(F.array_distinct(F.concat(words(a), words(b))), chars)
 
 
 def normalised(text: Column) -> Column:
@@ -59,7 +53,8 @@ def cer(reference: Column, hypothesis: Column) -> Column:
 def wer(reference: Column, hypothesis: Column) -> Column:
     """Word edits over reference words, on normalised texts."""
     codes = _word_codes(reference, hypothesis)
-    return _rate(F.levenshtein(codes["a"], codes["b"]), reference, hypothesis, F.length(codes["a"]))
+    edits = let(codes, lambda c: F.levenshtein(c["a"], c["b"]))
+    return _rate(edits, reference, hypothesis, F.size(F.split(reference, " ")))
 
 
 def word_count(text: Column) -> Column:

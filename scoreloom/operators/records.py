@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.levels import bins_to_levels, gaussian_bins
+from ..functions.levels import bins_to_levels
 from ..functions.numerics import clip, dbl
 
 # Other names of the colour dimension.
@@ -20,19 +20,19 @@ def canonical_dimension(name: Column) -> Column:
     return F.coalesce(F.try_element_at(table, name), name)
 
 
-def bin_record_log(panel: DataFrame) -> DataFrame:
-    """JSON lines in both layouts: one rater writes one record per image with all
-    dimensions, another one flat record per image and dimension."""
-    bins = panel.where(F.col("model").isin("rater_af", "rater_no")).select(
-        F.col("image_id").cast("string").alias("image"), "model", "dimension", "score",
-        gaussian_bins(F.col("score"), dbl(0.25)).alias("probs"))
-    flat = bins.where(F.col("model") == "rater_no").select(F.to_json(F.struct(
-        "image", "model", F.when(F.col("dimension") == "color", "colour").otherwise(F.col("dimension")).alias("dimension"),
-        "probs", "score")).alias("line"))
-    of = lambda d: F.max(F.when(F.col("dimension") == d, F.struct("score", "probs")))
-    wide = bins.where(F.col("model") == "rater_af").groupBy("image", "model").agg(
-        of("overall").alias("overall"), of("sharpness").alias("sharpness"), of("color").alias("color_fidelity"))
-    return flat.union(wide.select(F.to_json(F.struct(*wide.columns)).alias("line")))
+def _bin_records(lines: DataFrame) -> DataFrame:
+    """Parsed lines with ``_rows``: dimension and bins of each, empty where a record has neither or no image."""
+    rec = lines.select(F.from_json("line", BIN_RECORD).alias("r")).select("r.*")
+    entry = lambda name, bins: F.struct(F.lit(name).alias("dimension"), bins.alias("bins"))
+    wide = F.filter(F.array(entry("overall", F.col("overall.probs")), entry("sharpness", F.col("sharpness.probs")),
+                            entry("color", F.coalesce("color_fidelity.probs", "color.probs"))),
+                    lambda e: e["bins"].isNotNull())
+    flat = F.array(F.struct(canonical_dimension(F.coalesce("dimension", F.lit("overall"))).alias("dimension"),
+                            F.col("probs").alias("bins")))
+    none = F.slice(flat, 1, 0)
+    named = F.coalesce("image", F.lit("")) != ""
+    rows = F.when(named & (F.size(wide) > 0), wide).when(named & F.col("probs").isNotNull(), flat).otherwise(none)
+    return rec.withColumn("_rows", rows)
 
 
 def bin_records_to_levels(lines: DataFrame) -> DataFrame:
@@ -41,18 +41,16 @@ def bin_records_to_levels(lines: DataFrame) -> DataFrame:
     The many-dimension layout is used where any dimension carries bins, else the
     flat one. Records with neither, or without an image, give no row.
     """
-    rec = lines.select(F.from_json("line", BIN_RECORD).alias("r")).select("r.*").where(F.coalesce("image", F.lit("")) != "")
-    entry = lambda name, bins: F.struct(F.lit(name).alias("dimension"), bins.alias("bins"))
-    wide = F.filter(F.array(entry("overall", F.col("overall.probs")), entry("sharpness", F.col("sharpness.probs")),
-                            entry("color", F.coalesce("color_fidelity.probs", "color.probs"))),
-                    lambda e: e["bins"].isNotNull())
-    flat = F.array(F.struct(canonical_dimension(F.coalesce("dimension", F.lit("overall"))).alias("dimension"),
-                            F.col("probs").alias("bins")))
-    rows = F.when(F.size(wide) > 0, wide).when(F.col("probs").isNotNull(), flat)
-    return rec.select("image", "model", F.inline(rows)).select(
+    return _bin_records(lines).select("image", "model", F.inline("_rows")).select(
         "image", "model", "dimension", bins_to_levels(F.col("bins")).alias("p"))
 
 
+def bin_record_counts(lines: DataFrame) -> DataFrame:
+    """records, rows and skipped (records that give no row) per model."""
+    n = F.size("_rows")
+    return _bin_records(lines).groupBy("model").agg(F.count(F.lit(1)).alias("records"), F.sum(n).cast("long").alias("rows"), F.count(F.when(n == 0, 1)).alias("skipped"))
+
+
 def canonical_id(path: Column, strict: bool = False) -> Column:
     """Last run of three or more digits that ends the file stem, else the first such
     run; NULL (or a failed job when ``strict``) where there is none."""
