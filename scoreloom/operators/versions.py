@@ -39,26 +39,35 @@ def _manifest_path(root: str, version: str) -> str:
     return f"{root.rstrip('/')}/manifests/{version}.json"
 
 
-def publish_manifest(spark: SparkSession, root: str, version: str, manifest: dict) -> None:
-    """The manifest under its final name, or nothing; a version that is there already is refused."""
-    files, final, path = _files(spark, _manifest_path(root, version))
-    if files.exists(final):
-        raise FileExistsError(f"version {version} is published")
-    draft = path(f"{_manifest_path(root, version)}.{uuid.uuid4().hex}")
+def put_once(spark: SparkSession, path: str, text: str) -> None:
+    """A small file under its final name in one rename; a name that is taken is refused."""
+    files, final, at = _files(spark, path)
+    draft = at(f"{path}.{uuid.uuid4().hex}")
     out = files.create(draft)
-    out.write(bytearray(json.dumps(manifest, indent=2).encode()))
+    out.write(bytearray(text.encode()))
     out.close()
-    if not files.rename(draft, final):  # another build was first
+    if files.exists(final) or not files.rename(draft, final):  # another writer was first
         files.delete(draft, False)
-        raise FileExistsError(f"version {version} is published")
+        raise FileExistsError(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file, None where there is none."""
+    files, at, _ = _files(spark, path)
+    if not files.exists(at):
+        return None
+    return spark.read.text(path, wholetext=True).first().value
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    files, at, _ = _files(spark, folder)
+    return [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
 
 
 def read_manifest(spark: SparkSession, root: str, version: str) -> dict | None:
     """The manifest of a published version, else None."""
-    files, final, _ = _files(spark, _manifest_path(root, version))
-    if not files.exists(final):
-        return None
-    return json.loads("\n".join(r.value for r in spark.read.text(_manifest_path(root, version), wholetext=True).collect()))  # one small file
+    text = read_text(spark, _manifest_path(root, version))
+    return None if text is None else json.loads(text)
 
 
 def read_version(spark: SparkSession, root: str, version: str) -> DataFrame:
@@ -116,7 +125,7 @@ def build_version(root: str, version: str, base: DataFrame, streams: Sequence[Da
     manifest = {"version": version, "tier": tier, "parent_version": parent, "created_at": datetime.now(tz=timezone.utc).isoformat(), "description": description, "data": folder, "sources": listed,
                 "total_samples": counts.get("train", 0), "new_samples": counts.get("train", 0) - old, "holdout_samples": counts.get("holdout", 0), "holdout_pct": holdout * 100,
                 "quality_distribution": quality_summary(train, score), "level_shares": shares, "cost": sum(s["cost"] for s in listed), "validation_gates": report}
-    publish_manifest(spark, root, version, manifest)
+    put_once(spark, _manifest_path(root, version), json.dumps(manifest, indent=2))
     return manifest
 
 

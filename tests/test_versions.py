@@ -4,6 +4,7 @@ import pytest
 
 from scoreloom.operators import versions as ver
 from scoreloom.operators.staging import fresh_path
+from scoreloom.streaming import jobs
 
 KIND = "image_id long, mos double, level_probs array<double>, source string, stream string, label_method string, weight double, cost double"
 
@@ -36,3 +37,41 @@ def test_gate_publication_and_manifest(spark):
     with pytest.raises(FileExistsError):
         ver.build_version(root, "v1", base, streams)
     assert ver.read_manifest(spark, root, "v1") == m
+
+
+UPDATE = "canonical_id string, at int, split string, ood double, vlm_evals array<struct<model_id: string, score: double>>, dimensions map<string, struct<mos: double, human: double>>, tags map<string,string>, is_pseudo_labeled boolean"
+
+
+def test_a_failed_batch_is_repeated_whole(spark, monkeypatch):
+    root, folder = fresh_path(spark, "master"), fresh_path(spark, "updates")
+    schema = spark.createDataFrame([], UPDATE).drop("at").schema
+    master = jobs.Master(spark, root, schema, buckets=4)
+    update = lambda i, at, split, **tags: (str(i), at, split, None, [("a", float(at))], {}, tags, False)
+    stream = lambda: jobs.upsert_stream(spark.readStream.schema(UPDATE).parquet(folder), master, folder + "-checkpoint", "at")
+
+    def add(rows):
+        spark.createDataFrame(rows, UPDATE).coalesce(1).write.mode("append").parquet(folder)
+
+    add([update(i, 1, "train", k="1") for i in range(20)])
+    stream().awaitTermination()
+    first, folders = master.version()
+    assert master.read().count() == 20 and first == 0
+    real, calls = jobs.put_once, []
+
+    def broken(*args):
+        calls.append(args)
+        raise OSError("the driver is gone")
+
+    add([update(3, 3, "test", k="3"), update(3, 2, "val", z="2"), update(99, 1, None)])
+    monkeypatch.setattr(jobs, "put_once", broken)
+    with pytest.raises(Exception):
+        stream().awaitTermination()
+    assert calls and master.version()[0] == 0 and master.read().count() == 20  # nothing of the batch is seen
+    monkeypatch.setattr(jobs, "put_once", real)
+    stream().awaitTermination()
+    got = {r.canonical_id: r for r in master.read().collect()}
+    assert len(got) == 21 and got["3"].split == "test" and got["3"].tags == {"k": "3", "z": "2"} and [tuple(e) for e in got["3"].vlm_evals] == [("a", 3.0)]
+    number, now = master.version()
+    assert number == 1 and sum(now[b] != folders.get(b) for b in now) <= 2  # other buckets stay where they were
+    batch = spark.createDataFrame([update(3, 9, "late")], UPDATE)
+    assert master.merge(batch, 1, "at") is False and master.read().where("split = 'late'").count() == 0
