@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numerics import dbl, key_hash
@@ -26,41 +27,95 @@ def _stack(column: pd.Series) -> np.ndarray:
 
 # ---- moments -----------------------------------------------------------------------
 
+FAN_IN = 16  # partial results that are merged at once
+
+
+def _merged(partials: DataFrame, merge) -> np.ndarray | None:
+    """One array from a packed array per task (``part``, ``data``), merged ``FAN_IN`` at a time.
+
+    The last ``FAN_IN`` are merged on the driver; None without any.
+    """
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = None
+        for data in pdf.sort_values("part")["data"]:
+            x = np.frombuffer(data)
+            whole = x if whole is None else merge(whole, x)
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // FAN_IN], "data": [whole.tobytes()]})
+
+    level = staged(partials, "partials")
+    while level.count() > FAN_IN:
+        level = staged(level.groupBy(F.floor(F.col("part") / FAN_IN)).applyInPandas(join, "part long, data binary"), "partials")
+    rows = level.orderBy("part").collect()
+    whole = None
+    for r in rows:
+        x = np.frombuffer(bytes(r.data))
+        whole = x if whole is None else merge(whole, x)
+    return whole
+
+
+def _per_task(df: DataFrame, vector: str, work) -> DataFrame:
+    """``work(whole so far or None, rows)`` over the batches of every task, one packed array each."""
+    def run(batches):
+        whole = None
+        for pdf in batches:
+            pdf = pdf[pdf[vector].notna()]
+            if len(pdf):
+                whole = work(whole, _stack(pdf[vector]))
+        if whole is not None:
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "data": [whole.tobytes()]})
+
+    return df.select(vector).mapInPandas(run, "part long, data binary")
+
+
 def gram(df: DataFrame, vector: str, centre: np.ndarray | None = None) -> tuple[int, np.ndarray, float]:
     """Row count, sum of outer products and sum of fourth powers of norms, around ``centre``.
 
-    Every task adds up its own batches and emits one row per matrix cell; the
-    cells are summed in a distributed aggregation.
+    Every task adds up its own batches and passes on one packed array.
     """
-    def partial(batches):
-        n, s, q = 0, None, 0.0
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = _stack(pdf[vector])
-            if centre is not None:
-                x = x - centre
-            n += len(x)
-            s = x.T @ x if s is None else s + x.T @ x
-            q += float(np.sum(np.sum(x * x, axis=1) ** 2))
-        if s is not None:
-            yield pd.DataFrame({"cell": np.arange(-2, s.size), "value": np.concatenate([[n, q], s.ravel()])})
-
-    cells = df.select(vector).mapInPandas(partial, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value"))
-    table = cells.toPandas().sort_values("cell")["value"].to_numpy()  # D*D + 2 numbers
+    def add(whole, x):
+        if centre is not None:
+            x = x - centre
+        now = np.concatenate([[len(x), float(np.sum(np.sum(x * x, axis=1) ** 2))], (x.T @ x).ravel()])
+        return now if whole is None else whole + now
+
+    table = _merged(_per_task(df, vector, add), np.add)
+    if table is None:
+        raise ValueError("no vectors")
     d = int(round((len(table) - 2) ** 0.5))
     return int(round(table[0])), table[2:].reshape(d, d), float(table[1])
 
 
+def _spread(whole, more):
+    """Two (count, means, squared deviations) as one."""
+    if whole is None:
+        return more
+    n, m = whole[0], more[0]
+    d = (len(whole) - 1) // 2
+    gap = more[1:1 + d] - whole[1:1 + d]
+    mean = whole[1:1 + d] + gap * (m / (n + m))
+    return np.concatenate([[n + m], mean, whole[1 + d:] + more[1 + d:] + gap * gap * (n * m / (n + m))])
+
+
+def _moments(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
+    def add(whole, x):
+        mean = x.mean(axis=0)
+        return _spread(whole, np.concatenate([[len(x)], mean, np.sum((x - mean) ** 2, axis=0)]))
+
+    table = _merged(_per_task(df, vector, add), _spread)
+    if table is None:
+        return np.zeros(0), np.zeros(0)
+    d = (len(table) - 1) // 2
+    return table[1:1 + d], table[1 + d:] / table[0]
+
+
 def mean_vector(df: DataFrame, vector: str) -> np.ndarray:
-    cells = df.select(F.posexplode(vector).alias("i", "v")).groupBy("i").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    return cells.toPandas().sort_values("i")["m"].to_numpy()  # D numbers
+    return _moments(df, vector)[0]
 
 
-def moments(df: DataFrame, vector: str) -> tuple[DataFrame, DataFrame]:
+def moments(df: DataFrame, vector: str) -> DataFrame:
     """Mean and population variance per coordinate, as a table (D rows)."""
-    return df.select(F.posexplode(vector).alias("i", "v")).groupBy("i").agg(
-        F.avg(F.col("v").cast("double")).alias("mean"), F.var_pop(F.col("v").cast("double")).alias("variance"))
+    mean, variance = _moments(df, vector)
+    return df.sparkSession.createDataFrame([(i, float(m), float(v)) for i, (m, v) in enumerate(zip(mean, variance))], "i int, mean double, variance double")
 
 
 @dataclass(frozen=True)

@@ -52,3 +52,16 @@ def test_highest_cosine(spark):
     want = (unit(q.astype(np.float32).astype(float)) @ unit(r.astype(np.float32).astype(float)).T).max(axis=1)
     want[0] = 0
     assert np.allclose([got[i] for i in range(9)], want, atol=1e-9)
+
+
+def test_moments_of_wide_vectors(spark, monkeypatch):
+    """768 coordinates, more tasks than are merged at once, some tasks empty, far from zero."""
+    monkeypatch.setattr(vec, "FAN_IN", 3)
+    rng = np.random.default_rng(6)
+    x = rng.normal(1000, 1, (300, 768))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>").repartition(11, "vec_id").unionAll(table(spark, [[0.0] * 768]).selectExpr("vec_id", "cast(null as array<double>)"))
+    rows = vec.moments(df, "embedding").orderBy("i").collect()
+    assert np.allclose([r.mean for r in rows], x.mean(axis=0), atol=1e-9) and np.allclose([r.variance for r in rows], x.var(axis=0), rtol=1e-9)
+    n, outer, fourth = vec.gram(df, "embedding", x.mean(axis=0))
+    z = x - x.mean(axis=0)
+    assert n == 300 and np.allclose(outer, z.T @ z) and fourth == pytest.approx(((z * z).sum(axis=1) ** 2).sum())
