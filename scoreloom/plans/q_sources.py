@@ -150,17 +150,33 @@ def s13(t):
                                                       r6(F.coalesce("distance", dbl(0))).alias("distance"))
 
 
-PROBLEMS = """select image_id, concat_ws(', ', case when abs(list_sum(p) - 1) > 0.01 then 'level_probs sum' end, case when q * 6 > 5 then 'gt_score range' end,
-    case when d - 0.05 < 0 then 'std range' end, case when t * 1.2 > 1 then 'weight range' end, case when n_lines - 2 > 2 or n_lines - 2 < 0 then 'category range' end) as problems
-    from (select *, [q, 1 - q, 0e0, 0e0, t / 20] as p from base)"""
+CHECKED = dict(v="""select image_id, n_lines, q, d, t, [q, 1 - q, 0e0, 0e0, t / 20] as p from base""",
+    c="""select image_id, case when image_id % 11 = 0 then 'no record' else concat_ws(', ', case when image_id % 7 = 0 then 'unknown fields: author, rater' end, case when abs(list_sum(p) - 1) > 0.01 then 'level_probs sum' end,
+    case when q * 6 > 5 then 'gt_score range' end, case when d - 0.05 < 0 then 'std range' end, case when t * 1.2 > 1 then 'weight range' end, case when n_lines - 2 > 2 or n_lines - 2 < 0 then 'category range' end) end as problems, q * 6 as gt from v""")
 
 
-@query("s14_schema_check", "base", "select image_id, problems, problems = '' as valid from v", v=PROBLEMS)
-def s14(t):
+def record_lines(t):
+    """Records as JSON lines; every seventh has fields that the record doesn't know, every eleventh line is cut."""
     c = F.col
-    p = F.array(c("q"), 1 - c("q"), dbl(0), dbl(0), c("t") / 20)
-    bad = wr.record_problems(p, c("q") * 6, c("d") - dbl(0.05), c("t") * dbl(1.2), c("n_lines") - 2)
-    return t.base.select("image_id", F.array_join(bad, ", ").alias("problems")).withColumn("valid", F.col("problems") == "")
+    known = [c("image_id"), F.array(c("q"), 1 - c("q"), dbl(0), dbl(0), c("t") / 20).alias("level_probs"), (c("q") * 6).alias("gt_score"), (c("d") - dbl(0.05)).alias("std"),
+             (c("t") * dbl(1.2)).alias("confidence_weight"), (c("n_lines") - 2).cast("int").alias("ood_category")]
+    plain, more = F.to_json(F.struct(*known)), F.to_json(F.struct(*known, F.lit("x").alias("rater"), F.lit("y").alias("author")))
+    line = F.when(c("image_id") % 7 == 0, more).otherwise(plain)
+    return t.base.select(F.when(c("image_id") % 11 == 0, F.substring(line, 1, 9)).otherwise(line).alias("line"))
+
+
+@query("s14_schema_check", "base", "select problems, count(*) as n from c where problems <> '' group by 1", **CHECKED)
+def s14(t):
+    """What is set aside, by problems."""
+    _, bad = wr.checked_records(record_lines(t))
+    return bad.groupBy(F.array_join("problems", ", ").alias("problems")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s14_valid_records", "base", f"select image_id, {r('gt')} as gt_score from c where problems = ''", **CHECKED)
+def s14_valid(t):
+    """Records that keep every rule."""
+    good, _ = wr.checked_records(record_lines(t))
+    return good.select("image_id", r6("gt_score").alias("gt_score"))
 
 
 @query("s15_manifest", "truth panel", f"""select 'v1' as version, sum(n)::bigint as total, {r('sum(cost)')} as total_cost, string_agg(stream || '/' || source || ':' || n, ', ' order by stream, source) as sources,

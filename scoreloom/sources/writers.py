@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from ..functions.numerics import total
 
@@ -28,6 +29,29 @@ def record_problems(probs: Column, gt_score: Column, std: Column, weight: Column
     return F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules]))
 
 
+RECORD = "image_id bigint, level_probs array<double>, gt_score double, std double, confidence_weight double, ood_category int"
+
+
+def checked_records(lines: DataFrame, line: str = "line", record: str = RECORD) -> tuple[DataFrame, DataFrame]:
+    """JSON lines as two tables: records that keep every rule, typed, and the others as they came with ``problems``.
+
+    A line that is no object, a field that the record does not know and every broken rule is a
+    problem; a line can have several. NULL and empty lines are no objects.
+    """
+    names = list(T._parse_datatype_string(record).fieldNames())
+    keys = F.json_object_keys(line)
+    unknown = F.array_sort(F.array_except(keys, F.array(*[F.lit(n) for n in names])))
+    parsed = F.from_json(line, record)
+    r = lambda n: F.col("_r")[n]
+    rows = lines.withColumns({"_keys": keys, "_unknown": unknown, "_r": parsed})
+    rules = record_problems(r("level_probs"), r("gt_score"), r("std"), r("confidence_weight"), r("ood_category"))
+    stray = F.when(F.size("_unknown") > 0, F.array(F.concat(F.lit("unknown fields: "), F.array_join("_unknown", ", ")))).otherwise(F.array().cast("array<string>"))
+    found = F.when(F.col("_keys").isNull(), F.array(F.lit("no record"))).otherwise(F.concat(stray, rules))
+    rows = rows.withColumn("problems", found)
+    valid = rows.where(F.size("problems") == 0).select("_r.*")
+    return valid, rows.where(F.size("problems") > 0).select(*lines.columns, "problems")
+
+
 def unknown_fields(df: DataFrame, allowed: list[str]) -> list[str]:
     """Columns a strict schema does not know."""
     return sorted(set(df.columns) - set(allowed))

@@ -75,3 +75,14 @@ def test_a_failed_batch_is_repeated_whole(spark, monkeypatch):
     assert number == 1 and sum(now[b] != folders.get(b) for b in now) <= 2  # other buckets stay where they were
     batch = spark.createDataFrame([update(3, 9, "late")], UPDATE)
     assert master.merge(batch, 1, "at") is False and master.read().where("split = 'late'").count() == 0
+
+
+def test_records_are_split_in_two(spark):
+    from scoreloom.sources import writers as wr
+
+    lines = ['{"image_id": 1, "level_probs": [0.2, 0.2, 0.2, 0.2, 0.2], "gt_score": 3}', '{"image_id": 2, "level_probs": [1, 1, 0, 0, 0], "extra": 1, "also": 2}', '{"image_id": 3', "", None, "[1]",
+             '{"image_id": 4, "level_probs": [1, 0, 0, 0], "std": -1}', '{"image_id": 5, "level_probs": [1, 0, 0, 0, 0], "confidence_weight": 1.5, "ood_category": 7}']
+    good, bad = wr.checked_records(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "nth int, line string"))
+    assert [r.image_id for r in good.collect()] == [1]
+    got = {r.nth: list(r.problems) for r in bad.collect()}
+    assert got == {1: ["unknown fields: also, extra", "level_probs sum"], 2: ["no record"], 3: ["no record"], 4: ["no record"], 5: ["no record"], 6: ["level_probs length", "std range"], 7: ["weight range", "category range"]}
