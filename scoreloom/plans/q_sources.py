@@ -82,23 +82,25 @@ def s7(t):
     return rows.select("model_id", "ord", r6("score").alias("score"))
 
 
-@query("s8_quarantine")
+@query("s8_quarantine", "ratings", """select substr('{"ord":' || ord || ',"model_id"', 1, 12) as line, count(*) as n, true as numbered from ratings where score < 1.1 group by 1""")
 def s8(t):
-    """Bad lines of a log with their numbers; scores below a limit are written as broken JSON."""
+    """Bad lines of a log, all with their numbers in their file; scores below a limit are written as broken JSON."""
     path = fresh_path(t.spark, "broken")
     line = F.to_json(F.struct("ord", "model_id", "score"))
     broken = F.when(F.col("score") < 1.1, F.substring(line, 1, 12)).otherwise(line)
     t.ratings.repartitionByRange("ord").sortWithinPartitions("ord").select(broken.alias("value")).write.text(path)
-    return rd.read_quarantined(t.spark, path, "ord bigint, model_id string, score double")[1].select("line_number", "line")
+    bad = rd.read_quarantined(t.spark, path, "ord bigint, model_id string, score double")[1]
+    return bad.groupBy("line").agg(F.count_distinct("file", "line_number").alias("n"), (F.min("line_number") > 0).alias("numbered"))
 
 
-@query("s9_jsonl_sink")
+@query("s9_jsonl_sink", "truth", f"select image_id, dimension, {r('gt')} as gt from truth")
 def s9(t):
+    """Written in two goes, the second appended, and read back."""
     path = fresh_path(t.spark, "sink")
     rows = t.truth.select(*KEYS, "gt")
     wr.write_jsonl(rows.where(F.col("dimension") == "overall"), path)
     wr.write_jsonl(rows.where(F.col("dimension") != "overall"), path, "append")
-    return rd.read_jsonl(t.spark, path, "image_id bigint, dimension string, gt double")
+    return rd.read_jsonl(t.spark, path, "image_id bigint, dimension string, gt double").select(*KEYS, r6("gt").alias("gt"))
 
 
 @query("s10_per_dimension_sink", "truth", f"select dimension, count(*) as n, {r('avg(gt)')} as mean_gt from truth group by 1")
