@@ -35,8 +35,7 @@ from .stages import written
 from .textblocks import SPACE_WORDS, Words, byte_values, chunks
 
 SKETCH = 24
-LOW_SHARE, LOW_MOST = 0.25, 96  # first shingles of a set that are counted to find HOT ones
-WARM = 10  # a text whose low part has more than a tenth of HOT shingles has all of its own counted
+LOW_MOST = 2 * SKETCH  # shingles of a low part, the first of a set, which is counted to find HOT ones
 HOT_FROM = 40  # entries of a list; doubled while more than HOT_MOST shingles pass
 HOT_MOST = 500_000
 SEND_MOST = 1_000_000  # ids that may be broadcast; beyond, a shuffled join
@@ -61,6 +60,21 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def low_size(n: int, percent: int) -> int:
+    """Shingles of the low part of a set of n: half as many again as its prefix has, up to LOW_MOST."""
+    k = prefix_size(n, percent) if n else 0
+    return min(k + k // 2, LOW_MOST)
+
+
+def beyond_low(n: int, low: int, n_hot: int, percent: int) -> bool:
+    """Whether a sketch of a set of n may reach beyond its low part, of which ``n_hot`` shingles of ``low`` are HOT.
+
+    A fifth of HOT ones in the low part, rather than a quarter of the set, asks for the whole prefix.
+    """
+    k = prefix_size(n, percent) if n else 0
+    return low - n_hot < (min(k, SKETCH) if 5 * n_hot < low else k)
+
+
 def least_overlap(k: int, rate: float, risk: float = 1e-12) -> int:
     """Hits among k that all but ``risk`` of the sketches with this rate have."""
     total, m = 0.0, 0
@@ -107,17 +121,17 @@ def _found(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
 
 
-def _hot_shingles(docs: DataFrame, first: DataFrame, size: int) -> np.ndarray:
-    """HOT shingles: those that many low parts have and, for texts whose low part is rich in such, those that many of these texts have."""
+def _hot_shingles(docs: DataFrame, first: DataFrame, size: int, percent: int) -> np.ndarray:
+    """HOT shingles: those that many low parts have and, of texts whose sketch reaches beyond the low part, those that many of these have."""
     counts = written(_hot(first.select(F.explode("low").alias("v"))), "hot")
     hot = docs.sparkSession.sparkContext.broadcast(_most(counts))
 
-    def rich(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [WARM * int(_found(np.asarray(x.values).view(np.uint64), hot.value).sum()) > len(x.values) for x in batch.column(1)]
+            keep = [beyond_low(n.as_py(), len(x.values), int(_found(np.asarray(x.values).view(np.uint64), hot.value).sum()), percent) for n, x in zip(batch.column(1), batch.column(2), strict=True)]
             yield batch.select(["id"]).filter(pa.array(keep, pa.bool_()))
 
-    warm = written(first.select("id", "low").mapInArrow(rich, first.select("id").schema).distinct(), "warm")
+    warm = written(first.select("id", "n", "low").mapInArrow(beyond, first.select("id").schema).distinct(), "warm")
     every = _map(_of(warm, docs), "id", "text", size, "v array<long>", lambda s: (s.view(np.int64),))
     more = written(_hot(every.select(F.explode("v").alias("v"))), "hot")
     return _most(counts.unionAll(more).groupBy("v").agg(F.max("n").alias("n")))
@@ -161,13 +175,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def look(s: np.ndarray) -> tuple:
-        k = min(-(-int(LOW_SHARE * 100) * len(s) // 100), LOW_MOST)
-        return len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, s[:k].view(np.int64)
+        return len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, s[:low_size(len(s), percent)].view(np.int64)
 
     first = written(_map(docs, "id", "text", size, "n long, same binary, low array<long>", look), "first")
     classes = written(first.where("same is not null and id is not null").groupBy("same").agg(F.min("id").alias("speaker")), "classes")
     speakers = classes.select(F.col("speaker").alias("id"))
-    hot = docs.sparkSession.sparkContext.broadcast(_hot_shingles(docs, _of(speakers, first), size))
+    hot = docs.sparkSession.sparkContext.broadcast(_hot_shingles(docs, _of(speakers, first), size, percent))
 
     def sketch(s: np.ndarray) -> tuple:
         warm = _found(s, hot.value)

@@ -40,3 +40,20 @@ def test_components(spark):
     got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 50, 50: 50, 200: 200, 300: 200, 250: 200}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_template_in_many_texts(table):
+    rng = random.Random(8)
+    template = " ".join(f"t{i}" for i in range(40))
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    docs = [(i, template + " " + own(rng.choice((2, 5, 20, 60)))) for i in range(2000)]
+    assert groups(table(docs), size=3, percent=85) == plain.near_groups(docs, 3, 85)
+
+
+def test_low_part_holds_what_a_cool_sketch_needs():
+    for percent in (60, 80, 85, 95):
+        for n in range(1, 600):
+            low = minhash.low_size(n, percent)
+            if minhash.prefix_size(n, percent) <= minhash.LOW_MOST:
+                assert not minhash.beyond_low(n, low, 0, percent)
+    assert minhash.beyond_low(100, 24, 12, 85) and not minhash.beyond_low(100, 24, 4, 85) and not minhash.beyond_low(0, 0, 0, 85)
