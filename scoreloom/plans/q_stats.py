@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import levels as lv
 from ..functions.numerics import dbl, r6, safe_ratio
-from ..operators import agreement as ag, bootstrap as bs, records, uncertainty as un
+from ..operators import agreement as ag, benchmark as bm, bootstrap as bs, records, uncertainty as un
 from ..operators.ranking import attach_one, cumulative, position, quantiles, unit_ranks
 from ..operators.staging import staged
 from .oracle_views import VIEWS, WEIGHT, avg_rank, corr_sql, draws_sql, h, metrics_sql, mos_sql, r, times_corr, times_rank
@@ -302,6 +302,44 @@ def r7(t):
     return point.join(ends, ["dimension", "metric"]).select("dimension", "metric", r6("point").alias("point"), "draws", r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"))
 
 
+# The panel's replies of the validation split; a reply fails where its scores lie more than 2.5 apart, and takes longer the higher they are.
+BENCH_LOG = f"""select p.image_id, p.model as model_id, case when max(score) - min(score) > 2.5 then 'inconsistent reply' else '' end as error, round(100 * sum(score), 6) as latency_ms
+    from panel p join (select distinct image_id from {HELD}) using (image_id) group by 1, 2"""
+BENCH_PAIRS = f"""select l.model_id, image_id, dimension, round(score, 9) as pred, gt from panel p join {HELD} using (image_id, dimension) join bench_log l using (image_id)
+    where l.model_id = p.model and error = ''"""
+BENCH_RANKS = ", ".join(f"{times_rank(c, 'model_id, dimension, rep')} as r_{c}" for c in ("pred", "gt"))
+
+
+def bench_columns() -> str:
+    cut = lambda m, q: r(f"quantile_cont({m}, {q}) filter (rep > 0 and dimension = '{{d}}')")
+    at = lambda m: r(f"max({m}) filter (rep = 0 and dimension = '{{d}}')")
+    each = [f"{at(m)} as {{d}}_{m}, " + ", ".join(f"{cut(m, q)} as {{d}}_{m}_ci_{e}" for q, e in ((0.025, "lower"), (0.975, "upper"))) for m in bm.INTERVALS] + [f"{at(m)} as {{d}}_{m}" for m in bm.ERRORS]
+    return ", ".join(e.format(d=d) for d in ("overall", "sharpness", "color") for e in each)
+
+
+@query("s12_benchmark_table", "paired panel", f"""select l.*, coalesce(num_samples, 0) as num_samples, m.* exclude (model_id) from bench_replies l left join bench_counts c using (model_id) left join bench_wide m using (model_id)""",
+       bench_log=BENCH_LOG, bench_pairs=BENCH_PAIRS, bench_counts="select model_id, count(distinct image_id) as num_samples from bench_pairs group by 1",
+       bench_replies=f"""select model_id, 'rater' as model_type, date '1998-12-31' as benchmark_date, 'API' as gpu_type, 'tier=' || substr(model_id, 7, 1) as notes, {r("avg((error = '')::int)")} as success_rate,
+           {r("avg(latency_ms) filter (error = '')")} as inference_mean_ms, {r("quantile_cont(latency_ms, 0.5) filter (error = '')")} as inference_p50_ms, {r("quantile_cont(latency_ms, 0.95) filter (error = '')")} as inference_p95_ms
+           from bench_log group by 1""",
+       **draws_sql("(select * from bench_pairs join bench_counts using (model_id) where num_samples >= 30)", "model_id", "image_id", REPS, "'42'"),
+       bench_drawn=f"select model_id, dimension, rep, m, pred, gt, {BENCH_RANKS} from bench_pairs join dr using (model_id, image_id)",
+       bench_metrics=f"""select model_id, dimension, rep, {times_corr('r_pred', 'r_gt')} as srcc, {times_corr('pred', 'gt')} as plcc, sum(m * abs(pred - gt)) / {ALL} as mae,
+           sqrt(sum(m * (pred - gt) * (pred - gt)) / {ALL}) as rmse from bench_drawn group by 1, 2, 3""",
+       bench_wide=f"select model_id, {bench_columns()}, {r('sum((case dimension when $$overall$$ then 0.5e0 else 0.25e0 end) * srcc) filter (rep = 0)')} as wsrcc from bench_metrics group by 1")
+def s12_table(t):
+    """All columns of the benchmark: raters as models, graded and drawn on the validation split."""
+    held = t.paired.where(F.col("split") == "val").select("image_id", "dimension", "gt")
+    scores = staged(t.panel.join(held, ["image_id", "dimension"], "left").withColumnRenamed("model", "model_id"), "bench")
+    reply = scores.groupBy("model_id", "image_id").agg((F.max("score") - F.min("score") > 2.5).alias("apart"), F.round(100 * F.sum("score"), 6).alias("latency_ms"))
+    log = staged(reply.join(held.select("image_id").distinct(), "image_id").select("model_id", "image_id", F.when(F.col("apart"), "inconsistent reply").otherwise("").alias("error"), "latency_ms"), "bench-log")
+    pairs = scores.where("gt is not null").join(log.where("error = ''").select("model_id", "image_id"), ["model_id", "image_id"]).select("model_id", "image_id", "dimension", F.round("score", 9).alias("pred"), F.col("gt").alias("truth"))
+    about = {"model_type": F.lit("rater"), "benchmark_date": F.lit("1998-12-31").cast("date"), "gpu_type": F.lit("API"), "notes": F.concat(F.lit("tier="), F.substring("model_id", 7, 1))}
+    rows = bm.table(pairs, log, about, REPS, 42)
+    plain = ("model_id", *about, "num_samples")
+    return rows.select(*plain, *[r6(c).alias(c) for c in rows.columns if c not in plain])
+
+
 ARM_REPS = 2000
 VIEWS["arms"] = ("paired cross_scores panel", f"""select image_id, dimension, 'base' as arm, round(mu, 9) as pred, gt from {HELD} union all
     select image_id, dimension, 'cross', round(score, 9), gt from {HELD} p join cross_scores using (image_id, dimension) union all
