@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import levels as lv
 from ..functions.numerics import dbl, key_hash
 from .ranking import attach, attach_one, hash_position, position
+from .records import equal_width_level
 
 # Question texts and answer forms of the training records.
 QUESTIONS = (
@@ -286,6 +287,22 @@ def soft_labels(df: DataFrame, mos: str, std: str, density: str = "pdf", std_lim
     }).drop("_fix", "_fixed", "_lo", "_hi")
 
 
+def soft_label_records(soft: DataFrame, image: str, mos: str, std: str, mos_text: str, split: str = "split", seed=42) -> DataFrame:
+    """Records of the rows of ``soft_labels`` whose split is train or test, by ``split``.
+
+    Training records have both level distributions and a conversation that names the fifth of the
+    range the mean lies in; those of test rows are NULL. Rows of other splits give none.
+    """
+    c, train = F.col, F.col(split) == "train"
+    level = F.element_at(F.array(*[F.lit(n) for n in reversed(lv.LEVEL_NAMES)]), equal_width_level(c("mos_norm"), dbl(1), dbl(5)))
+    reply = F.replace(F.lit(ANSWERS["overall"]), F.lit("{}"), level)
+    taught = lambda x: F.when(train, x)
+    return soft.where(c(split).isin("train", "test")).select(
+        split, F.concat(F.element_at(F.split(image, "/"), -1), F.lit("->"), c(mos_text)).alias("id"), c(image).alias("image"), c(mos).alias("gt_score"), c("mos_norm").alias("gt_score_norm"),
+        taught(c("probs_org")).alias("level_probs_org"), taught(c("probs")).alias("level_probs"), c(std).alias("std"), "std_norm",
+        taught(conversation(question(seed, c(image)), reply)).alias("conversations"))
+
+
 def soft_label_report(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     c = F.col
     return df.groupBy(*by).agg(

@@ -287,6 +287,22 @@ def x22(t):
     return soft(t).where(F.col("split").isin("train", "test")).select("image_id", "split", r6("mos_norm").alias("mos_norm"), "is_two_level", *lv.columns(F.col("probs")))
 
 
+SOFT_IMAGE, SOFT_TEXT = "'scans/' || image_id || '.png'", "cast(cast(round({}, 3) as decimal(6,3)) as varchar)"
+
+
+@query("x22_soft_label_records", "soft", f"""select split, image_id || '.png->' || {SOFT_TEXT.format('mos')} as id, {SOFT_IMAGE} as image, {r('mos')} as gt_score, {r('mn')} as gt_score_norm, {r('sd')} as std, {r('sn')} as std_norm,
+        case when split = 'train' then {ASK(SOFT_IMAGE)} || chr(10) || '<|image|>' end as ask,
+        case when split = 'train' then 'The quality of the image is ' || (['bad', 'poor', 'fair', 'good', 'excellent'])[least(greatest(ceil((mn - 1e-8::double - 1) / 0.8), 1), 5)::int] || '.' end as reply,
+        case when split = 'train' then {r('list_sum(po)')} end as mass_org, case when split = 'train' then {r(mos_sql('probs'))} end as mos_of_probs
+        from soft join (select image_id, mos, sd, po from soft0) using (image_id) where split in ('train', 'test')""")
+def x22_records(t):
+    rows = soft(t).withColumns({"file": F.concat(F.lit("scans/"), F.col("image_id").cast("string"), F.lit(".png")), "mos_text": F.round("mos", 3).cast("decimal(6,3)").cast("string")})
+    out = asm.soft_label_records(rows, "file", "mos", "sd", "mos_text")
+    mass = F.aggregate("level_probs_org", dbl(0), lambda a, v: a + v)
+    return out.select("split", "id", "image", *[r6(c).alias(c) for c in ("gt_score", "gt_score_norm", "std", "std_norm")], F.col("conversations")[0]["value"].alias("ask"),
+                      F.col("conversations")[1]["value"].alias("reply"), r6(mass).alias("mass_org"), r6(lv.mos(F.col("level_probs"))).alias("mos_of_probs"))
+
+
 REPORT = ("raw_l1", "raw_l2", "l1", "l2", "alpha_mean", "alpha_std", "beta_mean", "beta_std", "two_level_share")
 
 
