@@ -367,6 +367,21 @@ def informativeness(labelled: DataFrame, cross_levels: DataFrame, sacred: DataFr
         lv.mos(F.col("probs")).alias("mos"))
 
 
+def iteration_log(agreement: DataFrame, scored: DataFrame, by: str, threshold: float, small: float = 0.01) -> DataFrame:
+    """One row per iteration, in order of ``by``: change of both coefficients to the one before, mean BALD,
+    samples above the threshold and whether the rank coefficient has settled.
+
+    ``agreement`` has by, srcc and plcc, a row per iteration; ``scored`` has by and bald, a row per sample.
+    The first iteration's changes are 1; one without samples has a mean and a count of 0.
+    """
+    bald = scored.groupBy(by).agg(F.avg("bald").alias("mean_bald"), F.count(F.when(F.col("bald") > threshold, 1)).alias("samples_above_threshold"))
+    w = Window.partitionBy(F.lit(0)).orderBy(by)  # a row per iteration
+    change = lambda c: F.when(F.row_number().over(w) == 1, dbl(1)).otherwise(F.col(c) - F.lag(c).over(w))
+    rows = agreement.join(bald, by, "left").select(by, F.row_number().over(w).alias("iteration"), change("srcc").alias("srcc_delta"), change("plcc").alias("plcc_delta"),
+                                                   F.coalesce("mean_bald", dbl(0)).alias("mean_bald"), F.coalesce("samples_above_threshold", F.lit(0)).cast("long").alias("samples_above_threshold"))
+    return rows.withColumn("converged", F.coalesce(F.abs("srcc_delta") < small, F.lit(False)))
+
+
 def annotation_queue(scored: DataFrame, labelled_ids: DataFrame, sacred: DataFrame, k: int) -> DataFrame:
     """The k most informative rows outside both exclusion lists, rounded for writing."""
     left = scored.join(labelled_ids.select("image_id"), "image_id", "left_anti").join(sacred.select("image_id"), "image_id", "left_anti")

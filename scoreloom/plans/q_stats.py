@@ -531,6 +531,22 @@ def w8(t):
                       F.coalesce(F.abs(step("srcc")) < 0.01, F.lit(False)).alias("converged"))
 
 
+BALD_FROM = 0.1
+
+
+@query("w8_iteration_log", "iters bald_rows", f"""select iteration, {r('case when iteration = 1 then 1e0 else srcc - lag(srcc) over (order by iteration) end')} as srcc_delta,
+        {r('case when iteration = 1 then 1e0 else plcc - lag(plcc) over (order by iteration) end')} as plcc_delta, {r('coalesce(mean_bald, 0e0)')} as mean_bald, coalesce(above, 0) as samples_above_threshold,
+        coalesce(abs(case when iteration = 1 then 1e0 else srcc - lag(srcc) over (order by iteration) end) < 0.01, false) as converged from iters left join by_month using (month)""",
+       by_month=f"""select month, avg(bald) as mean_bald, count(*) filter (bald > {BALD_FROM}) as above from bald_rows join (select distinct image_id, month from paired) using (image_id)
+        where dimension = 'overall' group by 1""")
+def w8_log(t):
+    rows = paired(t).where(F.col("dimension") == "overall")
+    log = ag.spearman(rows, "mu", "gt", ["month"]).join(rows.groupBy("month").agg(ag.guarded_corr("mu", "gt").alias("plcc")), "month")
+    scored = un.informativeness(t.labelled.where(F.col("dimension") == "overall"), t.cross_levels, Parts(t).sacred)
+    out = un.iteration_log(log, scored.join(rows.select("image_id", "month").distinct(), "image_id"), "month", BALD_FROM)
+    return out.select("iteration", *[r6(c).alias(c) for c in ("srcc_delta", "plcc_delta", "mean_bald")], "samples_above_threshold", "converged")
+
+
 SNAP = lambda cond: f"select user_id as item, count(*) as n from events where {cond} group by 1"
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from scoreloom.operators import benchmark
+from scoreloom.operators import benchmark, uncertainty
 
 
 def test_few_pairs_give_counts_only(spark):
@@ -20,3 +20,11 @@ def test_few_pairs_give_counts_only(spark):
     assert many.inference_mean_ms == pytest.approx(205) and many.inference_p50_ms == pytest.approx(205) and many.inference_p95_ms == pytest.approx(380.5)
     assert got["few"].num_samples == 3 and got["few"].overall_srcc is None and got["few"].wsrcc is None and got["few"].success_rate == 1
     assert got["none"].num_samples == 0 and got["none"].success_rate == 0 and got["none"].inference_mean_ms is None
+
+
+def test_iteration_log(spark):
+    agreement = spark.createDataFrame([(5, 0.8, 0.7), (6, 0.805, 0.9), (8, None, 0.9)], "step int, srcc double, plcc double")
+    scored = spark.createDataFrame([(5, 0.2), (5, 0.0), (6, 0.1), (7, 0.9)], "step int, bald double")
+    rows = sorted(tuple(r) for r in uncertainty.iteration_log(agreement, scored, "step", 0.1).drop("srcc_delta", "plcc_delta").collect())
+    assert rows == [(5, 1, 0.1, 1, False), (6, 2, 0.1, 0, True), (8, 3, 0.0, 0, False)]
+    assert uncertainty.iteration_log(agreement.limit(0), scored, "step", 0.1).count() == 0
