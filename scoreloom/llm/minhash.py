@@ -3,7 +3,9 @@
 A text is its set of hashed word shingles. Equal sets form a class, and the class with
 the smallest id speaks for all. The one hash function orders all shingles, so a sketch is
 the first few of a set; shingles that fill long lists (HOT) come last in that order,
-for everyone alike. A pair above the threshold t must share one of the first
+for everyone alike. They are found by counting low parts, somewhat longer than the prefixes,
+and whole sets only of texts whose sketch leaves its low part; which shingles are HOT changes
+the work, never the links. A pair above the threshold t must share one of the first
 n - ceil(t n) + 1 shingles of either set, so those inverted lists miss no pair; sets with
 a longer such prefix and at most a quarter of HOT shingles keep SKETCH of them, where the
 chance of a miss is below 1e-14. A shared shingle counts only where its places leave enough
