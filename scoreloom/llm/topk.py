@@ -108,9 +108,9 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec
     groups, slices = max(1, math.ceil(n_given / (BLOCK * GROUP))), max(1, math.ceil(n_queries / SLICE))
     # ranges of ids; a pack is at most a block
     blocks = _packs(given.repartitionByRange(groups, "id").sortWithinPartitions("id"), BLOCK)
-    blocks = blocks.withColumn("g", F.pmod(F.xxhash64("pack"), F.lit(groups))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    blocks = blocks.withColumn("g", F.pmod(F.xxhash64("pack"), F.lit(groups)).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     packs = _packs(asked.repartitionByRange(slices, "id").sortWithinPartitions("id"), BLOCK)
-    packs = packs.withColumn("s", F.pmod(F.xxhash64("pack"), F.lit(slices))).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    packs = packs.withColumn("s", F.pmod(F.xxhash64("pack"), F.lit(slices)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -129,6 +129,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec
         there = ~np.isneginf(top)
         return pa.table([np.repeat(query_ids, k)[there.ravel()], who[there], top[there].astype(np.int64)], schema=kind)
 
+    # both sides have keys of one type: equal numbers of two types are dealt to different tasks
     parts = packs.groupBy("g", "s").cogroup(blocks.groupBy("g", "s")).applyInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
