@@ -318,7 +318,7 @@ def nearest(queries: DataFrame, ref: DataFrame, key: str, vector: str = "embeddi
 
     def visit(some: DataFrame, first: bool) -> DataFrame:
         fields = f"q long, v {kind}, cell int"
-        spread = some.mapInPandas(route(first), fields).join(table, "cell").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("s", F.pmod(F.xxhash64("q"), F.lit(8)))
+        spread = some.mapInPandas(route(first), fields).join(table, "cell").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("s", F.pmod(F.xxhash64("q"), F.lit(8)).cast("int"))
         copies = parts.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(7))))  # queries of a hot cell are spread over tasks
         return spread.groupBy("cell", "b", "s").cogroup(copies.groupBy("cell", "b", "s")).applyInPandas(score, f"q long, top {NEIGHBOUR}, visited long")
 

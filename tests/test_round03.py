@@ -2,8 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scoreloom.llm import topk
+from scoreloom.operators import vectors as vec
+
 
 @pytest.fixture
 def many_tasks(spark):
@@ -32,3 +35,11 @@ def test_top_k_meets_every_group(many_tasks, monkeypatch):
         best = sorted((-int(x[q] @ x[i]), i) for i in range(90) if i != q)[:5]
         want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(best)}
     assert got == want
+
+
+def test_nearest_meets_every_cell(many_tasks, monkeypatch):
+    monkeypatch.setattr(vec, "PER_CELL", 10)
+    x, table = vectors(many_tasks, 80)
+    table = table.select("vec_id", F.transform("cells", lambda v: v.cast("double")).alias("embedding"))
+    got = {r.vec_id: [n["id"] for n in r.top] for r in vec.nearest(table, table, "vec_id", k=4).collect()}
+    assert got == {q: [i for _, i in sorted((int(((x[q] - x[i]) ** 2).sum()), i) for i in range(80))[:4]] for q in range(80)}
