@@ -192,11 +192,17 @@ def named_levels(probs: Column) -> Column:
 def linear_fix(p: Column, score: Column) -> Column:
     """struct(alpha, beta) such that alpha*p + beta has mass 1 and mean ``score``.
 
-    A mean of 3 leaves alpha to the small term below the line; mass and mean are rounded
-    to 12 digits so that it doesn't hang on the last bit of a sum.
+    A mean of 3 leaves alpha to the small term below the line: there mass and mean are rounded to
+    12 digits, so that it doesn't hang on the last bit of a sum. Anywhere else the line is taken as
+    it is, since a rounded one can be 0.
     """
-    mass, excess = F.round(total(p), 12), F.round(mos(p) - dbl(3) * total(p), 12)
-    alpha = (score - 3) / (excess + 1e-9)
+    mass = F.round(total(p), 12)
+
+    def slope(e):
+        below = F.when(F.abs(e) < 1e-11, F.round(e, 12)).otherwise(e) + 1e-9
+        return (score - 3) / F.when(below == 0, dbl(1e-25)).otherwise(below)
+
+    alpha = let(mos(p) - dbl(3) * total(p), slope)
     return let(alpha, lambda a: F.struct(a.alias("alpha"), ((dbl(1) - a * mass) / 5).alias("beta")))
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scoreloom.functions import levels as lv
 from scoreloom.llm import topk
 from scoreloom.operators import vectors as vec
 
@@ -43,3 +44,9 @@ def test_nearest_meets_every_cell(many_tasks, monkeypatch):
     table = table.select("vec_id", F.transform("cells", lambda v: v.cast("double")).alias("embedding"))
     got = {r.vec_id: [n["id"] for n in r.top] for r in vec.nearest(table, table, "vec_id", k=4).collect()}
     assert got == {q: [i for _, i in sorted((int(((x[q] - x[i]) ** 2).sum()), i) for i in range(80))[:4]] for q in range(80)}
+
+
+def test_linear_fix_over_a_line_of_zero(spark):
+    rows = [([0.0, 0.0, 0.5, 1e-9, 0.0], 2.4), ([0.0, 0.0, 0.5, 1.0000004e-9, 0.0], 2.4), ([0.1, 0.2, 0.4, 0.2, 0.1], 3.0)]
+    got = [r.x for r in spark.createDataFrame(rows, "p array<double>, s double").select(lv.linear_fix(F.col("p"), F.col("s")).alias("x")).collect()]
+    assert all(abs(x.alpha) > 1e6 for x in got[:2]) and got[2].alpha == 0 and got[2].beta == pytest.approx(0.2)
