@@ -236,7 +236,9 @@ def process_raters(ratings: DataFrame, anchors: DataFrame, outlier_std: float =
 
     ``ratings``: image_id, dimension, rater, score. ``anchors``: image_id,
     dimension, known_mos. A rater whose anchor residuals vary by more than
-    ``outlier_std`` in any dimension (with three or more anchors) is dropped.
+    ``outlier_std`` in any dimension (with three or more anchors) is dropped. The
+    spread is compared with ``high_std`` to nine digits, so that a spread of just
+    that limit never counts as above it, whatever the order of its sum.
     """
     keys = ["image_id", "dimension"]
     residual = ratings.join(anchors, keys).groupBy("rater", "dimension").agg(
@@ -248,7 +250,7 @@ def process_raters(ratings: DataFrame, anchors: DataFrame, outlier_std: float =
         F.count(F.lit(1)).alias("_n"), F.regr_slope("known_mos", "mos").alias("_a"), F.regr_intercept("known_mos", "mos").alias("_b"))
     joined = attach(mos, line, ["dimension"], "left")
     calibrated = F.when(F.col("_n") >= 2, F.col("mos") * F.col("_a") + F.col("_b"))
-    return joined.select(*keys, "mos", "mos_std", calibrated.alias("calibrated"), F.coalesce(F.col("mos_std") > high_std, F.lit(False)).alias("high_variance"))
+    return joined.select(*keys, "mos", "mos_std", calibrated.alias("calibrated"), F.coalesce(F.round("mos_std", 9) > high_std, F.lit(False)).alias("high_variance"))
 
 
 # ---- plans and labels -------------------------------------------------------------------

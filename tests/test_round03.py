@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import levels as lv
 from scoreloom.llm import topk
-from scoreloom.operators import vectors as vec
+from scoreloom.operators import assembly as asm, vectors as vec
 
 
 @pytest.fixture
@@ -50,3 +50,12 @@ def test_linear_fix_over_a_line_of_zero(spark):
     rows = [([0.0, 0.0, 0.5, 1e-9, 0.0], 2.4), ([0.0, 0.0, 0.5, 1.0000004e-9, 0.0], 2.4), ([0.1, 0.2, 0.4, 0.2, 0.1], 3.0)]
     got = [r.x for r in spark.createDataFrame(rows, "p array<double>, s double").select(lv.linear_fix(F.col("p"), F.col("s")).alias("x")).collect()]
     assert all(abs(x.alpha) > 1e6 for x in got[:2]) and got[2].alpha == 0 and got[2].beta == pytest.approx(0.2)
+
+
+def test_a_spread_of_just_the_limit_is_not_above(spark):
+    rows = [(i, "color", rater, score) for i in range(40) for rater, score in (("a", 2.9 + i / 10), ("b", 3.9 + i / 10), ("c", 4.9 + i / 10))]
+    rows += [(99, "color", "a", 1.0), (99, "color", "b", 3.0)]
+    ratings = spark.createDataFrame(rows, "image_id long, dimension string, rater string, score double").repartition(7)
+    anchors = spark.createDataFrame([(99, "color", 2.0)], "image_id long, dimension string, known_mos double")
+    high = {r.image_id for r in asm.process_raters(ratings, anchors).where("high_variance").collect()}
+    assert high == {99}
