@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .staging import staged
 
-MOST, LEAST = 2_000_000, 25_000  # rows of a slice on a large table; rows worth a task of their own
+MOST, LEAST = 250_000, 25_000  # rows of a slice on a large table, which a Python worker holds; rows worth a task of their own
 FIRST_GROUP, FIRST_RUN, LAST_GROUP, LAST_RUN = 1, 2, 4, 8
 PLACED = ("_before", "_run", "_size")
 

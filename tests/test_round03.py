@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import levels as lv
 from scoreloom.llm import topk
-from scoreloom.operators import assembly as asm, vectors as vec
+from scoreloom.operators import assembly as asm, slices, vectors as vec
 
 
 @pytest.fixture
@@ -59,3 +59,9 @@ def test_a_spread_of_just_the_limit_is_not_above(spark):
     anchors = spark.createDataFrame([(99, "color", 2.0)], "image_id long, dimension string, known_mos double")
     high = {r.image_id for r in asm.process_raters(ratings, anchors).where("high_variance").collect()}
     assert high == {99}
+
+
+def test_a_slice_stays_small_on_a_large_table(spark):
+    """What a Python worker holds doesn't grow with the table."""
+    for rows in (3_000_000, 30_000_000, 180_000_000):
+        assert rows / slices.slices_for(spark.range(1), rows) <= 250_000
