@@ -65,3 +65,18 @@ def test_a_slice_stays_small_on_a_large_table(spark):
     """What a Python worker holds doesn't grow with the table."""
     for rows in (3_000_000, 30_000_000, 180_000_000):
         assert rows / slices.slices_for(spark.range(1), rows) <= 250_000
+
+
+@pytest.mark.parametrize("name", ["j16_rater_pairs", "m5_cross_validated_linear"])
+def test_every_row_is_returned(spark, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    want = con.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    got = entry.queries()[name](spark, "/root/testdata/sf0.001").select(names).collect()
+    assert "image_id" in names and sorted(map(tuple, got)) == sorted(want.fetchall())
