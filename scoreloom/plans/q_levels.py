@@ -174,20 +174,21 @@ WIDE_RATERS = ("rater_af", "rater_nf", "rater_rf")
 def bin_record_log(panel):
     """JSON lines of all raters: three write one record per image with all dimensions, three a
     flat record per image and dimension. Every seventh image of a flat record lacks its bins."""
-    bins = panel.select(F.col("image_id").cast("string").alias("image"), "model", "dimension", "score", lv.gaussian_bins(F.col("score"), dbl(0.25)).alias("probs"))
-    wide, none = F.col("model").isin(*WIDE_RATERS), F.lit(None).cast("array<double>")
-    flat = bins.where(~wide).select(F.to_json(F.struct("image", "model", F.when(F.col("dimension") == "color", "colour").otherwise(F.col("dimension")).alias("dimension"),
-                                                      F.when(F.col("image").cast("long") % 7 > 0, F.col("probs")).otherwise(none).alias("probs"), "score")).alias("line"))
-    of = lambda d: F.max(F.when(F.col("dimension") == d, F.struct("score", "probs")))
-    many = bins.where(wide).groupBy("image", "model").agg(of("overall").alias("overall"), of("sharpness").alias("sharpness"), of("color").alias("color_fidelity"))
-    return flat.union(many.select(F.to_json(F.struct(*many.columns)).alias("line")))
+    entry = lambda d: F.struct(F.col(d).alias("score"), lv.gaussian_bins(F.col(d), dbl(0.25)).alias("probs"))
+    image, wide, none = F.col("image_id").cast("string").alias("image"), F.col("model").isin(*WIDE_RATERS), F.lit(None).cast("array<double>")
+    scores = F.inline(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(c).alias("score")) for d, c in (("overall", "overall"), ("sharpness", "sharpness"), ("colour", "color"))]))
+    rows = panel.where(~wide).select("image_id", image, "model", scores)
+    probs = F.when(F.col("image_id") % 7 > 0, lv.gaussian_bins(F.col("score"), dbl(0.25))).otherwise(none)
+    flat = rows.select(F.to_json(F.struct("image", "model", "dimension", probs.alias("probs"), "score")).alias("line"))
+    many = F.struct(image, "model", entry("overall").alias("overall"), entry("sharpness").alias("sharpness"), entry("color").alias("color_fidelity"))
+    return flat.union(panel.where(wide).select(F.to_json(many).alias("line")))
 
 
 @query("d18_bin_records", "panel", f"""select model, dimension, count(*) as n, {', '.join(r(f'avg(p[{i + 1}])') + f' as p{5 - i}' for i in range(5))}, {r('avg(' + mos_sql('p') + ')')} as mos from
         (select image_id, model, dimension, {FOLDED} as p from ten) where model in {WIDE_RATERS} or image_id % 7 > 0 group by 1, 2""", ten=PANEL_BINS)
 def d18(t):
     """Bin records of all six raters in both layouts, folded to levels; told by rater and dimension."""
-    rows = records.bin_records_to_levels(bin_record_log(t.panel))
+    rows = records.bin_records_to_levels(bin_record_log(t.panel_wide))
     return rows.groupBy("model", "dimension").agg(F.count(F.lit(1)).alias("n"), *[r6(F.avg(F.col("p")[i])).alias(f"p{5 - i}") for i in range(5)], r6(F.avg(lv.mos(F.col("p")))).alias("mos"))
 
 
@@ -195,7 +196,7 @@ def d18(t):
         count(*) filter (model not in {WIDE_RATERS} and image_id % 7 = 0) as skipped from panel group by 1""")
 def d18_counts(t):
     """Records read, rows made and records skipped per rater."""
-    return records.bin_record_counts(bin_record_log(t.panel))
+    return records.bin_record_counts(bin_record_log(t.panel_wide))
 
 
 @query("d19_gaussian_gaps", "clamped cross_levels", f"""select dimension, {r('avg(kl)')} as kl, {r('avg(js)')} as js, {r('avg(w2)')} as w2 from z group by 1""",

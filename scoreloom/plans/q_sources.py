@@ -227,7 +227,7 @@ def p4(t):
 
 @query("p5_flat_or_nested", "panel", f"select image_id, model, {r('max(score) filter (dimension = $$overall$$)')} as overall, {r('max(score) filter (dimension = $$sharpness$$)')} as sharpness, {r('max(score) filter (dimension = $$color$$)')} as color_fidelity from panel group by 1, 2")
 def p5(t):
-    wide = t.panel.groupBy("image_id", "model").pivot("dimension", ["overall", "sharpness", "color"]).agg(F.first("score")).withColumnRenamed("color", "color_fidelity")
+    wide = t.panel_wide.withColumnRenamed("color", "color_fidelity")
     names = ("overall", "sharpness", "color_fidelity")
     flat, nested = F.to_json(F.struct(*names)), F.to_json(F.struct(*[F.struct(F.col(n).alias("score")).alias(n) for n in names]))
     text = wide.select("image_id", "model", F.when(F.col("model").endswith("f"), nested).otherwise(flat).alias("record"))
@@ -236,7 +236,7 @@ def p5(t):
 
 def responses(t):
     """Rating answers as models write them: plain, fenced, doubled braces, a missing key, another scale, prose."""
-    wide = t.panel.groupBy("image_id", "model").pivot("dimension", ["overall", "sharpness", "color"]).agg(F.first("score"))
+    wide = t.panel_wide
     o, s, c = [F.round(F.col(x), 2).cast("string") for x in ("overall", "sharpness", "color")]
     body = lambda *kv: F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{k}": '), v) for k, v in kv]), F.lit("}"))
     full = body(("overall", o), ("sharpness", s), ("color_fidelity", c))

@@ -80,3 +80,13 @@ def test_every_row_is_returned(spark, name):
     names = [d[0] for d in want.description]
     got = entry.queries()[name](spark, "/root/testdata/sf0.001").select(names).collect()
     assert "image_id" in names and sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
+def test_tasks_of_the_wide_panel_follow_the_lines(spark, monkeypatch):
+    from scoreloom.plans import tables
+
+    monkeypatch.setattr(tables, "LINES_PER_TASK", 500)
+    t = tables.Tables(spark, "/root/testdata/sf0.001")
+    assert t.panel_wide.rdd.getNumPartitions() >= 12
+    wide = {(r.image_id, r.model, d, r[d]) for r in t.panel_wide.collect() for d in tables.DIMENSIONS}
+    assert wide == {(r.image_id, r.model, r.dimension, r.score) for r in t.panel.collect()}
