@@ -37,8 +37,7 @@ def table(pairs: DataFrame, log: DataFrame, about: dict[str, Column], repeats: i
     """
     pairs = staged(pairs.where("pred is not null and truth is not null").select("model_id", "image_id", "dimension", "pred", "truth"), "graded")
     count = pairs.groupBy("model_id").agg(F.countDistinct("image_id").alias("num_samples"))
-    times = staged(bs.draws(pairs.select("model_id", "image_id"), "image_id", repeats, seed, ["model_id"]).where(F.col("n") >= MIN_PAIRS).drop("n"), "times")
-    values = staged(bs.scores(pairs.join(times, ["model_id", "image_id"]), ["model_id", "dimension"], "pred", "truth", repeats + 1), "drawn-scores")
+    values = staged(bs.resampled(pairs, "image_id", ["model_id"], ["dimension"], "pred", "truth", repeats, seed, errors=True, min_units=MIN_PAIRS), "scores")
 
     point = values.where("rep = 0").select("model_id", "dimension", *INTERVALS, *ERRORS)
     for m in INTERVALS:  # a fixed number of draws per model and dimension from here on

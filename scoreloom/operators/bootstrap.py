@@ -1,21 +1,23 @@
 """Resampling with draws that depend on keys only.
 
-A unit (an image, a text) carries one vector: how often every draw takes it. Nothing else is
-ever drawn: a table of values is ordered once, and a pass over its slices works out weighted
-average ranks and sums of all draws side by side (``scores``). Ranks of one side travel with
-the rows; those of the other are summed where they arise.
+A task takes a range of draws of one group (``resampled``). It holds the group's rows as codes of
+12 to 36 bytes each, works out a draw's picks from their hashes, and only the sums of a draw leave it: what
+is shuffled grows with the rows, not with rows times draws. Groups of more than ``ROWS_AT_ONCE`` rows
+go another way (``draws``, ``scores``): a unit carries one vector of how often every draw takes it, and passes
+over slices of the ordered table work out weighted ranks and sums of all draws side by side.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
+from ..functions.hashing import picks as hashed_picks
 from ..functions.numerics import dbl, key_hash
 from .ranking import attach_one, position
 from .slices import group_code, in_slices, mapped, starts
@@ -23,6 +25,10 @@ from .staging import staged
 
 VECTOR_BYTES = 32 << 20  # of the vectors that a task holds at once
 TOGETHER = 250  # draws worked out side by side
+ROWS_AT_ONCE = 20_000_000  # of a group whose draws one task works out
+PICKS_AT_ONCE = 1 << 20
+HASHES, SPARE = 2.0**60, 12.0
+SCORES = ("srcc", "plcc", "mae", "rmse", "auroc")
 SUMS = ("w", "wx", "wy", "wxy", "wxx", "wyy", "x", "y", "xx", "yy", "xy", "gap", "gap2", "good", "goodx")
 
 
@@ -178,6 +184,126 @@ def scores(rows: DataFrame, by: Sequence[str], x: str, y: str, width: int, good:
     return sums.groupBy("_g").applyInArrow(finish, kind).where("n > 0")
 
 
+class _Cells:
+    """Rows of one table in order of x, for sums under any weights of the units."""
+
+    def __init__(self, unit: np.ndarray, x: np.ndarray, y: np.ndarray, errors: bool, good: float | None):
+        order = np.argsort(x, kind="stable")
+        x, y, self.unit = x[order], y[order], unit[order].astype(np.int32)
+        self.first = np.flatnonzero(starts(x))
+        uy, code = np.unique(y, return_inverse=True)
+        self.code, self.n_y = code.astype(np.int32), len(uy)
+        self.from_good = None if good is None else int(np.searchsorted(uy, good))
+        self.facts = None
+        if errors:  # both sides moved by a mean, which no coefficient minds
+            gap, mx, my = np.abs(x - y), x.mean(), y.mean()
+            self.ux, self.uy = x[self.first] - mx, uy - my
+            self.facts = np.vstack(((x - mx) * (y - my), gap, gap * gap))
+
+    def sums(self, times: np.ndarray) -> tuple[float, ...]:
+        """n, srcc, plcc, mae, rmse, auroc where unit u counts ``times[u]`` times; ranks are taken from their mean."""
+        m = times[self.unit]
+        wx, wy = np.add.reduceat(m, self.first), np.bincount(self.code, m, self.n_y)
+        k = wx.sum()
+        rx, ry = (np.cumsum(w) - w + (w - k) / 2 for w in (wx, wy))
+        srcc = _coefficient(k, 0.0, 0.0, rx @ np.add.reduceat(m * ry[self.code], self.first), wx @ (rx * rx), wy @ (ry * ry))
+        plcc = mae = rmse = auroc = np.nan
+        if self.facts is not None:
+            xy, gap, gap2 = self.facts @ m
+            plcc = _coefficient(k, wx @ self.ux, wy @ self.uy, xy, wx @ (self.ux * self.ux), wy @ (self.uy * self.uy))
+            mae, rmse = gap / k if k else np.nan, math.sqrt(gap2 / k) if k else np.nan
+        if self.from_good is not None:
+            of_good = np.add.reduceat(m * (self.code >= self.from_good), self.first)
+            pos = of_good.sum()
+            if 0 < pos < k:
+                auroc = ((rx + (k + 1) / 2) @ of_good - pos * (pos + 1) / 2) / (pos * (k - pos))
+        return k, srcc, plcc, mae, rmse, auroc
+
+
+def _of_tasks(batches: Iterator[pa.RecordBatch], keep) -> Iterator[tuple[int, dict]]:
+    """Task number and its cells by table number, from rows in order of both."""
+    task, cells, held, table = None, {}, [], None
+
+    def close():
+        if held:
+            unit, x, y = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            cells[table] = keep(unit, x, y)
+
+    for batch in batches:
+        tasks, tables, *columns = (batch[c].to_numpy() for c in ("_task", "_w", "_unit", "_x", "_y"))
+        edges = np.append(np.flatnonzero(starts(tasks, tables)), len(tasks))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if (tasks[lo], tables[lo]) != (task, table):
+                close()
+                if cells and tasks[lo] != task:
+                    yield task, cells
+                    cells = {}
+                task, table = int(tasks[lo]), int(tables[lo])
+            held.append([c[lo:hi].copy() for c in columns])
+    close()
+    if cells:
+        yield task, cells
+
+
+def resampled(rows: DataFrame, key: str, by: Sequence[str], within: Sequence[str], x: str, y: str, repeats: int, seed,
+              errors: bool = False, good: float | None = None, min_units: int = 1) -> DataFrame:
+    """The scores of every draw (``rep`` from 1; 0 is the table as it is): by, within, rep, units, n, srcc and, with ``errors``, plcc,
+    mae, rmse; with ``good`` the auroc of x for rows with y at or above it.
+
+    Units (``key``) are drawn per group of ``by`` as by ``draws``, with all their rows; a score is one of a table of
+    ``within``. Groups of fewer than ``min_units`` units are left out. Rows without x or y take no part.
+    """
+    spark, within = rows.sparkSession, list(within)
+    if not by:
+        return resampled(rows.withColumn("_all", F.lit(0)), key, ["_all"], within, x, y, repeats, seed, errors, good, min_units).drop("_all")
+    by = list(by)
+    source = staged(rows.select(*by, *within, key, group_code(within).alias("_w"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")), "resampled")
+    units = indexed(source.select(*by, key).distinct(), key, by).where(F.col("n") >= min_units).select(*by, key, F.col("idx").cast("int").alias("_unit"), F.col("n").alias("units"))
+    placed = staged(source.where("_x is not null and _y is not null").join(units, [*by, key]), "units-of-rows")
+    groups = staged(placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), F.max("units").alias("units")), "groups")  # a row per group
+    kind = {**dict.fromkeys(("_w", "rep", "n"), T.LongType()), **dict.fromkeys(SCORES, T.DoubleType())}
+
+    fits = groups.where(F.col("_rows") <= ROWS_AT_ONCE)
+    wanted = 2 * spark.sparkContext.defaultParallelism
+    total = fits.agg(F.sum("_rows")).first()[0] or 1
+    parts = F.least(F.lit(repeats + 1), F.greatest(F.lit(1), F.ceil(F.col("_rows") * wanted / total))).cast("int")
+    shares = fits.withColumn("_parts", parts).withColumn("_from", F.sum("_parts").over(Window.orderBy(*by)) - F.col("_parts"))
+    shares = staged(shares.select(*by, F.col("_from").cast("int"), "_parts", "units"), "shares")
+    work = {r["_from"] + i: (r["_from"], r["units"], i * (repeats + 1) // r["_parts"], (i + 1) * (repeats + 1) // r["_parts"])
+            for r in shares.select("_from", "_parts", "units").collect() for i in range(r["_parts"])}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task, cells in _of_tasks(batches, lambda unit, x, y: _Cells(unit, x, y, errors, good)):
+            group, n, low, high = work[task]
+            found = []
+            step = max(1, PICKS_AT_ONCE // n)
+            for lo in range(low, high, step):
+                reps = range(lo, min(lo + step, high))
+                drawn = iter(hashed_picks(seed, [r - 1 for r in reps if r], n))
+                for rep in reps:
+                    times = np.bincount(next(drawn), minlength=n).astype(np.float64) if rep else np.ones(n)
+                    found += [(table, rep, *c.sums(times)) for table, c in cells.items()]
+            columns = dict(zip(("_w", "rep", "n", *SCORES), (np.array(c) for c in zip(*found, strict=True)), strict=True))
+            arrays = [pa.array(columns[c].astype(np.int64)) if t == T.LongType() else pa.array(columns[c].astype(np.float64), mask=~np.isfinite(columns[c])) for c, t in kind.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), group, np.int32)), *arrays], ["_from", *kind])
+
+    dealt = placed.join(shares.drop("units"), by).select(F.explode(F.sequence(F.col("_from"), F.col("_from") + F.col("_parts") - 1)).alias("_task"), "_w", "_unit", "_x", "_y")
+    dealt = dealt.repartitionById(max(1, min(len(work), 2 * wanted)), F.col("_task")).sortWithinPartitions("_task", "_w")
+    schema = T.StructType([T.StructField("_from", T.IntegerType()), *[T.StructField(c, t) for c, t in kind.items()]])
+    done = staged(dealt.mapInArrow(run, schema), "drawn-scores")
+    tables = placed.select(*by, *within, "_w").distinct().join(shares.drop("_parts"), by)
+    out = done.join(tables, ["_from", "_w"]).where("n > 0").select(*by, *within, "rep", "units", "n", *SCORES)
+
+    large = groups.where(F.col("_rows") > ROWS_AT_ONCE)
+    if large.isEmpty():
+        return out
+    some = source.join(large.select(*by), by, "left_semi")
+    drawn = staged(draws(some.select(*by, key), key, repeats, seed, by), "times")
+    rest = scores(some.join(drawn.drop("n"), [*by, key]), [*by, *within], "_x", "_y", repeats + 1, good).join(large.drop("_rows"), by)
+    return out.unionByName(rest.select(*out.columns))
+
+
 def _coefficient(n, a, b, ab, aa, bb) -> np.ndarray:
     va, vb = aa - a * a / n, bb - b * b / n
     tiny = 1e-12
@@ -221,17 +347,15 @@ def paired_deltas(rows: DataFrame, baseline: str, repeats: int, seed, min_units:
     keys = ["image_id", "dimension"]
     base = rows.where(F.col("arm") == baseline).select(*keys, F.col("pred").alias("base"))
     pairs = staged(rows.where(F.col("arm") != baseline).join(base, keys), "pairs")
-    times = staged(draws(pairs.select("arm", "image_id"), "image_id", repeats, seed, ["arm"]).where(F.col("n") >= min_units), "times")
     both = F.inline(F.array(F.struct(F.lit(False).alias("is_base"), F.col("pred").alias("value")), F.struct(F.lit(True).alias("is_base"), F.col("base").alias("value"))))
-    drawn = pairs.select(*keys, "arm", "gt", both).join(times.drop("n"), ["arm", "image_id"])
-    per = staged(scores(drawn, ["arm", "is_base", "dimension"], "value", "gt", repeats + 1), "scores")
+    per = staged(resampled(pairs.select(*keys, "arm", "gt", both), "image_id", ["arm"], ["is_base", "dimension"], "value", "gt", repeats, seed, min_units=min_units), "scores")
     w = weighted(per, ["arm", "is_base"])
     side = lambda flag, name: w.where(F.col("is_base") == flag).select("arm", "rep", F.col("w").alias(name))
     delta = staged(side(False, "mine").join(side(True, "theirs"), ["arm", "rep"]).withColumn("delta", F.col("mine") - F.col("theirs")), "deltas")
     point = delta.where("rep = 0").select("arm", F.col("theirs").alias("baseline_wsrcc"), F.col("mine").alias("arm_wsrcc"), F.col("delta").alias("delta"))
     spread = delta.where("rep > 0").groupBy("arm").agg(F.count("delta").alias("draws"), F.percentile("delta", [0.025, 0.975]).alias("_ci"),
                                                        F.avg((F.col("delta") > 0).cast("int")).alias("p_positive"), F.stddev_pop("delta").alias("sd"))
-    size = times.groupBy("arm").agg(F.max("n").alias("n_common"))
+    size = per.groupBy("arm").agg(F.max("units").alias("n_common"))
     out = size.join(point, "arm").join(spread.where(F.col("draws") >= min_draws), "arm")
     return out.select("arm", "n_common", "baseline_wsrcc", "arm_wsrcc", "delta", F.col("_ci")[0].alias("ci_low"), F.col("_ci")[1].alias("ci_high"), "p_positive", "sd", "draws")
 
@@ -244,9 +368,19 @@ def subsamples(units: DataFrame, stratum: str, key: str, sizes: Sequence[int], r
     most = max(sizes) + 1
     rows = staged(units.select(stratum, key), "units")
     total = rows.count()
-    spread = rows.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_h", key_hash(seed, F.col("_d"), F.col(key)))
+    # Hashes are even on [0, 2 ** 60): below the bound lie the first ``most`` of a stratum and SPARE standard deviations more.
+    strata = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bound", F.lit((most + SPARE * math.sqrt(most)) * HASHES) / F.col("_n"))
+    strata = staged(strata, "strata")
+    draw = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_d")
+    spread = rows.select(stratum, key, draw).withColumn("_h", key_hash(seed, F.col("_d"), F.col(key)))
+    early = staged(spread.join(strata, stratum).where(F.col("_h") < F.col("_bound")).drop("_n", "_bound"), "early")
+    counts = early.groupBy("_d", stratum).agg(F.count(F.lit(1)).alias("_k"))
+    short = strata.select(stratum, "_n", draw).join(counts, ["_d", stratum], "left").where(F.coalesce("_k", F.lit(0)) < F.least("_n", F.lit(most)))
+    short = staged(short.select("_d", stratum), "short")
+    if not short.isEmpty():  # these draws order their whole stratum
+        early = early.join(short, ["_d", stratum], "left_anti").unionByName(spread.join(short, ["_d", stratum], "left_semi"))
     order = F.row_number().over(Window.partitionBy("_d", stratum).orderBy("_h", key))
-    first = spread.withColumn("_pos", order).where(F.col("_pos") <= most)  # limited per task before the shuffle
+    first = early.withColumn("_pos", order).where(F.col("_pos") <= most)
     quota = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")).withColumn("_size", F.explode(F.array(*[F.struct(F.lit(i).alias("nth"), F.lit(n).alias("n")) for i, n in enumerate(sizes) if n <= total] or [F.struct(F.lit(0).alias("nth"), F.lit(0).alias("n"))])))
     quota = quota.select(stratum, "_size.*", F.greatest(F.lit(1), F.bround(F.col("_n") / F.lit(total) * F.col("n"))).alias("_take")).where("n > 0")
     taken = first.join(quota, stratum).where(F.col("_pos") <= F.col("_take"))
@@ -254,6 +388,22 @@ def subsamples(units: DataFrame, stratum: str, key: str, sizes: Sequence[int], r
     return taken.withColumn("_t", trim).where(F.col("_t") <= F.col("n")).select(key, (F.col("nth") * repeats + F.col("_d")).alias("rep"))
 
 
+def _plain_scores(rows: DataFrame, picks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, rep, srcc of ``pred`` and ``gt`` over the images that ``picks`` takes in a draw; these are few."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(table["_w"].to_numpy(), kind="stable")))
+        w, x, y = (table[c].to_numpy() for c in ("_w", "_x", "_y"))
+        edges = np.append(np.flatnonzero(starts(w)), len(w)).tolist()
+        values = np.array([_Cells(np.arange(hi - lo), x[lo:hi], y[lo:hi], False, None).sums(np.ones(hi - lo))[1] for lo, hi in zip(edges[:-1], edges[1:], strict=True)], np.float64)
+        return pa.table({"_w": w[edges[:-1]], "rep": table["rep"].take(pa.array(edges[:-1])), "srcc": pa.array(values, mask=~np.isfinite(values))})
+
+    coded = rows.where("pred is not null and gt is not null").select("image_id", group_code(by).alias("_w"), F.col("pred").cast("double").alias("_x"), F.col("gt").cast("double").alias("_y"))
+    coded = coded.join(picks.select("image_id", F.col("rep").cast("long").alias("rep")), "image_id").drop("image_id")
+    names = rows.select(*by, group_code(by).alias("_w")).distinct()
+    return coded.groupBy("rep").applyInArrow(run, "_w long, rep long, srcc double").join(names, "_w").drop("_w")
+
+
 def power_curve(rows: DataFrame, bucket, sizes: Sequence[int], repeats: int, seed, min_images: int = 100) -> DataFrame:
     """n, arm, draws, mean, sd, ci_width, win_share: the weighted coefficient on subsamples of growing size.
 
@@ -269,10 +419,8 @@ def power_curve(rows: DataFrame, bucket, sizes: Sequence[int], repeats: int, see
     fit = [n for n in sizes if n <= units.count()]
     if not fit:
         return rows.sparkSession.createDataFrame([], "n int, arm string, draws long, mean double, sd double, ci_width double, win_share double")
-    width = len(fit) * repeats
-    picks = subsamples(units, "bucket", "image_id", fit, repeats, seed)
-    times = staged(counted(picks, ["image_id"], width, units.count()), "times")
-    per = staged(scores(common.join(times, "image_id"), ["arm", "dimension"], "pred", "gt", width), "scores")
+    picks = staged(subsamples(units, "bucket", "image_id", fit, repeats, seed), "picks")  # the sizes times ``repeats``, however many units
+    per = staged(_plain_scores(common, picks, ["arm", "dimension"]), "scores")
     n = F.element_at(F.array(*[F.lit(n) for n in fit]), (F.floor(F.col("rep") / repeats) + 1).cast("int"))
     w = staged(weighted(per, ["arm"]).withColumn("n", n), "w")
     # nine digits keep the last bit of a sum from deciding a draw

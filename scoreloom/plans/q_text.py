@@ -161,8 +161,7 @@ def r26(t):
     rows = cers(t).select("pair_id", "engine", "mos", F.round("cer", 9).alias("cer")).join(c, "pair_id")
     pick = F.inline(F.array(*[F.struct(n.alias("target"), v.alias("y")) for n, v in ((F.lit("cer"), F.col("cer")), (F.concat(F.lit("cer "), "engine"), F.col("cer")), (F.lit("length"), F.col("length")))]))
     long = staged(rows.select("pair_id", "mos", pick), "targets")
-    times = staged(bs.draws(long.select("target", "pair_id"), "pair_id", REPS, 7, ["target"]).where("n >= 30"), "times")
-    per = bs.scores(long.join(times.drop("n"), ["target", "pair_id"]), ["target"], "mos", "y", REPS + 1)
+    per = bs.resampled(long, "pair_id", ["target"], [], "mos", "y", REPS, 7, errors=True, min_units=30)
     values = staged(per.select("target", "rep", "n", F.inline(F.array(*[F.struct(F.lit(m).alias("coefficient"), F.col(m).alias("value")) for m in ("srcc", "plcc")]))), "values")
     keys = ["target", "coefficient"]
     point = values.where("rep = 0").select(*keys, "n", F.col("value").alias("point"))
