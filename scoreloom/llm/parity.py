@@ -21,8 +21,10 @@ which a common passage is a small part thus never meets the others that hold it.
 the smallest id of a list first; then, once the components are known, lists whose texts are
 in different components are worked through, with the Hamming distance of 1,024-bit folded
 sketches as the join's condition. Sets of fewer than 512 shingles are folded whole, so that
-condition is the bound itself; larger ones by a share of 256 to 640. What is left is
-confirmed on full sets.
+condition is the bound itself; larger ones by a share of 256 to 640. A pair comes from the
+first list that both texts are in. What is left is confirmed on full sets: the nearest pair of
+two components, then a few, then all others, each step without the components that the one
+before has linked.
 """
 
 from __future__ import annotations
@@ -51,6 +53,7 @@ SAMPLED = 128  # sets of this size and more enter with a share of their shingles
 BLOCKS = 64
 SHARED = 6  # blocks that a sampled pair at a threshold of 0.8 shares: fewer with odds of 1e-11
 SPREAD = 2.1  # folded sketches of a sampled pair: slack in square roots of both sizes, seven deviations
+NEXT = 16  # pairs of two components that are confirmed at once when the nearest one wasn't enough
 _U = np.uint64
 
 
@@ -175,6 +178,21 @@ def rare_blocks(speakers: DataFrame) -> DataFrame:
     return kept.select("id", F.floor(F.col("slot") / 1024).cast("int").alias("band"), "v").distinct()
 
 
+def nearest_pairs(cross: DataFrame, share: int) -> DataFrame:
+    """Of the pairs between two components, the one with the nearest sketches in each of ``share`` parts."""
+    best = cross.groupBy("c_a", "c_b", F.pmod(F.xxhash64("a", "b"), F.lit(share)).alias("part")).agg(F.min(F.struct("apart", "a", "b")).alias("best"))
+    return best.select("best.a", "best.b")
+
+
+def still_apart(cross: DataFrame, whole: DataFrame) -> DataFrame:
+    """Pairs whose components are not yet linked, named by the components as they are now."""
+    for end in ("a", "b"):
+        now = whole.select(F.col("c_speaker").alias(f"c_{end}"), F.col("c").alias("now"))
+        cross = cross.join(now, f"c_{end}", "left").withColumn(f"c_{end}", F.coalesce("now", f"c_{end}")).drop("now")
+    names = {"c_a": F.least("c_a", "c_b"), "c_b": F.greatest("c_a", "c_b")}
+    return cross.where("c_a <> c_b").select("a", "b", "apart", *[c.alias(n) for n, c in names.items()])
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles and component (smallest id reachable over links, itself included) of every text.
 
@@ -206,15 +224,26 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
 
     entry = kept.join(labels, "id", "left").select("v", "band", "id", F.coalesce("component", "id").alias("c"))
     mixed = entry.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v")
-    entry = written(entry.join(mixed, "v").join(speaks, ["id", "band"]), "entries")
-    end = lambda e: entry.select(*[F.col(c).alias(ended(c, e)) for c in ("v", "c", *bits) if c != "band"])
-    cross = end("a").join(end("b"), "v").where((F.col("c_a") < F.col("c_b")) & _near(percent))
+    lower = Window.partitionBy("id", "band").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    entry = entry.join(mixed, "v").withColumn("lower", F.collect_list("v").over(lower))
+    entry = written(entry.join(speaks, ["id", "band"]), "entries")
+    end = lambda e: entry.select(*[F.col(c).alias(ended(c, e)) for c in ("v", "c", "lower", *bits) if c != "band"])
+    # a pair comes from the first of its common lists alone
+    cross = end("a").join(end("b"), "v").where((F.col("c_a") < F.col("c_b")) & _near(percent) & ~F.arrays_overlap("lower_a", "lower_b"))
+    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (_apart() / (F.col("m_a") + F.col("m_b"))).alias("apart"))
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    cross = cross.groupBy("a", "b").agg(F.min("apart").alias("apart")).join(tried, ["a", "b"], "left_anti")
     # what is new links components, not texts
     label = lambda t, end: t.join(labels.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}")), end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
-    new = label(label(confirmed(cross, docs, size, percent).unionAll(bridges), "a"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
-    whole = components(new).withColumnsRenamed({"id": "c_speaker", "component": "c"})
+    of_components = lambda t: label(label(t, "a"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    cross = written(label(label(cross, "a"), "b"), "cross")
+    new = of_components(bridges)
+    for share in (1, NEXT, None):
+        some = cross if share is None else nearest_pairs(cross, share)
+        new = new.unionAll(of_components(confirmed(some.select("a", "b"), docs, size, percent)))
+        whole = written(components(new).withColumnsRenamed({"id": "c_speaker", "component": "c"}), "whole")
+        if share:
+            cross = written(still_apart(cross.join(some, ["a", "b"], "left_anti"), whole), "cross")
 
     home = label(classes, "speaker").join(whole, "c_speaker", "left").select("same", F.coalesce("c", "c_speaker").alias("component"))
     return first.join(home, "same", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))

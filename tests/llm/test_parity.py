@@ -69,3 +69,31 @@ def test_shared_ids_nulls_and_no_rows(table):
     got = [(r.id, r.component) for r in parity.groups(table(docs)).collect()]
     assert sorted(got, key=str) == sorted([(3, 3), (5, 3), (5, 3), (7, 3), (None, None), (9, 9), (9, 9)], key=str)
     assert parity.groups(table([])).count() == 0 and parity.groups(table([(1, None)])).first().component == 1
+
+
+def test_groups_linked_by_many_pairs_are_confirmed_by_few(table, monkeypatch):
+    rng = random.Random(8)
+    word = iter(range(10**6))
+    fresh = lambda n: [f"x{next(word)}" for _ in range(n)]
+    base, left, right = fresh(1350), fresh(135), fresh(135)
+
+    def text(first, second):  # words of the one and of the other group, and one of its own
+        words = left[:first] + base[first:700] + right[:second] + base[700 + second:]
+        words[rng.randrange(250, 650)] = fresh(1)[0]
+        return " ".join(words)
+
+    # longer texts with small ids head the lists, so that the star finds no link between the groups
+    docs = [(i, " ".join(base + fresh(650))) for i in range(-12, 0)]
+    docs += [(0, text(135, 0)), *[(i, text(54, 0)) for i in range(1, 21)], (100, text(0, 135)), *[(100 + i, text(0, 54)) for i in range(1, 21)]]
+    counted = []
+    confirmed = parity.confirmed
+
+    def counting(pairs, *rest):
+        counted.append(pairs.count())
+        return confirmed(pairs, *rest)
+
+    monkeypatch.setattr(parity, "confirmed", counting)
+    found = {r.id: r.component for r in parity.groups(table(docs)).collect()}
+    print(counted)
+    assert {i: c for i, c in found.items() if i != c} == {i: 0 for i, _ in docs if i > 0}
+    assert sum(counted[1:]) < 150  # of 400 pairs that link the groups
