@@ -37,6 +37,7 @@ ANSWERS = {
 TIER_SHARES = {"pristine": 0.10, "light": 0.25, "moderate": 0.35, "heavy": 0.20, "historical": 0.10}
 # Tier label, profile name, expected quality range.
 DEGRADATIONS = (("HIGH", "light", 0.70, 0.95), ("MEDIUM", "moderate", 0.40, 0.80), ("LOW", "heavy", 0.10, 0.60), ("DEGRADED", "historical", 0.00, 0.50))
+EFFECTS = ("blur", "noise", "compression", "geometric_distortion")
 
 
 # ---- text of records -------------------------------------------------------------
@@ -256,10 +257,14 @@ def process_raters(ratings: DataFrame, anchors: DataFrame, outlier_std: float =
 # ---- plans and labels -------------------------------------------------------------------
 
 def degradation_plan(bases: DataFrame, index: str, base_seed: int = 20000) -> DataFrame:
-    """Every base under every tier: tier, profile, seed and the tier's expected range of quality."""
+    """Every base under every tier: tier, profile, seed, the tier's expected range of quality, a severity
+    of each effect drawn from that range by key hash, and ``overall_quality``, 1 - worst."""
     tiers = F.inline(F.array(*[F.struct(F.lit(i).alias("tier_index"), F.lit(label).alias("tier"), F.lit(name).alias("profile"), dbl(lo).alias("quality_low"), dbl(hi).alias("quality_high"))
                                for i, (label, name, lo, hi) in enumerate(DEGRADATIONS)]))
-    return bases.select("*", tiers).withColumn("seed", base_seed + F.col(index) * 100 + F.col("tier_index"))
+    rows = bases.select("*", tiers).withColumn("seed", base_seed + F.col(index) * 100 + F.col("tier_index"))
+    unit = lambda effect: (key_hash(effect, F.col("seed")) % 1000000) / dbl(1000000)
+    rows = rows.withColumns({e: (dbl(1) - F.col("quality_high")) + unit(e) * (F.col("quality_high") - F.col("quality_low")) for e in EFFECTS})
+    return rows.withColumn("overall_quality", F.greatest(dbl(0), dbl(1) - F.greatest(*EFFECTS)))
 
 
 def soft_labels(df: DataFrame, mos: str, std: str, density: str = "pdf", std_limit: float = 0.2, gap_limit: float = 0.1) -> DataFrame:

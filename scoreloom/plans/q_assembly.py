@@ -159,10 +159,15 @@ def x13(t):
     return done.select(*KEYS, r6("mos").alias("mos"), r6("mos_std").alias("mos_std"), r6("calibrated").alias("calibrated"), "high_variance")
 
 
-@query("x14_degradation_plan", TW, "select image_id, tier, profile, 20000 + image_id * 100 + ti as seed, lo as quality_low, hi as quality_high from truth_wide, tiers",
-       tiers=" union all ".join(f"select {i} as ti, '{a}' as tier, '{p}' as profile, {lo}::double as lo, {hi}::double as hi" for i, (a, p, lo, hi) in enumerate(asm.DEGRADATIONS)))
+SEV = {e: f"(1e0 - hi) + ({h(repr(e), 'seed')} % 1000000) / 1000000e0 * (hi - lo)" for e in asm.EFFECTS}
+
+
+@query("x14_degradation_plan", TW, f"select image_id, tier, profile, seed, lo as quality_low, hi as quality_high, {', '.join(f'{r(e, 9)} as {e}' for e in asm.EFFECTS)}, {r('greatest(0e0, 1e0 - greatest(' + ', '.join(asm.EFFECTS) + '))', 9)} as overall_quality from s",
+       tiers=" union all ".join(f"select {i} as ti, '{a}' as tier, '{p}' as profile, {lo}::double as lo, {hi}::double as hi" for i, (a, p, lo, hi) in enumerate(asm.DEGRADATIONS)),
+       w="select image_id, tier, profile, lo, hi, 20000 + image_id * 100 + ti as seed from truth_wide, tiers", s="select *, " + ", ".join(f"{v} as {k}" for k, v in SEV.items()) + " from w")
 def x14(t):
-    return asm.degradation_plan(t.truth_wide.select("image_id"), "image_id").select("image_id", "tier", "profile", "seed", "quality_low", "quality_high")
+    plan = asm.degradation_plan(t.truth_wide.select("image_id"), "image_id")
+    return plan.select("image_id", "tier", "profile", "seed", "quality_low", "quality_high", *[r6(e, 9).alias(e) for e in (*asm.EFFECTS, "overall_quality")])
 
 
 QUESTION_LIST = "[" + ", ".join("'" + q.replace("'", "''") + "'" for q in asm.QUESTIONS) + "]"
