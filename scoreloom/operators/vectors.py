@@ -223,6 +223,9 @@ def neighbour_scores(queries: DataFrame, ref: DataFrame, key: str, vector: str =
 # ---- nearest rows with pruning --------------------------------------------------------------
 
 PIVOTS, PER_CELL = 512, 256  # most pivots; reference rows for each of them
+QUERY_GROUPS, REF_GROUPS = 16, 4  # of large tables, if groups stay below these numbers of values
+QUERY_VALUES, REF_VALUES = 1 << 21, 1 << 23
+AT_ONCE = 1 << 21  # distances worked on at once
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -234,22 +237,56 @@ def _slack(*squares: float) -> float:
     return 1e-7 * (1 + max(squares)) ** 0.5
 
 
-def _closest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Exact distances and ids of each row's k nearest, smaller ids first on ties.
+def _closest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int, allowed: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Row of ``x``, exact distance and id of each row's k nearest of the allowed rows within its bound,
+    smaller ids first on ties.
 
     A fast product finds all that lie within rounding of the k-th; only those are measured."""
     sx, sy = np.sum(x * x, axis=1), np.sum(y * y, axis=1)
     rough = sx[:, None] + sy - 2 * (x @ y.T)
+    rough[~allowed] = np.inf
     m = min(k, len(y))
-    last = np.partition(rough, m - 1, axis=1)[:, m - 1]
-    near = rough <= (last + 1e-9 * (1 + sx + sy.max()))[:, None]
-    out = []
-    for i in range(len(x)):
-        spots = np.flatnonzero(near[i])
-        exact = np.sqrt(np.sum((y[spots] - x[i]) ** 2, axis=1))
-        order = np.lexsort((ids[spots], exact))[:m]
-        out.append((exact[order], ids[spots][order]))
-    return out
+    last = np.minimum(np.partition(rough, m - 1, axis=1)[:, m - 1], bound * bound)
+    q, r = np.nonzero((rough <= (last + 1e-9 * (1 + sx + sy.max()))[:, None]) & allowed)
+    step = max(1, AT_ONCE // x.shape[1])
+    exact = np.concatenate([np.zeros(0), *(np.sqrt(np.sum((y[r[i:i + step]] - x[q[i:i + step]]) ** 2, axis=1)) for i in range(0, len(q), step))])
+    order = np.lexsort((ids[r], exact, q))
+    q = q[order]
+    first = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[first], exact[order][first], ids[r[order]][first]
+
+
+def _few_copies(y: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of all rows but those that k rows of the same vector and smaller ids come before."""
+    _, same = np.unique(np.ascontiguousarray(y).view(f"V{y.shape[1] * y.itemsize}").ravel(), return_inverse=True)
+    order = np.lexsort((ids, same))
+    ranked = same[order]
+    return np.sort(order[np.arange(len(order)) - np.searchsorted(ranked, ranked) < k])
+
+
+def _chain(pivots: np.ndarray) -> np.ndarray:
+    """Pivots in an order where each is followed by the closest one that is left."""
+    d = _distances(pivots, pivots)
+    order, left = [0], np.ones(len(d), bool)
+    left[0] = False
+    while left.any():
+        order.append(int(np.where(left, d[order[-1]], np.inf).argmin()))
+        left[order[-1]] = False
+    return np.array(order)
+
+
+def _grouped(counts: np.ndarray, order: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First group and number of groups of every cell: cells that follow one another share a group of at most ``size`` rows, larger cells are cut."""
+    first, parts = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
+    group, held = 0, 0
+    for c in order:
+        if held and held + counts[c] > size:
+            group, held = group + 1, 0
+        first[c], parts[c] = group, max(1, -(-int(counts[c]) // size))
+        held += int(counts[c])
+        if parts[c] > 1:
+            group, held = group + int(parts[c]), 0
+    return first, parts
 
 
 def nearest(queries: DataFrame, ref: DataFrame, key: str, vector: str = "embedding", k: int = 10, block: int = BLOCK) -> DataFrame:
@@ -258,21 +295,23 @@ def nearest(queries: DataFrame, ref: DataFrame, key: str, vector: str = "embeddi
     Reference rows belong to the cell of their nearest pivot (rows of the reference itself, by key
     hash). A query first meets its closest cells, as many as hold k rows, which bounds its
     k-th distance; of the others only cells that the triangle inequality leaves within that bound.
-    Cells are cut into blocks of bounded size, so a crowded cell is many tasks.
+    Neighbouring cells share groups of bounded size, and crowded cells are cut into several; a task meets
+    one group of queries and one of reference rows, so vectors are sent once per group and not per cell.
     """
     spark = ref.sparkSession
     rows = ref.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
-    asked = staged(queries.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null"), "queries")
+    wanted = queries.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
     n = rows.count()
     if not n:
-        return asked.select("id").withColumns({"top": F.array().cast(NEIGHBOUR), "visited": F.lit(0).cast("long")}).withColumnRenamed("id", key)
+        return wanted.select("id").withColumns({"top": F.array().cast(NEIGHBOUR), "visited": F.lit(0).cast("long")}).withColumnRenamed("id", key)
     chosen = rows.orderBy(key_hash("pivot", F.col("id")), "id").limit(max(1, min(PIVOTS, n // PER_CELL))).toPandas()  # PIVOTS rows at most
-    pivots = spark.sparkContext.broadcast(_stack(chosen["v"]))
+    places = _stack(chosen["v"])
+    every = spark.sparkContext.broadcast(places)
 
     def assign(batches):
         for pdf in batches:
             if len(pdf):
-                d = _distances(_stack(pdf["v"]), pivots.value)
+                d = _distances(_stack(pdf["v"]), every.value)
                 home = d.argmin(axis=1)
                 yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "cell": home, "reach": d[np.arange(len(d)), home]})
 
@@ -280,55 +319,102 @@ def nearest(queries: DataFrame, ref: DataFrame, key: str, vector: str = "embeddi
     cells = staged(rows.mapInPandas(assign, f"id long, v {kind}, cell int, reach double"), "cells")
     facts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("reach").alias("low"), F.max("reach").alias("high"),
                                       F.max(F.aggregate("v", dbl(0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("square")).orderBy("cell").toPandas()  # a row per pivot
-    shared = spark.sparkContext.broadcast((facts["cell"].to_numpy(), facts["n"].to_numpy(), facts["low"].to_numpy(), facts["high"].to_numpy(), float(facts["square"].max())))
-    table = spark.createDataFrame([(int(c), max(1, -(-int(m) // block))) for c, m in zip(facts["cell"], facts["n"])], "cell int, blocks int")
-    parts = staged(cells.join(table, "cell").withColumn("b", (key_hash("r", F.col("id")) % F.col("blocks")).cast("int")).select("cell", "b", "id", "v"), "parts")
+    name, held = facts["cell"].to_numpy(), facts["n"].to_numpy()
+    pivots, order = places[name], _chain(places[name])
+    first_ref, parts_ref = _grouped(held, order, max(block, min(n // REF_GROUPS, REF_VALUES // places.shape[1])))
+    shared = spark.sparkContext.broadcast((pivots, held, facts["low"].to_numpy(), facts["high"].to_numpy(), float(facts["square"].max())))
 
-    def route(first: bool):
+    def locate(batches):
+        for pdf in batches:
+            if len(pdf):
+                pivots, held, *_ = shared.value
+                d = _distances(_stack(pdf["v"]), pivots)
+                order = np.argsort(d, axis=1, kind="stable")
+                before = np.cumsum(held[order], axis=1) - held[order]
+                many = np.sum(before < k, axis=1)  # the closest cells that together hold k rows
+                yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "cell": order[:, 0], "home": [o[:m] for o, m in zip(order, many)]})
+
+    asked = staged(wanted.mapInPandas(locate, f"id long, v {kind}, cell int, home array<int>"), "queries")
+    asks = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}  # a row per pivot
+    asks = np.array([asks.get(c, 0) for c in range(len(name))])
+    first_query, parts_query = _grouped(asks, order, max(block, min(int(asks.sum()) // QUERY_GROUPS, QUERY_VALUES // places.shape[1])))
+
+    def table(firsts, parts):
+        return spark.createDataFrame([(c, int(a), int(b)) for c, (a, b) in enumerate(zip(firsts, parts))], "cell int, f long, m long")
+
+    def dealt(df, firsts, parts, out):
+        at = F.col("f") + F.pmod(F.xxhash64(F.lit(out), "id"), F.col("m"))
+        return df.join(table(firsts, parts), "cell").withColumn(out, at.cast("int")).drop("f", "m")
+
+    names = spark.createDataFrame([(int(c), i) for i, c in enumerate(name)], "cell int, at int")
+    parts = staged(dealt(cells.join(names, "cell").select(F.col("at").alias("cell"), "id", "v"), first_ref, parts_ref, "rg"), "parts")
+    asked = dealt(asked, first_query, parts_query, "qg")
+
+    def open_cells(x: np.ndarray, home, bound: np.ndarray | None) -> np.ndarray:
+        """Cells a query goes to: its closest ones, or without them all that its bound leaves."""
+        pivots, _, low, high, square = shared.value
+        own = np.zeros((len(x), len(pivots)), bool)
+        own[np.repeat(np.arange(len(x)), [len(h) for h in home]), np.concatenate(list(home))] = True
+        if bound is None:
+            return own
+        d = _distances(x, pivots)
+        reach = bound[:, None] + _slack(square, float(np.sum(x * x, axis=1).max()))
+        return ~own & (np.maximum(d - high, low - d) <= reach)
+
+    def route(bounded: bool, whole: bool):
         def run(batches):
-            name, size, low, high, square = shared.value
             for pdf in batches:
                 if not len(pdf):
                     continue
-                x = _stack(pdf["v"])
-                d = _distances(x, pivots.value)[:, name]
-                order = np.argsort(d, axis=1, kind="stable")
-                before = np.cumsum(size[order], axis=1) - size[order]
-                home = np.zeros(d.shape, bool)
-                np.put_along_axis(home, order, before < k, axis=1)  # the closest cells that together hold k rows
-                if first:
-                    chosen = home
-                else:
-                    bound = pdf["bound"].to_numpy(float)[:, None] + _slack(square, float(np.sum(x * x, axis=1).max()))
-                    chosen = ~home & (np.maximum(d - high, low - d) <= bound)
-                q, c = np.nonzero(chosen)
-                if len(q):
-                    yield pd.DataFrame({"q": pdf["id"].to_numpy()[q], "v": pdf["v"].to_numpy()[q], "cell": name[c]})
+                open_ = open_cells(_stack(pdf["v"]), pdf["home"], pdf["bound"].to_numpy(float) if bounded else None)
+                for g in range(int((first_ref + parts_ref).max())):
+                    goes = open_[:, (first_ref <= g) & (g < first_ref + parts_ref)].any(axis=1)
+                    if goes.any():
+                        some = pdf[goes]
+                        yield some.assign(rg=g) if whole else pd.DataFrame({"qg": some["qg"].unique(), "rg": g})
         return run
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            y, ids = _stack(right["v"]), right["id"].to_numpy()
-            for start in range(0, len(left), 512):
-                some = left.iloc[start:start + 512]
-                for q, (d, who) in zip(some["q"], _closest(_stack(some["v"]), y, ids, k)):
-                    out.append((q, [{"d": float(a), "id": int(b)} for a, b in zip(d, who)], len(y)))
-        return pd.DataFrame(out, columns=["q", "top", "visited"])
-
-    def visit(some: DataFrame, first: bool) -> DataFrame:
-        fields = f"q long, v {kind}, cell int"
-        spread = some.mapInPandas(route(first), fields).join(table, "cell").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("s", F.pmod(F.xxhash64("q"), F.lit(8)).cast("int"))
-        copies = parts.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(7))))  # queries of a hot cell are spread over tasks
-        return spread.groupBy("cell", "b", "s").cogroup(copies.groupBy("cell", "b", "s")).applyInPandas(score, f"q long, top {NEIGHBOUR}, visited long")
+            y, ids, cell = _stack(right["v"]), right["id"].to_numpy(), right["cell"].to_numpy()
+            few = _few_copies(y, ids, k)
+            y, ids, cell = y[few], ids[few], cell[few]
+            step = max(1, AT_ONCE // len(y))
+            for _, near in left.groupby("cell"):
+                for start in range(0, len(near), step):
+                    some = near.iloc[start:start + step]
+                    x, who = _stack(some["v"]), some["id"].to_numpy()
+                    bound = some["bound"].to_numpy(float)
+                    first = np.isnan(bound)
+                    open_ = open_cells(x, some["home"], None if first.all() else bound)
+                    met = np.flatnonzero(open_.any(axis=0)[cell])
+                    if not len(met):
+                        continue
+                    allowed = open_[:, cell[met]]
+                    square = float(max(np.sum(x * x, axis=1).max(), np.sum(y[met] * y[met], axis=1).max()))
+                    q, d, i = _closest(x, y[met], ids[met], k, allowed, np.where(first, np.inf, bound + _slack(square)))
+                    edges = np.searchsorted(q, np.arange(len(x) + 1))
+                    seen = allowed.sum(axis=1)
+                    out.extend((who[j], d[a:b], i[a:b], seen[j]) for j, (a, b) in enumerate(zip(edges, edges[1:])) if seen[j])
+        return pd.DataFrame(out, columns=["q", "d", "id", "visited"])
+
+    def visit(some: DataFrame, bounded: bool) -> DataFrame:
+        pairs = staged(some.mapInPandas(route(bounded, False), "qg int, rg int").distinct(), "pairs")
+        sent = some if bounded else some.withColumn("bound", F.lit(None).cast("double"))
+        sent = sent.select("id", "v", "cell", "home", "qg", "bound")
+        spread = sent.mapInPandas(route(bounded, True), f"id long, v {kind}, cell int, home array<int>, qg int, bound double, rg int")
+        copies = parts.join(pairs, "rg").select("id", "v", "cell", "qg", "rg")
+        return spread.groupBy("qg", "rg").cogroup(copies.groupBy("qg", "rg")).applyInPandas(score, "q long, d array<double>, id array<bigint>, visited long")
 
     def merge(found: DataFrame) -> DataFrame:
         best = F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k)
-        return found.groupBy("q").agg(best.alias("top"), F.sum("visited").alias("visited"))  # k entries per block that was visited
+        return found.groupBy("q").agg(best.alias("top"), F.sum("visited").alias("visited"))  # k entries per group that was visited
 
-    home = staged(merge(visit(asked, True)), "home")
+    zipped = lambda found: found.repartition("q").select("q", F.arrays_zip("d", "id").cast(NEIGHBOUR).alias("top"), "visited")
+    home = staged(merge(zipped(visit(asked, False))), "home")
     bounded = asked.join(home.select(F.col("q").alias("id"), F.when(F.size("top") < k, dbl("inf")).otherwise(F.col("top")[k - 1]["d"]).alias("bound")), "id")
-    rest = visit(bounded, False)
+    rest = zipped(visit(bounded, True))
     return merge(home.unionByName(rest)).withColumnRenamed("q", key)
 
 
