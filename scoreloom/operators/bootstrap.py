@@ -25,7 +25,8 @@ from .staging import staged
 
 VECTOR_BYTES = 32 << 20  # of the vectors that a task holds at once
 TOGETHER = 250  # draws worked out side by side
-ROWS_AT_ONCE = 20_000_000  # of a group whose draws one task works out
+ROWS_AT_ONCE = 20_000_000  # of a group whose draws one task works out, in 36 bytes a row
+LEAN = 3  # times as many where no errors are asked for, in 12 bytes a row, if none of its tables has more than ROWS_AT_ONCE
 PICKS_AT_ONCE = 1 << 20
 HASHES, SPARE = 2.0**60, 12.0
 SCORES = ("srcc", "plcc", "mae", "rmse", "auroc")
@@ -261,13 +262,16 @@ def resampled(rows: DataFrame, key: str, by: Sequence[str], within: Sequence[str
     source = staged(rows.select(*by, *within, key, group_code(within).alias("_w"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")), "resampled")
     units = indexed(source.select(*by, key).distinct(), key, by).where(F.col("n") >= min_units).select(*by, key, F.col("idx").cast("int").alias("_unit"), F.col("n").alias("units"))
     placed = staged(source.where("_x is not null and _y is not null").join(units, [*by, key]), "units-of-rows")
-    groups = staged(placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), F.max("units").alias("units")), "groups")  # a row per group
+    tables = placed.groupBy(*by, "_w").agg(F.count(F.lit(1)).alias("_n"), F.max("units").alias("units"))
+    groups = tables.groupBy(*by).agg(F.sum("_n").alias("_rows"), F.max("_n").alias("_most"), F.max("units").alias("units"))
+    lean = (F.col("_rows") <= LEAN * ROWS_AT_ONCE) & (F.col("_most") <= ROWS_AT_ONCE) if not errors and good is None else F.lit(False)
+    groups = staged(groups.withColumn("_fits", (F.col("_rows") <= ROWS_AT_ONCE) | lean).drop("_most"), "groups")  # a row per group
     kind = {**dict.fromkeys(("_w", "rep", "n"), T.LongType()), **dict.fromkeys(SCORES, T.DoubleType())}
 
-    fits = groups.where(F.col("_rows") <= ROWS_AT_ONCE)
-    wanted = 2 * spark.sparkContext.defaultParallelism
+    fits = groups.where("_fits")
+    wanted = spark.sparkContext.defaultParallelism  # tasks in all, as every task of a group gets its rows
     total = fits.agg(F.sum("_rows")).first()[0] or 1
-    parts = F.least(F.lit(repeats + 1), F.greatest(F.lit(1), F.ceil(F.col("_rows") * wanted / total))).cast("int")
+    parts = F.least(F.lit(repeats + 1), F.greatest(F.lit(1), F.floor(F.col("_rows") * wanted / total))).cast("int")
     shares = fits.withColumn("_parts", parts).withColumn("_from", F.sum("_parts").over(Window.orderBy(*by)) - F.col("_parts"))
     shares = staged(shares.select(*by, F.col("_from").cast("int"), "_parts", "units"), "shares")
     work = {r["_from"] + i: (r["_from"], r["units"], i * (repeats + 1) // r["_parts"], (i + 1) * (repeats + 1) // r["_parts"])
@@ -295,7 +299,7 @@ def resampled(rows: DataFrame, key: str, by: Sequence[str], within: Sequence[str
     tables = placed.select(*by, *within, "_w").distinct().join(shares.drop("_parts"), by)
     out = done.join(tables, ["_from", "_w"]).where("n > 0").select(*by, *within, "rep", "units", "n", *SCORES)
 
-    large = groups.where(F.col("_rows") > ROWS_AT_ONCE)
+    large = groups.where("not _fits").drop("_fits")
     if large.isEmpty():
         return out
     some = source.join(large.select(*by), by, "left_semi")

@@ -75,9 +75,14 @@ def signals(preds: DataFrame, cross_levels: DataFrame, distances: DataFrame, spr
         joined = joined.join(spread.select("image_id", "spread", "cluster_divergence", "n_spread_models"), "image_id", "left")
     else:
         joined = joined.withColumns({"spread": dbl(0), "cluster_divergence": dbl(0), "n_spread_models": F.lit(0)})
+    return with_signals(joined)
+
+
+def with_signals(joined: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """The signals of rows with mu, sigma_sq, distance, ``cross_probs`` (NULL without a partner) and spreads; columns of ``also`` stay."""
     has = F.col("cross_probs").isNotNull()
     labelled = joined.select(
-        *KEYS, "mu", "sigma_sq", "distance", F.coalesce("spread", dbl(0)).alias("spread"),
+        *KEYS, *also, "mu", "sigma_sq", "distance", F.coalesce("spread", dbl(0)).alias("spread"),
         F.coalesce("cluster_divergence", dbl(0)).alias("cluster_divergence"),
         F.coalesce("n_spread_models", F.lit(0)).cast("int").alias("n_spread_models"), "cross_probs",
         lv.prediction_levels(F.col("mu"), F.col("sigma_sq")).alias("probs"))
@@ -85,7 +90,7 @@ def signals(preds: DataFrame, cross_levels: DataFrame, distances: DataFrame, spr
                               .otherwise(F.col("probs")))
     # Nine digits keep last-bit noise of logarithms out of threshold and rank comparisons.
     return own.select(
-        *KEYS, "mu", "sigma_sq", "distance", "spread", "cluster_divergence", "n_spread_models", "probs", "cross_probs",
+        *KEYS, *also, "mu", "sigma_sq", "distance", "spread", "cluster_divergence", "n_spread_models", "probs", "cross_probs",
         F.round(F.when(has, lv.jsd(F.col("_own"), F.col("cross_probs"))).otherwise(dbl(0)), 9).alias("jsd"),
         F.round(lv.entropy(F.col("_own")), 9).alias("entropy"),
         lv.mos(F.col("probs")).alias("mos"), lv.std(F.col("probs")).alias("std"))

@@ -3,7 +3,8 @@
 import hashlib
 
 import __spark_entry__ as entry
-from scoreloom.operators import assembly as asm
+from scoreloom.operators import assembly as asm, bootstrap as bs
+from scoreloom.plans.tables import Tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,3 +22,30 @@ def test_degradation_plan_has_severities(spark):
         worst = [1 - hi + drawn(e, r.seed) * (hi - lo) for e in ("blur", "noise", "compression", "geometric_distortion")]
         assert r.profile == name and all(abs(a - b) < 1e-8 for a, b in zip(worst, (r.blur, r.noise, r.compression, r.geometric_distortion), strict=True))
         assert abs(r.overall_quality - max(0.0, 1 - max(worst))) < 1e-8 and lo - 1e-8 <= r.overall_quality <= hi + 1e-8
+
+
+def joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_starting_tables_meet_before_there_is_a_row_per_dimension(spark):
+    t = Tables(spark, SF)
+    assert joins(t.paired) == 1 and joins(t.scored) == 2
+    for df, each in ((t.paired, ["image_id", "dimension"]), (t.scored, ["image_id", "dimension", "model"])):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert min(i for i, line in enumerate(plan) if "Generate" in line) < min(i for i, line in enumerate(plan) if "Join " in line)
+        assert df.count() == df.select(*each).distinct().count() > 0
+    by_hand = t.panel.join(t.truth.select("image_id", "dimension", "gt", "category", "split"), ["image_id", "dimension"])
+    assert sorted(map(tuple, t.scored.collect())) == sorted(map(tuple, by_hand.select(*t.scored.columns).collect()))
+    by_hand = t.preds.join(t.truth, ["image_id", "dimension"])
+    assert sorted(map(tuple, t.paired.collect())) == sorted(map(tuple, by_hand.select(*t.paired.columns).collect()))
+
+
+def test_draws_without_errors_need_a_third_of_the_memory(spark, monkeypatch):
+    """Groups of up to three times the rows stay in tasks; none takes the way whose disk grows with rows times draws."""
+    df = spark.createDataFrame([(i, d, a, float(i * 7 % 31), float(i * 5 % 29)) for i in range(40) for d in ("overall", "sharpness", "color") for a in ("base", "other")],
+                               "image_id long, dimension string, arm string, pred double, gt double")
+    want = bs.paired_deltas(df, "base", 120, 1).first()
+    monkeypatch.setattr(bs, "ROWS_AT_ONCE", 100)  # of 240
+    monkeypatch.setattr(bs, "draws", None)
+    assert bs.paired_deltas(df, "base", 120, 1).first() == want
