@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.levels import bins_to_levels
+from ..functions.bins import bins_to_levels
 from ..functions.numerics import clip, dbl
 
 # Other names of the colour dimension.
@@ -41,8 +41,9 @@ def bin_records_to_levels(lines: DataFrame) -> DataFrame:
     The many-dimension layout is used where any dimension carries bins, else the
     flat one. Records with neither, or without an image, give no row.
     """
-    return _bin_records(lines).select("image", "model", F.inline("_rows")).select(
-        "image", "model", "dimension", bins_to_levels(F.col("bins")).alias("p"))
+    # not inline(): the filter on empty records that it infers goes below, and reads every line a dozen times more
+    rows = _bin_records(lines).select("image", "model", F.inline_outer("_rows")).where("bins is not null")
+    return rows.select("image", "model", "dimension", bins_to_levels(F.col("bins")).alias("p"))
 
 
 def bin_record_counts(lines: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import levels as lv
+from ..functions.bins import gaussian_bins
 from ..functions.numerics import dbl, r6
 from ..operators import records
 from .oracle_views import (LEVELS_DOWN, LEVELS_UP, entropy_sql, gaussian_sql, jsd_sql, level_columns, mos_sql, r,
@@ -174,11 +175,12 @@ WIDE_RATERS = ("rater_af", "rater_nf", "rater_rf")
 def bin_record_log(panel):
     """JSON lines of all raters: three write one record per image with all dimensions, three a
     flat record per image and dimension. Every seventh image of a flat record lacks its bins."""
-    entry = lambda d: F.struct(F.col(d).alias("score"), lv.gaussian_bins(F.col(d), dbl(0.25)).alias("probs"))
+    bins = gaussian_bins(0.25)
+    entry = lambda d: F.struct(F.col(d).alias("score"), bins(F.col(d)).alias("probs"))
     image, wide, none = F.col("image_id").cast("string").alias("image"), F.col("model").isin(*WIDE_RATERS), F.lit(None).cast("array<double>")
     scores = F.inline(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(c).alias("score")) for d, c in (("overall", "overall"), ("sharpness", "sharpness"), ("colour", "color"))]))
     rows = panel.where(~wide).select("image_id", image, "model", scores)
-    probs = F.when(F.col("image_id") % 7 > 0, lv.gaussian_bins(F.col("score"), dbl(0.25))).otherwise(none)
+    probs = F.when(F.col("image_id") % 7 > 0, bins(F.col("score"))).otherwise(none)
     flat = rows.select(F.to_json(F.struct("image", "model", "dimension", probs.alias("probs"), "score")).alias("line"))
     many = F.struct(image, "model", entry("overall").alias("overall"), entry("sharpness").alias("sharpness"), entry("color").alias("color_fidelity"))
     return flat.union(panel.where(wide).select(F.to_json(many).alias("line")))

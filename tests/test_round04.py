@@ -2,7 +2,10 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from scoreloom.functions import bins, levels as lv
 from scoreloom.operators import assembly as asm, bootstrap as bs
 from scoreloom.plans.tables import Tables
 
@@ -49,3 +52,19 @@ def test_draws_without_errors_need_a_third_of_the_memory(spark, monkeypatch):
     monkeypatch.setattr(bs, "ROWS_AT_ONCE", 100)  # of 240
     monkeypatch.setattr(bs, "draws", None)
     assert bs.paired_deltas(df, "base", 120, 1).first() == want
+
+
+def test_bins_of_batches_equal_the_expressions(spark):
+    scores = [None, float("nan"), -3.0, 0.999, 1.0, 1.2, 2.71828, 3.4, 4.999, 5.0, 9.0, *[1 + i / 97 for i in range(380)]]
+    df = spark.createDataFrame([(s,) for s in scores], "score double").repartition(2)
+    rows = df.select(bins.gaussian_bins(0.25)(F.col("score")).alias("a"), lv.gaussian_bins(F.col("score"), F.lit(0.25)).alias("b")).collect()
+    assert len(rows) == len(scores) and all(abs(x - y) < 1e-14 for r in rows for x, y in zip(r.a, r.b, strict=True))
+    odd = [[0.0] * 10, [None] + [0.1] * 9, [float(i) for i in range(10)], [-1.0] * 10, [float("nan")] + [1.0] * 9]
+    rows = spark.createDataFrame([(o,) for o in odd], "v array<double>").select(bins.bins_to_levels("v").alias("a"), lv.bins_to_levels(F.col("v")).alias("b")).collect()
+    assert all(x == y or abs(x - y) < 1e-14 or (x != x and y != y) for r in rows for x, y in zip(r.a, r.b, strict=True))
+
+
+def test_bin_records_are_read_once(spark):
+    plan = entry.queries()["d18_bin_records"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2  # one for each kind of rater
+    assert "ArrowEvalPython" in plan and "exp(" not in plan.lower()
